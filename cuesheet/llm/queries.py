@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sql
+from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sql, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -38,7 +42,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op9_minhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op5_suffix_dedup, op9_minhash, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
