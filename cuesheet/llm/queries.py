@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sql, suffix_dedup
+from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sql, suffix_dedup, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,21 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"), length=200)
 
 
+#: (verdict, host/path)
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label with its number: bad if it is toxic or of low quality."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
+    return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -42,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op5_suffix_dedup, op9_minhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op5_suffix_dedup, op6_url_filter, op8_warc, op9_minhash, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,5 +29,14 @@ SELECT doc_id, source, CAST(coalesce(len(list_filter(lines, lambda x: trim(x, '
   CAST(coalesce(len(list_filter(lines, lambda x: trim(x, ' ') <> '')) - len(list_filter(k, lambda x: trim(x, ' ') <> '')), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN text IS NULL THEN NULL ELSE array_to_string(k, chr(10)) END) AS kept_sha256
 FROM kept
+""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, row_number() OVER () AS r FROM pages),
+g AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS owner FROM p WINDOW w AS (PARTITION BY t ORDER BY page_id DESC NULLS LAST, r)),
+bits AS (SELECT *, array_to_string(list_transform(string_split(sha1(t), ''), lambda c: substr(bin(16 + strpos('0123456789abcdef', c) - 1), 2)), '') AS b FROM g)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0b' || substr(b, CAST(5 * i + 1 AS INTEGER), 5)) AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN owner END AS refers_to
+FROM bits
 """,
 }
