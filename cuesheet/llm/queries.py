@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sql, suffix_dedup, url_reputation, warc
+from . import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality, sql, suffix_dedup, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = langid.train(docs.filter(fold != 0))
+    return langid.predict_language(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"), length=200)
 
@@ -42,6 +49,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """Ids that are labelled good and not toxic."""
+    return labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_good_id"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.importance_sample(_table(spark, sf_dir, "documents"), good_ids(_table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "log_weight", "selected")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -57,7 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op5_suffix_dedup, op6_url_filter, op8_warc, op9_minhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op4_language, op5_suffix_dedup, op6_url_filter, op7_quality, op8_warc, op9_minhash, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
