@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import packed, staged, unpacked
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 64 << 20
@@ -110,13 +110,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, remove:
     hit = staged(hit.groupBy("_id", "_hash").agg(F.first("_spans").alias("_spans")), "hits")
     size = hit.agg(F.coalesce(F.sum(F.size("_spans") * 8 + 48), F.lit(0))).first()[0]
     hit = F.broadcast(hit) if size <= BROADCAST_BYTES else hit.hint("merge")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    rows = packed(docs, _key=F.col(id_col), _text_hash=F.xxhash64(text_col))
+    on = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     if remove == "document":
-        return docs.join(hit, on, "left_anti")
+        return unpacked(rows.join(hit, on, "left_anti"), docs)
     if remove != "span":
         raise ValueError(f"remove: document or span, not {remove!r}")
-    out = docs.join(hit, on, "left")
-    words, between = raw_words(F.col(text_col)), F.split(text_col, WORD)
+    out = rows.join(hit, on, "left")
+    text = F.col("_doc").getField(text_col)
+    words, between = raw_words(text), F.split(text, WORD)
     covered = lambda i: F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["len"]))
     kept = F.transform(words, lambda w, i: F.when(covered(i), F.lit("")).otherwise(F.concat(w, F.get(between, i + 1))))
-    return out.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.get(between, F.lit(0)), F.array_join(kept, "")))).select(*docs.columns)
+    return unpacked(out, docs, **{text_col: F.when(F.col("_spans").isNull(), text).otherwise(F.concat(F.get(between, F.lit(0)), F.array_join(kept, "")))})

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import packed, staged, unpacked
 
 #: Lists of lines larger than this, all together, are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -48,10 +48,11 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10, *
     lines = boilerplate_lines(docs, ratio, min_pages, text_col=text_col, host_col=host_col)
     lists = lines.groupBy(F.col("_host").alias("_list_host")).agg(F.collect_list("line").alias("_drop"))
     size = lines.agg(F.coalesce(F.sum(F.octet_length("line") + 16), F.lit(0))).first()[0]
-    out = _joined(docs.withColumn("_host", F.col(host_col).cast("string")), lists, size)
-    split = _lines(F.col(text_col))
+    out = _joined(packed(docs, _host=F.col(host_col).cast("string")), lists, size)
+    text = F.col("_doc").getField(text_col)
+    split = _lines(text)
     out = out.withColumn("_kept", F.when(F.col("_drop").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains(F.col("_drop"), x))))
-    n_lines = F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0))
-    n_kept = F.coalesce(F.size(F.filter(F.col("_kept"), lambda x: F.trim(x) != "")), F.lit(0))
-    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"), "n_removed": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines - n_kept).cast("long")})
-    return out.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))).drop("_host", "_drop", "_kept")
+    filled = lambda xs: F.when(text.isNull(), 0).otherwise(F.size(F.filter(xs, lambda x: F.trim(x) != ""))).cast("long")
+    out = out.withColumns({"_n": filled(split), "_left": filled(F.col("_kept"))})
+    kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join("_kept", "\n"))
+    return unpacked(out, docs, **{text_col: kept, "n_lines": F.col("_n"), "n_removed": F.col("_n") - F.col("_left")})

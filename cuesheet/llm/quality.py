@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .select_top import kth_largest
-from .staging import release, staged
+from .staging import packed, release, staged, unpacked
 
 BITS = 14
 MAX_TARGET = 50_000
@@ -121,4 +121,5 @@ def keep_selected(docs: DataFrame, good_ids: DataFrame, k: int | None = None, *,
     out = importance_sample(docs, good_ids, k, id_col=id_col, text_col=text_col, **how).filter("not selected").select(F.col(id_col).alias("_i"), F.col("_hash").alias("_h")).distinct()
     out = staged(out, "rejected")
     out = F.broadcast(out) if out.count() * 64 <= BROADCAST_BYTES else out.hint("merge")
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_h")), "left_anti")
+    rows = packed(docs, _key=F.col(id_col), _text_hash=F.xxhash64(text_col))
+    return unpacked(rows.join(out, F.col("_key").eqNullSafe(F.col("_i")) & (F.col("_text_hash") == F.col("_h")), "left_anti"), docs)

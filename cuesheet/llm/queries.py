@@ -46,7 +46,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label with its number: bad if it is toxic or of low quality."""
     labels = _table(spark, sf_dir, "labels")
     outcomes = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
-    return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    found = url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return found.withColumns({"bad_mean": F.round("bad_mean", 6), "bad_low": F.round("bad_low", 6)})
 
 
 def good_ids(labels: DataFrame) -> DataFrame:

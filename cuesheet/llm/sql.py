@@ -38,5 +38,45 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0b' || substr(b, CAST(5 * i + 1 AS INTEGER), 5)) AS INTEGER) + 1, 1)), '') AS payload_digest,
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN owner END AS refers_to
 FROM bits
+""",
+    "op9_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sn AS (SELECT s.doc_id, g, n FROM s JOIN n USING (doc_id)),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS sizes, count(*) AS c FROM sn a JOIN sn b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 80 * (sizes - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM reach r JOIN edges e ON r.b = e.x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c ON c.doc_id = d.doc_id
+""",
+    "op6_url_filter": r"""
+WITH h AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM h),
+t AS (SELECT *, regexp_extract(bare, '([^.]+\.[^.]+)\.?$', 1) AS two, regexp_extract(bare, '([^.]+\.[^.]+\.[^.]+)\.?$', 1) AS three, regexp_matches(bare, '^[\d.]+$') AS ip FROM b),
+f AS (SELECT *, two IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', 'gov.uk', 'ne.jp', 'org.uk') AS deep FROM t),
+p AS (SELECT page_id, host, path, bare, CASE WHEN ip THEN bare WHEN deep THEN two ELSE regexp_extract(bare, '([^.]+)\.?$', 1) END AS suffix, CASE WHEN ip OR (CASE WHEN deep THEN three ELSE two END) = '' THEN bare WHEN deep THEN three ELSE two END AS domain FROM f),
+o AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+hosts AS (SELECT bare, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(bad) AS bad FROM p JOIN o USING (page_id) WHERE bare <> '' GROUP BY bare),
+whole AS (SELECT coalesce(sum(bad), 0) + 1.0 AS a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 1.0 AS b FROM hosts),
+r1 AS (SELECT suffix AS key, sum(n) AS n, sum(bad) AS bad, any_value(a / (a + b)) AS m FROM hosts, whole GROUP BY suffix),
+s1 AS (SELECT sum(n * (bad / n - m) ** 2) AS seen, sum(m * (1 - m)) AS noise, sum(m * (1 - m) * (n - 1)) AS slope FROM r1 WHERE n > 1),
+k1 AS (SELECT CASE WHEN coalesce(slope, 0) = 0 OR seen <= noise THEN 1000.0 ELSE least(greatest(slope / (seen - noise) - 1, 1.0), 1000.0) END AS s FROM s1),
+p1 AS (SELECT key, m * s + bad AS a, (1 - m) * s + n - bad AS b FROM r1, k1),
+r2 AS (SELECT domain AS key, sum(h.n) AS n, sum(h.bad) AS bad, any_value(p1.a / (p1.a + p1.b)) AS m FROM hosts h JOIN p1 ON p1.key = h.suffix GROUP BY domain),
+s2 AS (SELECT sum(n * (bad / n - m) ** 2) AS seen, sum(m * (1 - m)) AS noise, sum(m * (1 - m) * (n - 1)) AS slope FROM r2 WHERE n > 1),
+k2 AS (SELECT CASE WHEN coalesce(slope, 0) = 0 OR seen <= noise THEN 1000.0 ELSE least(greatest(slope / (seen - noise) - 1, 1.0), 1000.0) END AS s FROM s2),
+p2 AS (SELECT key, m * s + bad AS a, (1 - m) * s + n - bad AS b FROM r2, k2),
+r3 AS (SELECT bare AS key, h.n, h.bad, p2.a / (p2.a + p2.b) AS m FROM hosts h JOIN p2 ON p2.key = h.domain),
+s3 AS (SELECT sum(n * (bad / n - m) ** 2) AS seen, sum(m * (1 - m)) AS noise, sum(m * (1 - m) * (n - 1)) AS slope FROM r3 WHERE n > 1),
+k3 AS (SELECT CASE WHEN coalesce(slope, 0) = 0 OR seen <= noise THEN 1000.0 ELSE least(greatest(slope / (seen - noise) - 1, 1.0), 1000.0) END AS s FROM s3),
+p3 AS (SELECT key, m * s + bad AS a, (1 - m) * s + n - bad AS b FROM r3, k3),
+post AS (SELECT page_id, host, path, coalesce(p3.a, p2.a, p1.a, whole.a) AS a, coalesce(p3.b, p2.b, p1.b, whole.b) AS b FROM whole, p LEFT JOIN p3 ON p3.key = bare LEFT JOIN p2 ON p2.key = domain LEFT JOIN p1 ON p1.key = suffix),
+low AS (SELECT *, a / (a + b) AS mean, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM post),
+rules AS (SELECT * FROM (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')) AS t(v, rule, place, start)),
+hit AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM (SELECT DISTINCT host, path FROM low), rules WHERE (host = place OR ends_with(host, '.' || place)) AND starts_with(path, start) GROUP BY host, path)
+SELECT page_id, low.host, low.path, rule, coalesce(v, CASE WHEN low > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_mean, round(low, 6) AS bad_low
+FROM low LEFT JOIN hit ON hit.host = low.host AND hit.path = low.path
 """,
 }

@@ -12,7 +12,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDERS: set[str] = set()
 _RUN = uuid.uuid4().hex[:12]
@@ -54,6 +55,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All of docs' columns in the one struct ``_doc``, beside the columns ``more``: so no name of docs can clash with ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns)).alias("_doc"), *(c.alias(n) for n, c in more.items()))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """docs' columns again; ``new`` ones take the place of those of the same name, or come last."""
+    own = [new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*own, *(c.alias(n) for n, c in new.items() if n not in docs.columns))
+
+
 def release(df: DataFrame) -> None:
     """Delete a staged table that no lazy plan reads any more."""
     path = getattr(df, "staged_path", None)
