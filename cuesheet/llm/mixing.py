@@ -4,8 +4,8 @@ A source's target is a share of all words by weight, but at most ``max_repeats``
 others by weight (water filling, in closed form over the sorted ratios of cap and weight). Of a document with expected
 count e, floor(e) whole copies are certain; the rest p is drawn by Pareto order: documents are ranked by the odds of a
 uniform hash divided by the odds of p, and the ranking is cut where the source's remaining words are used up. The cut is
-found by two levels of 4096 bins, so no source is ever sorted in one task. Up to two more documents, those whose sizes
-fill the gap best, close what the cut leaves.
+found by two levels of 4096 bins, so no source is ever sorted in one task. Up to TOP_UPS more documents, each the one whose
+size fills the gap best, close what the cut leaves: in small sources a long document would else leave a wide gap.
 
 The uniform number is a hash of seed, id, source and text, so reruns agree. Null text has size 0 and is never taken;
 a null source is a source of its own; repeated rows share their fate; other columns of the input don't matter.
@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staging import release, staged
+from .staging import packed, release, staged, unpacked
 
 #: Words are runs of other than these characters.
 SPACE = r"\x20\x09-\x0D"
-BINS = 4096
+BINS, TOP_UPS = 4096, 6
 
 
 def n_words(text: Column) -> Column:
@@ -54,9 +54,9 @@ def _draw(e: Column, u: Column, max_repeats: int) -> dict[str, Column]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs with _source, _size, _u and _tie."""
+    """docs packed, with _id, _source, _size, _tie and _u."""
     bits = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col))
-    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": n_words(F.col(text_col)), "_tie": bits, "_u": (F.shiftrightunsigned(bits, 11) + 0.5) / float(1 << 53)})
+    return packed(docs, _id=F.col(id_col), _source=F.col(source_col).cast("string"), _size=n_words(F.col(text_col)), _tie=bits, _u=(F.shiftrightunsigned(bits, 11) + 0.5) / float(1 << 53))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, max_repeats: int) -> DataFrame:
@@ -85,7 +85,7 @@ def _before_cut(plan_has_key: bool = True) -> Column:
 
 def mixing_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(keyed rows without text, plan of a row per source); both are staged tables."""
-    rows = staged(_keyed(docs, id_col, text_col, source_col, seed).select(F.col(id_col).alias("_id"), "_source", "_size", "_tie", "_u"), "mix-rows")
+    rows = staged(_keyed(docs, id_col, text_col, source_col, seed).drop("_doc"), "mix-rows")
     plan = source_targets(rows, weights, max_repeats)
     plan = staged(plan.withColumn("_rest", F.col("target") - F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.lit(max_repeats)) * F.col("source_size")), "mix-plan")
     drawn = lambda p: _with_plan(rows, p, max_repeats).filter(F.col("_more") & (F.col("_size") > 0))
@@ -103,19 +103,20 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
     plan, old = staged(plan.join(key, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_gap", gap).select("_source", "source_size", "target", "cut_b1", "cut_b2", "cut_key", "_gap"), "mix-cut"), plan
     release(old)
 
-    for k, fits in ((1, F.col("_size") <= F.col("_gap")), (2, F.col("_size") < 2 * F.col("_gap"))):
-        free = drawn(plan).filter(~_before_cut() & fits)
-        if k == 2:
-            free = free.filter(~F.col("_tie").eqNullSafe(F.col("add1")))
+    plan = plan.withColumn("adds", F.array().cast("array<long>"))
+    for k in range(TOP_UPS):
+        fits = F.col("_size") <= F.col("_gap") if k < TOP_UPS - 1 else F.col("_size") < 2 * F.col("_gap")
+        free = drawn(plan.filter("_gap > 0")).filter(~_before_cut() & fits & ~F.array_contains("adds", F.col("_tie")))
         best = free.groupBy("_source").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("_size")).alias("d"), "_v", "_tie", "_size")).alias("_best"))
-        best = best.select(F.col("_source").alias("_s"), F.col("_best._tie").alias(f"add{k}"), F.col("_best._size").alias("_filled"))
-        plan, old = staged(plan.join(best, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_gap", F.col("_gap") - F.coalesce(F.col("_filled"), F.lit(0))).drop("_s", "_filled"), f"mix-add{k}"), plan
+        best = best.select(F.col("_source").alias("_s"), F.col("_best._tie").alias("_added"), F.col("_best._size").alias("_filled"))
+        plan, old = plan.join(best, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_gap", F.col("_gap") - F.coalesce(F.col("_filled"), F.lit(0))), plan
+        plan = staged(plan.withColumn("adds", F.when(F.col("_added").isNull(), F.col("adds")).otherwise(F.array_append("adds", F.col("_added")))).drop("_s", "_filled", "_added"), f"mix-add{k}")
         release(old)
     return rows, plan.drop("_gap")
 
 
 def _copies() -> Column:
-    added = F.col("_tie").eqNullSafe(F.col("add1")) | F.col("_tie").eqNullSafe(F.col("add2"))
+    added = F.array_contains("adds", F.col("_tie"))
     return F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("_base") + F.when(F.col("_more") & (_before_cut() | added), 1).otherwise(0)).cast("long")
 
 
@@ -131,4 +132,5 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_rep
     rows, plan = mixing_plan(docs, weights, max_repeats, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
     release(rows)
     out = _with_plan(_keyed(docs, id_col, text_col, source_col, seed), plan, max_repeats).withColumn("copies", _copies())
-    return out.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    out = out.filter("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return unpacked(out, docs, copy=F.col("_copy"))
