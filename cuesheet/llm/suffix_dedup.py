@@ -8,10 +8,11 @@ Every byte that lies in a string of ``length`` bytes which also starts elsewhere
 2. Of grams that occur in different runs, one run for each different string is taken, and its windows are sorted as suffixes:
    a merge sort in which two suffixes are compared by the binary search of their common extension over prefix polynomial
    hashes. Neighbours that agree on all bytes of a window, verified byte by byte, repeat. Sorting is done in chunks of bounded
-   size; windows alone in their chunk meet those of other chunks by a 128-bit digest, so no key needs one task.
+   size that hold a gram's runs together; only grams with more than HOT runs are dealt over several chunks, and their windows
+   are counted over chunks by a 128-bit digest.
 3. The removed intervals go back to their documents' texts.
 
-Documents with the same text share one identity (two 64-bit hashes) and its result. Null is empty; documents shorter than
+Texts are found again by id and two 64-bit hashes; rows that repeat share one result. Null is empty; documents shorter than
 ``length`` keep all bytes; repeated rows are copies like any others; other columns are not read.
 """
 
@@ -32,7 +33,7 @@ from .staging import release, staged
 PIECE, PLACE_BITS = 1 << 20, 24
 #: Windows sorted at once.
 CHUNK = 1 << 16
-#: Runs of a key beyond which its windows are dealt over several tasks.
+#: Runs of a gram beyond which they are dealt over several chunks.
 HOT = 4096
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -127,8 +128,8 @@ def _runs(length: int, gram: int) -> Callable[[Batches], Batches]:
             bounds = np.searchsorted(own, np.arange(len(texts) + 1))
             runs = pa.StructArray.from_arrays([pa.array(key), pa.array(ctx), pa.array(start), pa.array(n.astype(np.int32))], ["key", "ctx", "p", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch["_id"], batch["_h1"], batch["_h2"], pa.array([len(b) for b in texts], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in texts]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)],
-                ["_id", "_h1", "_h2", "_bytes", "_sha", "_runs"],
+                [batch["_row"], batch["_id"], batch["_h1"], batch["_h2"], pa.array([len(b) for b in texts], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in texts]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)],
+                ["_row", "_id", "_h1", "_h2", "_bytes", "_sha", "_runs"],
             )
 
     return run
@@ -197,56 +198,64 @@ def _placed(x: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 def _contexts(length: int) -> Callable[[Batches], Batches]:
     """The bytes of runs to be sorted."""
+    names, types = ["key", "total", "_row", "p", "n", "many", "raw"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             out = []
-            for h1, h2, text, runs in zip(batch["_h1"].to_pylist(), batch["_h2"].to_pylist(), batch["_text"], batch["_list"]):
-                wanted = [r for r in runs.as_py() if r["rep"]]
-                if wanted:
+            for row, text, runs in zip(batch["_row"].to_pylist(), batch["_text"], batch["_reps"]):
+                if wanted := runs.as_py():
                     raw = (text.as_py() or "").encode()
-                    out += [(r["key"], h1, h2, r["p"], r["n"], r["many"], r["total"], raw[r["p"] : r["p"] + r["n"] - 1 + length]) for r in wanted]
-            cols = list(zip(*out)) if out else [()] * 8
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", "_h1", "_h2", "p", "n", "many", "total", "raw"])
+                    out += [(r["key"], r["total"], row, r["p"], r["n"], r["many"], raw[r["p"] : r["p"] + r["n"] - 1 + length]) for r in wanted]
+            cols = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return run
 
 
-def _classes(length: int) -> Callable[[Batches], Batches]:
-    """Of runs: (f1, f2, many) for each different window, with its place if it stood alone; and the places of those that didn't."""
+def _repeated(length: int, most: int) -> Callable[[Batches], Batches]:
+    """Of runs in order of their keys: (row, p, n), n windows from p on that repeat.
+
+    A key's runs are sorted together, unless they are more than ``most``: then each chunk also gives (f1, f2, many) for each
+    of its different windows of such keys, with the place of a window that stood alone, to be counted over all chunks.
+    """
 
     def flush(rows: list) -> pa.RecordBatch:
-        buf = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        n = np.array([r[3] for r in rows])
-        base = np.cumsum([0, *(len(r[5]) for r in rows)])[:-1]
+        key, total, row, p, n, many = (np.array([r[k] for r in rows], np.int64) for k in range(6))
+        size = np.array([len(r[6]) for r in rows])
+        raw = b"".join(r[6] for r in rows)
+        base, first = np.cumsum(size) - size, np.cumsum(n) - n
         run = np.repeat(np.arange(len(rows)), n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        order, group = sort_suffixes(buf, base[run] + step, length)
-        run, step = run[order], step[order]
-        h1, h2, p = (np.array([r[k] for r in rows], np.int64)[run] for k in (0, 1, 2))
-        many = np.bincount(group, np.array([r[4] for r in rows])[run]).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        raw = buf.tobytes()
-        digest = np.frombuffer(b"".join(hashlib.blake2b(raw[x : x + length], digest_size=16).digest() for x in base[run[first]] + step[first]), np.int64).reshape(-1, 2)
-        alone = many == 1
-        hit = many[group] > 1
-        f1, f2 = np.r_[digest[:, 0], np.zeros(hit.sum(), np.int64)], np.r_[digest[:, 1], np.zeros(hit.sum(), np.int64)]
-        at = lambda x: np.r_[x[first], x[hit]]
-        placed = np.r_[alone, np.ones(hit.sum(), bool)]
-        known = np.r_[np.zeros(len(first), bool), np.ones(hit.sum(), bool)]
-        cols = [pa.array(f1), pa.array(f2), pa.array(np.r_[np.minimum(many, 2), np.full(hit.sum(), 2)]), pa.array(known), *(pa.array(at(x), mask=~placed) for x in (h1, h2, p + step))]
-        return pa.RecordBatch.from_arrays(cols, ["f1", "f2", "many", "known", "_h1", "_h2", "p"])
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        order, group = sort_suffixes(np.frombuffer(raw, np.uint8), base[run] + step, length)
+        count = np.bincount(group, many[run[order]]).astype(np.int64)
+        hit = np.zeros(len(order) + 1, bool)
+        hit[order] = count[group] > 1
+        edge = np.flatnonzero((hit != np.r_[False, hit[:-1]]) | np.r_[np.isin(np.arange(len(order)), first), False])
+        edge = edge[hit[edge]]
+        nxt = np.flatnonzero(~hit | np.r_[np.isin(np.arange(len(order)), first), True])
+        end = nxt[np.searchsorted(nxt, edge, side="right")]
+        out = [(row[run[edge]], p[run[edge]] + step[edge], end - edge, np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64), np.ones(len(edge), bool))]
+        lead = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
+        hot = total[run[lead]] > most
+        lead, count = lead[hot], count[hot]
+        if len(lead):
+            at = base[run[lead]] + step[lead]
+            digest = np.frombuffer(b"".join(hashlib.blake2b(raw[x : x + length], digest_size=16).digest() for x in at), np.int64).reshape(-1, 2)
+            out.append((row[run[lead]], p[run[lead]] + step[lead], np.ones(len(lead), np.int64), digest[:, 0], digest[:, 1], np.minimum(count, 2), count == 1))
+        cols = [np.concatenate(x) for x in zip(*out)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["_row", "p", "n", "f1", "f2", "many", "placed"])
 
     def run(batches: Batches) -> Batches:
-        rows, size = [], 0
+        rows, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(batch[c].to_pylist() for c in ("_h1", "_h2", "p", "n", "many", "raw"))):
-                rows.append(r)
-                size += r[3]
-                if size >= CHUNK:
+            for r in zip(*(batch[c].to_pylist() for c in ("key", "total", "_row", "p", "n", "many", "raw"))):
+                if size >= CHUNK and (r[0] != last or r[1] > most):
                     yield flush(rows)
                     rows, size = [], 0
+                rows.append(r)
+                size += r[4]
+                last = r[0]
         if rows:
             yield flush(rows)
 
@@ -257,9 +266,9 @@ def _removed(length: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             out = []
-            for text, runs, hits in zip(batch["_text"], batch["_list"], batch["_hits"].to_pylist()):
+            for text, *lists in zip(batch["_text"], batch["_covered"], batch["_hits"]):
                 raw = (text.as_py() or "").encode()
-                spans = sorted([(r["p"], r["p"] + r["n"] - 1 + length) for r in runs.as_py() if r["covered"]] + [(p, p + length) for p in hits or ()])
+                spans = sorted((r["p"], r["p"] + r["n"] - 1 + length) for x in lists for r in x.as_py() or ())
                 end, removed, n, kept = 0, 0, 0, hashlib.sha256()
                 for a, b in spans:
                     if a > end or not n:
@@ -272,50 +281,58 @@ def _removed(length: int) -> Callable[[Batches], Batches]:
                 kept.update(raw[end:])
                 out.append((removed, n, kept.hexdigest()))
             cols = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([batch["_h1"], batch["_h2"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["_h1", "_h2", "_removed", "_spans", "_kept"])
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_h1"], batch["_h2"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["_id", "_h1", "_h2", "_removed", "_spans", "_kept"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, *, gram: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, *, gram: int = 32, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    h1, h2 = F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)
-    slim = docs.select(F.col(id_col).alias("_id"), h1.alias("_h1"), h2.alias("_h2"), F.col(text_col).alias("_text"))
+    same = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"), F.xxhash64(F.lit(1), text_col).alias("_h2"), F.col(text_col).alias("_text")]
     id_type = docs.schema[id_col].dataType.simpleString()
-    runs = staged(slim.mapInArrow(_runs(length, gram), f"_id {id_type}, _h1 long, _h2 long, _bytes long, _sha string, _runs array<struct<key:long,ctx:long,p:long,n:int>>"), "runs")
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), *same).mapInArrow(_runs(length, gram), f"_row long, _id {id_type}, _h1 long, _h2 long, _bytes long, _sha string, _runs array<struct<key:long,ctx:long,p:long,n:int>>")
+    found = staged(found, "runs")
+    rows = staged(found.drop("_runs"), "rows")
 
-    each = runs.select("_h1", "_h2", F.inline("_runs"))
+    place = F.shiftleft("p", 16) + F.col("n")  # a run has at most length windows
+    each = found.select(F.inline("_runs"), "_row").select("key", "ctx", "_row", place.alias("_at"))
     keys = each.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("ctx").alias("_lo"), F.max("ctx").alias("_hi")).filter("total > 1")
     keys = staged(keys.select("key", "total", (F.col("_lo") == F.col("_hi")).alias("_same")), "run-keys")
     twice = staged(each.join(keys, "key"), "runs-repeated")
     release(keys)
+    release(found)
     mixed = twice.filter("not _same")
-    place = F.struct("_h1", "_h2", "p")
-    different = staged(mixed.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("_c"), F.min(place).alias("_first")), "runs-different")
-    mixed = mixed.join(different, ["key", "ctx"])
-    item = F.struct("p", "n", "key", "covered", "rep", "many", "total")
-    one = twice.filter("_same").select("_h1", "_h2", "p", "n", "key", F.lit(True).alias("covered"), F.lit(False).alias("rep"), F.lit(2).alias("many"), "total")
-    two = mixed.select("_h1", "_h2", "p", "n", "key", (F.col("_c") > 1).alias("covered"), (place == F.col("_first")).alias("rep"), F.least("_c", F.lit(2)).cast("int").alias("many"), "total")
-    lists = one.unionByName(two).distinct().groupBy("_h1", "_h2").agg(F.collect_list(item).alias("_list"))
+    me = F.struct("_row", "_at")
+    different = staged(mixed.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("_c"), F.min(me).alias("_first"), F.first("total").alias("total")), "runs-different")
+    covered = twice.filter("_same").select("_row", "_at").unionByName(mixed.join(different.filter("_c > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("_row", "_at"))
+    p, n = F.shiftright("_at", 16).alias("p"), F.col("_at").bitwiseAND(F.lit(65535)).cast("int").alias("n")
+    rep = F.struct("p", "n", "key", F.least("_c", F.lit(2)).cast("int").alias("many"), "total")
+    reps = different.select(F.col("_first._row").alias("_row"), F.col("_first._at").alias("_at"), "key", "_c", "total").select("_row", p, n, "key", "_c", "total")
+    lists = covered.groupBy("_row").agg(F.collect_list(F.struct(p, n)).alias("_covered")).join(reps.groupBy("_row").agg(F.collect_list(rep).alias("_reps")), "_row", "full")
     lists = staged(lists, "run-lists")
     release(twice)
     release(different)
 
-    head = runs.groupBy("_h1", "_h2").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("_head"))
-    lists = lists.join(head, ["_h1", "_h2"]).select(F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), "_list", "_head.id")
-    texts = slim.join(lists, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("id"))).select("_h1", "_h2", "_text", "_list")
-    texts = staged(texts, "texts")
-
-    salt = F.when(F.col("total") > HOT, F.pmod("_h1", F.col("total") / (HOT // 4))).otherwise(0).cast("long")
-    context = texts.mapInArrow(_contexts(length), "key long, _h1 long, _h2 long, p long, n int, many int, total long, raw binary")
-    context = context.repartition("key", salt)
-    windows = staged(context.mapInArrow(_classes(length), "f1 long, f2 long, many long, known boolean, _h1 long, _h2 long, p long"), "windows")
-    elsewhere = windows.filter("not known").groupBy("f1", "f2").agg(F.sum("many").alias("_all")).filter("_all > 1")
-    alone = windows.filter("not known and p is not null").join(staged(elsewhere, "windows-repeated"), ["f1", "f2"])
-    hits = windows.filter("known").select("_h1", "_h2", "p").unionByName(alone.select("_h1", "_h2", "p")).groupBy("_h1", "_h2").agg(F.collect_set("p").alias("_hits"))
-
-    result = texts.join(hits, ["_h1", "_h2"], "left").mapInArrow(_removed(length), "_h1 long, _h2 long, _removed long, _spans long, _kept string")
-    result = staged(result.dropDuplicates(["_h1", "_h2"]), "removed")
-    out = runs.select("_id", "_h1", "_h2", "_bytes", "_sha").join(result, ["_h1", "_h2"], "left")
+    least = rows.groupBy("_id", "_h1", "_h2").agg(F.min("_row").alias("_row"))  # of rows that repeat, the first has the lists
+    lists = lists.join(least, "_row").select("_row", F.col("_id").alias("_i"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), "_covered", "_reps")
+    texts = docs.select(*same).join(lists, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_i")))
+    texts = staged(texts.select("_row", "_id", "_h1", "_h2", "_text", "_covered", "_reps"), "texts")
+
+    context = texts.filter("_reps is not null").mapInArrow(_contexts(length), "key long, total long, _row long, p long, n int, many int, raw binary")
+    deal = F.when(F.col("total") > hot, F.pmod("_row", F.lit(64))).otherwise(0)
+    windows = staged(context.repartition("key", deal).sortWithinPartitions("key").mapInArrow(_repeated(length, hot), "_row long, p long, n long, f1 long, f2 long, many long, placed boolean"), "windows")
+    elsewhere = staged(windows.filter("many > 0").groupBy("f1", "f2").agg(F.sum("many").alias("_all")).filter("_all > 1").select("f1", "f2"), "windows-repeated")
+    alone = windows.filter("many > 0 and placed").join(elsewhere, ["f1", "f2"], "left_semi")
+    hits = windows.filter("many = 0").select("_row", "p", "n").unionByName(alone.select("_row", "p", "n"))
+    hits = staged(hits.groupBy("_row").agg(F.collect_list(F.struct("p", "n")).alias("_hits")), "hits")
+    for x in (lists, windows, elsewhere):
+        release(x)
+
+    result = texts.join(hits, "_row", "left").mapInArrow(_removed(length), f"_id {id_type}, _h1 long, _h2 long, _removed long, _spans long, _kept string")
+    result = staged(result.dropDuplicates(["_id", "_h1", "_h2"]), "removed")
+    release(texts)
+    release(hits)
+    result = result.select(F.col("_id").alias("_i"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), "_removed", "_spans", "_kept")
+    out = rows.join(result, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_i")), "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("_id").alias(id_col), F.col("_bytes").alias("n_bytes"), F.coalesce("_removed", zero).alias("n_removed"), F.coalesce("_spans", zero).alias("n_spans"), F.coalesce("_kept", "_sha").alias("kept_sha256"))
