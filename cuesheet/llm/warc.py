@@ -84,7 +84,7 @@ def _members(raw: bytes) -> Iterator[Iterator[bytes]]:
                 start += len(step)
                 out = unpack.decompress(step, STEP)
                 yield out
-                while unpack.unconsumed_tail:
+                while unpack.unconsumed_tail and not unpack.eof:
                     yield unpack.decompress(unpack.unconsumed_tail, STEP)
                 used = start - at - len(unpack.unused_data)
 
