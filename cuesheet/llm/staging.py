@@ -10,12 +10,15 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+GC_SECONDS = 3.0
 _FOLDERS: set[str] = set()
+_freed = 0.0
 _RUN = uuid.uuid4().hex[:12]
 
 
@@ -50,9 +53,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that have ended."""
+    """Let Spark's cleaner drop the shuffle files of jobs that have ended; at most once in GC_SECONDS."""
+    global _freed
+    if time.monotonic() - _freed < GC_SECONDS:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _freed = time.monotonic()
 
 
 def packed(docs: DataFrame, **more: Column) -> DataFrame:
