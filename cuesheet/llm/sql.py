@@ -59,7 +59,7 @@ f AS (SELECT *, two IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'c
 p AS (SELECT page_id, host, path, bare, CASE WHEN ip THEN bare WHEN deep THEN two ELSE regexp_extract(bare, '([^.]+)\.?$', 1) END AS suffix, CASE WHEN ip OR (CASE WHEN deep THEN three ELSE two END) = '' THEN bare WHEN deep THEN three ELSE two END AS domain FROM f),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 hosts AS (SELECT bare, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(bad) AS bad FROM p JOIN o USING (page_id) WHERE bare <> '' GROUP BY bare),
-whole AS (SELECT coalesce(sum(bad), 0) + 1.0 AS a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 1.0 AS b FROM hosts),
+whole AS (SELECT coalesce(sum(bad), 0) + CAST(0.1 AS DOUBLE) AS a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + CAST(0.9 AS DOUBLE) AS b FROM hosts),
 r1 AS (SELECT suffix AS key, sum(n) AS n, sum(bad) AS bad, any_value(a / (a + b)) AS m FROM hosts, whole GROUP BY suffix),
 s1 AS (SELECT sum(n * (bad / n - m) ** 2) AS seen, sum(m * (1 - m)) AS noise, sum(m * (1 - m) * (n - 1)) AS slope FROM r1 WHERE n > 1),
 k1 AS (SELECT CASE WHEN coalesce(slope, 0) = 0 OR seen <= noise THEN 1000.0 ELSE least(greatest(slope / (seen - noise) - 1, 1.0), 1000.0) END AS s FROM s1),

@@ -22,6 +22,8 @@ from .staging import staged
 #: Suffixes of two labels under which domains are registered (an excerpt of the public suffix list).
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "ne.jp", "org.uk")
 STRENGTH = (1.0, 1000.0)
+#: Bad and good pages taken as seen before any label.
+PRIOR = (0.1, 0.9)
 
 
 def host_of(url: Column) -> Column:
@@ -83,7 +85,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).first()
-    whole = (total.bad + 1.0, total.n - total.bad + 1.0)
+    whole = (total.bad + PRIOR[0], total.n - total.bad + PRIOR[1])
     levels, mean = {}, F.lit(whole[0] / sum(whole))
     out: dict[str, DataFrame] = {}
     for name, rows, parent in (("suffix", suffixes, None), ("domain", domains, "suffix"), ("host", hosts, "domain")):
