@@ -1,10 +1,11 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with the same set of word shingles form a class, and only one document of a class goes on. A signature of
-``bands`` x ``rows`` minima gives band keys; classes that share a key are candidates. Within a bucket every member is first
-compared with three hubs (its smallest members under three hashes), which joins dense groups in linear time. Then, in
-buckets that still hold several components, members outside the bucket's largest component are compared with all members of
-other components: so each candidate pair is compared or already connected.
+``bands`` x ``rows`` minima gives band keys; classes that share a key are candidates. First each member is compared with one
+hub, the smallest under a hash that it meets in any bucket, which joins dense groups in linear time. In buckets that still
+hold several components, members outside the largest are compared with one of its members, in a few rounds. At last they are
+compared with all members of other components: so each candidate pair is compared or already connected. That join keeps only
+pairs whose one-bit signatures leave the threshold possible.
 
 A pair is compared in batches of its one-byte signatures: it is dropped as soon as the posterior probability (uniform prior)
 that its similarity reaches the threshold falls below ``miss``. Survivors are confirmed on their full sets. At similarity
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import release, staged
+from .staging import packed, release, staged, unpacked
 
-BANDS, ROWS, BATCH = 40, 6, 40
+BANDS, ROWS, BATCH, STAR_ROUNDS = 40, 6, 40, 3
 #: Distinct words whose hashes a task keeps.
 KEPT_WORDS = 200_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -81,7 +82,7 @@ def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            n, ids, sigs, keys = [], [], [], []
+            n, ids, sigs, keys, flags = [], [], [], [], []
             for row, text in zip(batch["_row"].to_pylist(), batch["_text"]):
                 s = shingle_set(text.as_py(), size, hashes)
                 n.append(len(s))
@@ -89,17 +90,18 @@ def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
                     ids.append(b"row" + row.to_bytes(8, "big"))
                     sigs.append(None)
                     keys.append([])
+                    flags.append([])
                     continue
                 ids.append(xxhash.xxh128_digest(s.tobytes()))
                 sig = signature(s, bands * rows)
                 sigs.append(sig.astype(np.uint8).tobytes())
+                flags.append(np.packbits(np.pad((sig & 1).astype(np.uint8), (0, -len(sig) % 64))).view(np.int64))
                 key = salt.copy()
                 for part in sig.reshape(bands, rows).T.astype(np.uint64):
                     key = _mixed(key * _M2 + part)
                 keys.append(key.view(np.int64))
-            flat = np.concatenate(keys) if any(len(k) for k in keys) else np.empty(0, np.int64)
-            bands_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["_row"], batch["_id"], batch["_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), bands_of], ["_row", "_id", "_hash", "_n", "_class", "_sig", "_keys"])
+            longs = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([*map(np.asarray, xs), np.empty(0, np.int64)]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["_row"], batch["_id"], batch["_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), longs(keys), longs(flags)], ["_row", "_id", "_hash", "_n", "_class", "_sig", "_keys", "_bits"])
 
     return run
 
@@ -132,6 +134,17 @@ def least_matches(n_hashes: int, batch: int, threshold: float, miss: float) -> t
     return tuple(out)
 
 
+@functools.cache
+def most_flips(n_hashes: int, threshold: float, miss: float) -> int:
+    """The most differing bits among n_hashes one-bit minima with which P(similarity >= threshold) is still ``miss`` or more."""
+    j = (np.arange(4000) + 0.5) / 4000
+    p = (1 + j) / 2
+    d = np.arange(n_hashes + 1)[:, None]
+    log = (n_hashes - d) * np.log(p) + d * np.log1p(-p)
+    w = np.exp(log - log.max(1, keepdims=True))
+    return int(np.flatnonzero(w[:, j >= threshold].sum(1) / w.sum(1) >= miss).max())
+
+
 def _promising(n_hashes: int, threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     least = least_matches(n_hashes, BATCH, threshold, miss)
 
@@ -186,14 +199,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     """
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketch = staged(slim.mapInArrow(_sketches(size, bands, rows), f"_row long, _id {id_type}, _hash long, _n long, _class binary, _sig binary, _keys array<long>"), "sketches")
+    sketch = staged(slim.mapInArrow(_sketches(size, bands, rows), f"_row long, _id {id_type}, _hash long, _n long, _class binary, _sig binary, _keys array<long>, _bits array<long>"), "sketches")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first")
     classes = staged(sketch.groupBy("_class").agg(first).select("_class", "_first"), "classes")
 
     reps = sketch.filter("_n > 0").join(classes.select(F.col("_first.row").alias("_row")), "_row", "left_semi")
     keyed = staged(reps.select("_row", F.explode("_keys").alias("_key")), "keys")
-    shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
-    buckets = staged(keyed.join(shared, "_key").select("_key", "_row", "_many"), "buckets")
+    shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("_key")
+    buckets = staged(keyed.join(shared, "_key").select("_key", "_row"), "buckets")
     release(keyed)
 
     near = buckets.select("_row").distinct().join(sketch.select("_row", "_id", "_hash"), "_row").select("_row", F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
@@ -206,24 +219,50 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
         release(maybe)
         return out
 
-    hubs = buckets.groupBy("_key").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "_row").alias("h"), F.col("_row").alias("row"))).alias(f"_hub{k}") for k in range(3)))
-    hubs = staged(hubs.select("_key", F.array_distinct(F.array(*(f"_hub{k}.row" for k in range(3)))).alias("_hubs")), "hubs")
-    stars = buckets.join(hubs, "_key").select("_row", F.explode("_hubs").alias("_hub")).filter("_row <> _hub")
-    stars = staged(stars.select(*_distinct_pairs("_row", "_hub")).distinct(), "stars")
-    found = links(stars)
-
-    label = components(found)
-    left = buckets.filter("_many > 2").join(label.withColumnRenamed("node", "_row"), "_row", "left").select("_key", "_row", F.coalesce("label", "_row").alias("_c"))
-    left = staged(left, "left")
-    sizes = left.groupBy("_key", "_c").agg(F.count(F.lit(1)).alias("_many"))
-    mixed = staged(sizes.groupBy("_key").agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_many", "_c")).alias("_most")).filter("_parts > 1").select("_key", F.col("_most._c").alias("_main")), "mixed")
-    outer = left.join(mixed, "_key").filter("_c <> _main").select("_key", F.col("_row").alias("_row1"), F.col("_c").alias("_c1"))
-    other = left.join(mixed, "_key").select("_key", "_row", "_c", "_main")
-    pairs = outer.join(other, (outer["_key"] == other["_key"]) & (F.col("_c") != F.col("_c1")) & ((F.col("_c") == F.col("_main")) | (F.col("_row") > F.col("_row1"))))
-    pairs = staged(pairs.select(*_distinct_pairs("_row", "_row1")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    more = links(pairs)
-    label = components(found.unionByName(more))
-    for x in (hubs, left, mixed, pairs, sets, buckets, stars):
+    first_of = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "_row").alias("h"), F.col("_row").alias("row")))
+
+    def split(found: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Labels; bucket members with their component _c; and of buckets with several, the largest and a member of it."""
+        label = components(found)
+        left = buckets.join(label.withColumnRenamed("node", "_row"), "_row", "left").select("_key", "_row", F.coalesce("label", "_row").alias("_c"))
+        left = staged(left, "left")
+        sizes = left.groupBy("_key", "_c").agg(F.count(F.lit(1)).alias("_many"), first_of(k).alias("_one"))
+        mixed = sizes.groupBy("_key").agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_many", "_c", "_one")).alias("_most")).filter("_parts > 1")
+        return label, left, staged(mixed.select("_key", F.col("_most._c").alias("_main"), F.col("_most._one.row").alias("_other")), "mixed")
+
+    # one hub for each member: the first, in order of a hash, that it meets
+    hubs = staged(buckets.groupBy("_key").agg(first_of(0).alias("_hub")), "hubs")
+    stars = buckets.join(hubs, "_key").groupBy("_row").agg(F.min("_hub").alias("_hub")).filter("_row <> _hub.row")
+    tested = staged(stars.select(*_distinct_pairs("_row", "_hub.row")).distinct(), "pairs")
+    release(hubs)
+    found = links(tested)
+    label, left, mixed = split(found, 1)
+    for k in range(1, STAR_ROUNDS + 1):
+        if not mixed.limit(1).count():
+            break
+        stars = left.join(mixed, "_key").filter("_c <> _main").select(*_distinct_pairs("_row", "_other")).distinct()
+        stars = staged(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, found = tested.unionByName(stars), found.unionByName(links(stars))
+        for x in (label, left, mixed):
+            release(x)
+        label, left, mixed = split(found, k + 1)
+
+    if mixed.limit(1).count():
+        within = staged(left.join(mixed.drop("_other"), "_key").join(sketch.select("_row", "_bits"), "_row"), "left-bits")
+        outer = within.filter("_c <> _main").select("_key", F.col("_row").alias("_row1"), F.col("_c").alias("_c1"), F.col("_bits").alias("_bits1"))
+        words = -(-bands * rows // 64)
+        flips = sum((F.bit_count(F.col("_bits")[k].bitwiseXOR(F.col("_bits1")[k])) for k in range(words)), F.lit(0))
+        elsewhere = (F.col("_c") != F.col("_c1")) & ((F.col("_c") == F.col("_main")) | (F.col("_row") > F.col("_row1")))
+        near = flips <= most_flips(bands * rows, percent / 100, miss)
+        pairs = outer.join(within.withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & elsewhere & near)
+        pairs = staged(pairs.select(*_distinct_pairs("_row", "_row1")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.limit(1).count():
+            found = found.unionByName(links(pairs))
+            release(label)
+            label = components(found)
+        release(within)
+        release(pairs)
+    for x in (left, mixed, sets, buckets):
         release(x)
 
     named = classes.join(label, F.col("_first.row") == F.col("node"), "left").select("_class", "_first", F.coalesce("label", "_first.row").alias("_c"))
@@ -238,11 +277,12 @@ def drop_near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, i
     """docs with one document of each component: that with the smallest id; of rows that repeat it, one."""
     kept = near_duplicates(docs, size=size, percent=percent, id_col=id_col, text_col=text_col, **how).filter("first").select(F.col(id_col).alias("_i"), F.col("_hash").alias("_h"))
     kept = staged(kept, "kept")
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_h")), "left_semi")
+    rows = packed(docs, _key=F.col(id_col), _text_hash=F.xxhash64(text_col))
+    same = F.col("_key").eqNullSafe(F.col("_i")) & (F.col("_text_hash") == F.col("_h"))
+    out = rows.join(kept, same, "left_semi")
     again = docs.groupBy(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h")).agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
     again = staged(again, "repeated")
-    if not again.limit(1).count():
-        return out
-    twice = F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_h"))
-    once = out.join(again, twice, "left_semi").withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_h"]).drop("_h")
-    return out.join(again, twice, "left_anti").unionByName(once)
+    if again.limit(1).count():
+        once = out.join(again, same, "left_semi").dropDuplicates(["_key", "_text_hash"])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return unpacked(out, docs)
