@@ -2,7 +2,7 @@
 
 Documents with the same set of word shingles form a class, and only one document of a class goes on. A signature of
 ``bands`` x ``rows`` minima gives band keys; classes that share a key are candidates. First each member is compared with one
-hub, the smallest under a hash that it meets in any bucket, which joins dense groups in linear time. In buckets that still
+hub, the one with most mates over all bands that it meets in a bucket, which joins dense groups in linear time. In buckets that still
 hold several components, members outside the largest are compared with one of its members, in a few rounds. At last they are
 compared with all members of other components: so each candidate pair is compared or already connected. That join keeps only
 pairs whose one-bit signatures leave the threshold possible.
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -208,6 +208,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("_key")
     buckets = staged(keyed.join(shared, "_key").select("_key", "_row"), "buckets")
     release(keyed)
+    # a member's mates over all bands: a copy's source has more of them than its other copies
+    mates = buckets.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    mates = buckets.join(mates, "_key").groupBy("_row").agg((-F.sum("_n")).alias("_mates"))
+    bare, buckets = buckets, staged(buckets.join(mates, "_row").select("_key", "_row", "_mates"), "buckets")
+    release(bare)
 
     near = buckets.select("_row").distinct().join(sketch.select("_row", "_id", "_hash"), "_row").select("_row", F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
     texts = slim.drop("_row").join(near, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_row", "_text")
@@ -219,41 +224,48 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
         release(maybe)
         return out
 
-    first_of = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "_row").alias("h"), F.col("_row").alias("row")))
+    def first_of(k: int) -> Column:
+        """The member with most mates (k = 0), else the first in order of a hash."""
+        return F.min(F.struct(F.col("_mates") if k == 0 else F.xxhash64(F.lit(k), "_row"), F.col("_row").alias("row")))
 
     def split(found: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Labels; bucket members with their component _c; and of buckets with several, the largest and a member of it."""
         label = components(found)
-        left = buckets.join(label.withColumnRenamed("node", "_row"), "_row", "left").select("_key", "_row", F.coalesce("label", "_row").alias("_c"))
+        left = buckets.join(label.withColumnRenamed("node", "_row"), "_row", "left").select("_key", "_row", "_mates", F.coalesce("label", "_row").alias("_c"))
         left = staged(left, "left")
         sizes = left.groupBy("_key", "_c").agg(F.count(F.lit(1)).alias("_many"), first_of(k).alias("_one"))
         mixed = sizes.groupBy("_key").agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_many", "_c", "_one")).alias("_most")).filter("_parts > 1")
         return label, left, staged(mixed.select("_key", F.col("_most._c").alias("_main"), F.col("_most._one.row").alias("_other")), "mixed")
 
-    # one hub for each member: the first, in order of a hash, that it meets
+    # one hub for each member: of those with most mates in its buckets, that with most
     hubs = staged(buckets.groupBy("_key").agg(first_of(0).alias("_hub")), "hubs")
     stars = buckets.join(hubs, "_key").groupBy("_row").agg(F.min("_hub").alias("_hub")).filter("_row <> _hub.row")
     tested = staged(stars.select(*_distinct_pairs("_row", "_hub.row")).distinct(), "pairs")
     release(hubs)
     found = links(tested)
-    label, left, mixed = split(found, 1)
+    label, left, mixed = split(found, 0)
     for k in range(1, STAR_ROUNDS + 1):
         if not mixed.limit(1).count():
             break
-        stars = left.join(mixed, "_key").filter("_c <> _main").select(*_distinct_pairs("_row", "_other")).distinct()
+        # one partner for each member and component in a round: the largest of those that its buckets offer
+        stars = left.join(mixed, "_key").filter("_c <> _main").groupBy("_row", "_main").agg(F.min(F.struct(F.xxhash64(F.lit(k), "_other"), F.col("_other").alias("row"))).alias("_other"))
+        stars = stars.select(*_distinct_pairs("_row", "_other.row")).distinct()
         stars = staged(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, found = tested.unionByName(stars), found.unionByName(links(stars))
         for x in (label, left, mixed):
             release(x)
-        label, left, mixed = split(found, k + 1)
+        label, left, mixed = split(found, k)
 
     if mixed.limit(1).count():
-        within = staged(left.join(mixed.drop("_other"), "_key").join(sketch.select("_row", "_bits"), "_row"), "left-bits")
-        outer = within.filter("_c <> _main").select("_key", F.col("_row").alias("_row1"), F.col("_c").alias("_c1"), F.col("_bits").alias("_bits1"))
+        within = left.join(mixed.drop("_other"), "_key")
+        own = within.groupBy("_row").agg(F.collect_set("_key").alias("_keys"))  # at most one a band
+        within = staged(within.join(own, "_row").join(sketch.select("_row", "_bits"), "_row"), "left-bits")
+        outer = within.filter("_c <> _main").select("_key", F.col("_row").alias("_row1"), F.col("_c").alias("_c1"), F.col("_bits").alias("_bits1"), F.col("_keys").alias("_keys1"))
         words = -(-bands * rows // 64)
         flips = sum((F.bit_count(F.col("_bits")[k].bitwiseXOR(F.col("_bits1")[k])) for k in range(words)), F.lit(0))
         elsewhere = (F.col("_c") != F.col("_c1")) & ((F.col("_c") == F.col("_main")) | (F.col("_row") > F.col("_row1")))
-        near = flips <= most_flips(bands * rows, percent / 100, miss)
+        once = F.col("_key") == F.array_min(F.array_intersect("_keys", "_keys1"))  # a pair counts in the first bucket that it shares
+        near = F.when(flips <= most_flips(bands * rows, percent / 100, miss), once)
         pairs = outer.join(within.withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & elsewhere & near)
         pairs = staged(pairs.select(*_distinct_pairs("_row", "_row1")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
