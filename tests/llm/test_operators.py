@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import os
 import random
@@ -25,6 +26,7 @@ def near(text, n):
     return " ".join(w)
 
 
+@functools.cache
 def documents():
     texts = [BASE, BASE, BASE.upper(), BASE.replace(" ", "\n"), *(near(BASE, k) for k in (1, 2, 3, 5, 9, 12, 15, 30)), None, None, "", " \n", "one", "One", "one two", "é É ß", say(30000), "a" * 5000, "ab" * 400]
     texts += [say(60) + " " + BASE[:300] for _ in range(6)] + [say(RNG.randint(1, 90)) for _ in range(40)]
