@@ -2,9 +2,13 @@
 
 Words, pairs of neighbours and the shapes of pairs (punctuation, capitals, repetition) are hashed into ``2**bits`` buckets.
 One model holds the bucket frequencies of all documents, one those of the target: documents labelled good. A document's log
-weight is the log ratio of its probability under the two. Each gets Gumbel noise from a hash of its id and text; the k
-documents with the largest sums are an importance sample without replacement. If k is not given it is the number of documents
-whose log weight is at least ``least``, so what is likelier under the raw model by more than that goes.
+weight is the log ratio of its probability under the two. Both counts of a bucket get ``PRIOR`` occurrences more, so where
+the target is expected to have few, as in a language with few labels, its silence tells little. Each document gets Gumbel
+noise from a hash of its id and text; the k documents with the largest sums are an importance sample without replacement.
+
+If k is not given, a document is judged by the log weight that ``LENGTH`` of its features have on average (by its own, if it
+has fewer), since a sum over all features grows with the length. k is the number of documents for which that is at least
+``least``, and the noise is added to it: what is likelier under the raw model by more than that goes.
 
 The target is a sample of at most ``max_target`` labelled ids (those with the smallest hashes); the raw model and the
 weights cover all documents. Without a good label every document is taken. Null and empty texts have weight 0; rows with the
@@ -28,6 +32,8 @@ from .staging import packed, release, staged, unpacked
 BITS = 14
 MAX_TARGET = 50_000
 LEAST = -16.0
+#: Occurrences added to a bucket's count and to the expected one; features beyond which a log weight is scaled down.
+PRIOR, LENGTH = 10.0, 200
 BROADCAST_BYTES = 64 << 20
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -71,33 +77,35 @@ def _counts(bits: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _weights(ratio: np.ndarray, bits: int) -> Callable[[Batches], Batches]:
+def _weights(ratio: np.ndarray, bits: int, length: int | None) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         tokens = _Tokens()
         for batch in batches:
-            w = np.array([ratio[features(t.as_py(), tokens, bits)].sum() for t in batch["_text"]], np.float64)
+            found = [ratio[features(t.as_py(), tokens, bits)] for t in batch["_text"]]
+            w = np.array([x.sum() for x in found], np.float64)
+            judged = w * np.array([length / max(len(x), length) for x in found], np.float64) if length else w
             u = (batch["_noise"].to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5
-            raw = (w - np.log(-np.log(u / (1 << 53)))).view(np.int64)
+            raw = (judged - np.log(-np.log(u / (1 << 53)))).view(np.int64)
             key = raw ^ ((raw >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))  # sorts as the number does
-            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_hash"], pa.array(w), pa.array(key)], ["_id", "_hash", "log_weight", "_key"])
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_hash"], pa.array(w), pa.array(judged), pa.array(key)], ["_id", "_hash", "log_weight", "_judged", "_key"])
 
     return run
 
 
 def log_ratio(docs: DataFrame, good_ids: DataFrame, *, bits: int = BITS, max_target: int = MAX_TARGET, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
-    """Log of target over raw frequency for each bucket; None without a good document. good_ids has the one column _good_id."""
+    """Log of the target's count over the one that the raw model expects, for each bucket; None without a good document. good_ids has the one column _good_id."""
     sample = good_ids.distinct().orderBy(F.xxhash64("_good_id"), "_good_id").limit(max_target)
     sample = staged(sample.withColumn("_good", F.lit(True)), "good-ids")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_id") == F.col("_good_id"), "left").select("_text", "_good")
     each = rows.mapInArrow(_counts(bits), "bucket long, raw long, target long")
     found = each.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toPandas().to_numpy(np.int64)
     release(sample)
-    raw, target = np.ones(1 << bits), np.ones(1 << bits)
+    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[found[:, 0]] += found[:, 1]
     target[found[:, 0]] += found[:, 2]
     if not len(found) or not found[:, 2].any():
         return None
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))
 
 
 def importance_sample(docs: DataFrame, good_ids: DataFrame, k: int | None = None, *, least: float = LEAST, bits: int = BITS, max_target: int = MAX_TARGET, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,9 +116,9 @@ def importance_sample(docs: DataFrame, good_ids: DataFrame, k: int | None = None
     hashed = F.xxhash64(text_col)
     rows = docs.select(F.col(id_col).alias("_id"), hashed.alias("_hash"), F.xxhash64(F.lit(seed), F.col(id_col), hashed).alias("_noise"), F.col(text_col).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = staged(rows.mapInArrow(_weights(ratio, bits), f"_id {id_type}, _hash long, log_weight double, _key long"), "weights")
+    scored = staged(rows.mapInArrow(_weights(ratio, bits, LENGTH if k is None else None), f"_id {id_type}, _hash long, log_weight double, _judged double, _key long"), "weights")
     if k is None:
-        k = scored.filter(F.col("log_weight") >= least).count()
+        k = scored.filter(F.col("_judged") >= least).count()
     cut = None if whole else kth_largest(scored, "_key", k) if k else 1 << 62
     selected = F.lit(True) if cut is None else F.col("_key") >= cut
     return scored.select(F.col("_id").alias(id_col), "_hash", "log_weight", selected.alias("selected"))

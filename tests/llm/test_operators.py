@@ -204,6 +204,30 @@ def test_quality_splits_junk(spark):
     assert quality.importance_sample(docs, good.limit(0)).filter("not selected").count() == 0
 
 
+def test_quality_keeps_clean_rows_without_a_label(spark, sf_dir):
+    docs = queries._table(spark, sf_dir, "documents")
+    labels = queries._table(spark, sf_dir, "labels")
+    selected = {r["doc_id"]: r["selected"] for r in quality.importance_sample(docs, queries.good_ids(labels)).collect()}
+    labelled = {r["doc_id"] for r in labels.collect()}
+
+    def is_junk(text):
+        w = text.split()
+        return bool(re.search(r"[&#$%*!]{2,}|\w \| \w", text)) or sum(a.lower() == b.lower() for a, b in zip(w, w[1:])) > 0.05 * len(w) or sum(x.isupper() and len(x) > 1 for x in w) > 0.1 * len(w)
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] and r["doc_id"] not in labelled]
+    clean, junk = [i for i, t in rows if not is_junk(t)], [i for i, t in rows if is_junk(t) and len(t.split()) >= 100]
+    assert len(clean) > 50 and len(junk) > 5
+    assert [i for i in clean if not selected[i]] == [] and [i for i in junk if selected[i]] == []
+
+
+def test_quality_does_not_judge_by_length(spark):
+    other = [say(300) for _ in range(30)]
+    rows = [(i, say(300)) for i in range(60)] + [(100, other[0]), (101, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(3)], "_good_id long")
+    assert quality.importance_sample(docs, ids).filter("not selected").count() == 0
+
+
 def test_kth_largest(spark):
     rng = random.Random(3)
     xs = [rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(300)] + [5, 5, 5, -1, 0]
