@@ -5,7 +5,8 @@ mean of what each holds: a blended spectrum of presence bits, hashed into ``2**b
 training sample; Nystroem features of the kernel go into one-versus-rest kernel ridge regression. Scoring is a batched
 product of presence bits, landmarks and weights.
 
-The sample has at most ``per_lang`` texts of each language (those with the smallest hashes); texts are whole everywhere.
+The sample has at most ``per_lang`` different texts of each language (those with the smallest hashes), each once however
+many copies it has; texts are whole everywhere.
 Null texts and texts without a letter are ``und`` with score 0, as is everything if there is no training row. Repeated rows
 get equal results; other columns are not read.
 """
@@ -27,6 +28,7 @@ PER_LANG, LANDMARKS, RIDGE = 400, 128, 1e-2
 UNKNOWN = "und"
 #: Bytes of text and texts handled at once.
 BYTES, TEXTS = 1 << 19, 64
+BROADCAST_BYTES = 64 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -71,7 +73,14 @@ def fit(x: np.ndarray, langs: list[str], n_landmarks: int = LANDMARKS, ridge: fl
 
 def _sampled(bits: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        seen = set()
         for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch["_lang"].to_pylist(), batch["_h"].to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             packed = [np.packbits(presence([t.as_py()], bits)[0].astype(bool)).tobytes() for t in batch["_text"]]
             yield pa.RecordBatch.from_arrays([batch["_lang"], batch["_h"], pa.array(packed, pa.binary())], ["_lang", "_h", "_bits"])
 
@@ -81,15 +90,21 @@ def _sampled(bits: int) -> Callable[[Batches], Batches]:
 def train(docs: DataFrame, *, per_lang: int = PER_LANG, bits: int = BITS, lang_col: str = "lang", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, list[str]] | None:
     """The model of docs' labelled rows; None if no row has both a language and a letter."""
     rows = docs.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64("_text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    texts = staged(rows.select("_lang", "_h").distinct(), "lang-texts")
+    counts = {r[0]: r[1] for r in texts.groupBy("_lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_lang / n + 20 / n))))
-    some = rows.filter(F.shiftrightunsigned("_h", 11) < share[F.col("_lang")] * float(1 << 53))
-    first = F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_text"))  # of few rows: the share is small
-    some = staged(some.withColumn("_k", first).filter(F.col("_k") <= per_lang).drop("_k"), "lang-sample")
-    found = some.mapInArrow(_sampled(bits), "_lang string, _h long, _bits binary").collect()
+    some = texts.filter(F.shiftrightunsigned("_h", 11) < share[F.col("_lang")] * float(1 << 53))
+    first = F.row_number().over(W.partitionBy("_lang").orderBy("_h"))  # of few rows: the share is small
+    some = staged(some.withColumn("_k", first).filter(F.col("_k") <= per_lang).select(F.col("_lang").alias("_l"), F.col("_h").alias("_s")), "lang-sample")
+    release(texts)
+    each = F.broadcast(some) if some.count() * 64 <= BROADCAST_BYTES else some.hint("merge")
+    found = rows.join(each, (F.col("_lang") == F.col("_l")) & (F.col("_h") == F.col("_s"))).select("_lang", "_h", "_text")
+    found = found.mapInArrow(_sampled(bits), "_lang string, _h long, _bits binary").dropDuplicates(["_lang", "_h"]).collect()
     release(some)
+    if not found:
+        return None
     found.sort(key=lambda r: (r[0], r[1]))
     x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
     return fit(x, [r[0] for r in found])

@@ -191,6 +191,15 @@ def test_language_held_out(spark, tmp_path):
     assert [got[i]["lang_pred"] for i in (900, 901, 902, 903, 904)] == ["und", "und", "und", "de", "en"]
 
 
+def test_language_of_copies_is_learned(spark):
+    rows = [(i, "schung ieung der", "de") for i in range(2000)] + [(2000 + i, f"thing on the {say(3)}", "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, per_lang=2)  # by rows the share of German is 24 of 2000
+    assert model[2] == ["de", "en"] and len(model[0]) == 3
+    asked = spark.createDataFrame([(1, "schung der ieung"), (2, "the thing")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(asked, model).collect()} == {1: "de", 2: "en"}
+
+
 def test_quality_splits_junk(spark):
     rng = random.Random(2)
     rows = [(i, say(rng.randint(20, 80)) if i % 4 else " ".join(w.upper() + "!!" for w in say(40).split()), "x") for i in range(400)] + [(500, None, "x"), (501, "", "x")]
