@@ -76,6 +76,16 @@ def signature(s: np.ndarray, n: int) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.minimum.reduce(parts)
 
 
+def one_bits(sig: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, packed into longs.
+
+    A mix of the minimum and its number: the lowest bit of a * x + b is that of x under every odd a, so the minima's own
+    lowest bits do not differ independently of each other.
+    """
+    mixed = _mixed(sig.astype(np.uint64) * _M2 + np.arange(len(sig), dtype=np.uint64) * _M1)
+    return np.packbits(np.pad((mixed >> np.uint64(63)).astype(np.uint8), (0, -len(sig) % 64))).view(np.int64)
+
+
 def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     salt = np.arange(bands, dtype=np.uint64) * _M1
 
@@ -95,7 +105,7 @@ def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
                 ids.append(xxhash.xxh128_digest(s.tobytes()))
                 sig = signature(s, bands * rows)
                 sigs.append(sig.astype(np.uint8).tobytes())
-                flags.append(np.packbits(np.pad((sig & 1).astype(np.uint8), (0, -len(sig) % 64))).view(np.int64))
+                flags.append(one_bits(sig))
                 key = salt.copy()
                 for part in sig.reshape(bands, rows).T.astype(np.uint64):
                     key = _mixed(key * _M2 + part)

@@ -151,6 +151,18 @@ def test_posterior_bounds():
     assert 24 < minhash.most_flips(240, 0.8, 1e-6) < 80
 
 
+def test_one_bits_keep_short_texts():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for n in (6, 11, 16):  # words; with the last left out, 4 of 5, 9 of 10 and 14 of 15 shingles are shared
+        texts = [x for _ in range(1500) for w in [[f"w{rng.getrandbits(60)}" for _ in range(n)]] for x in (" ".join(w), " ".join(w[:-1]))]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["_row", "_id", "_hash", "_text"])
+        bits = [x for out in minhash._sketches(2, 40, 6)(iter([batch])) for x in out["_bits"].to_pylist()]
+        flips = [sum((p ^ q) % (1 << 64) >> k & 1 for p, q in zip(x, y) for k in range(64)) for x, y in zip(bits[::2], bits[1::2])]
+        assert max(flips) <= minhash.most_flips(240, 0.8, 1e-6) and sum(flips) > 0
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
 def test_repeated_bytes_equal_brute_force(spark, docs, hot):
     rows = suffix_dedup.repeated_spans(docs.filter("doc_id is not null").distinct(), 100, hot=hot).collect()
