@@ -3,21 +3,24 @@
 Documents with the same set of word shingles form a class, and only one document of a class goes on. A signature of
 ``bands`` x ``rows`` minima gives band keys; classes that share a key are candidates. First each member is compared with one
 hub, the one with most mates over all bands that it meets in a bucket, which joins dense groups in linear time. In buckets that still
-hold several components, members outside the largest are compared with one of its members, in a few rounds. At last they are
-compared with all members of other components: so each candidate pair is compared or already connected. That join keeps only
-pairs whose one-bit signatures leave the threshold possible.
+hold several components, members outside the largest are compared with one of its members, in a few rounds. At last members
+of such buckets are compared with those of other components that share a shingle of their prefixes: of sets of a and b
+shingles in order of rarity, a similarity of the threshold t needs o = ceil(t (a + b) / (1 + t)) in common, so the first
+a - o + 1 of one and b - o + 1 of the other meet. That is exact, and where many texts lie just under the threshold their prefixes
+hold mostly shingles of their own, so it gives few pairs. Sets are dealt by shingle and size class, since o depends on both sizes.
 
 A pair is compared in batches of its one-byte signatures: it is dropped as soon as the posterior probability (uniform prior)
-that its similarity reaches the threshold falls below ``miss``. Survivors are confirmed on their full sets. At similarity
-0.8, 40 bands of 6 rows miss a pair with probability 5e-6.
+that its similarity reaches the threshold falls below ``miss``. Survivors are confirmed on their full sets, of 64-bit hashes of
+shingles; equal sets are told by a 128-bit hash of these. At similarity 0.8, 40 bands of 6 rows miss a pair with probability 5e-6.
 
-Null and empty texts have an empty set and are linked with nothing. Repeated rows are copies like any others. A null id
-comes after all others. Other columns pass through unread.
+Null and empty texts have an empty set and are linked with nothing. Very long texts are taken whole: a set and its prefixes
+are a row. Repeated rows are copies like any others. A null id comes after all others. Other columns pass through unread.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,23 +79,13 @@ def signature(s: np.ndarray, n: int) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.minimum.reduce(parts)
 
 
-def one_bits(sig: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, packed into longs.
-
-    A mix of the minimum and its number: the lowest bit of a * x + b is that of x under every odd a, so the minima's own
-    lowest bits do not differ independently of each other.
-    """
-    mixed = _mixed(sig.astype(np.uint64) * _M2 + np.arange(len(sig), dtype=np.uint64) * _M1)
-    return np.packbits(np.pad((mixed >> np.uint64(63)).astype(np.uint8), (0, -len(sig) % 64))).view(np.int64)
-
-
 def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     salt = np.arange(bands, dtype=np.uint64) * _M1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            n, ids, sigs, keys, flags = [], [], [], [], []
+            n, ids, sigs, keys = [], [], [], []
             for row, text in zip(batch["_row"].to_pylist(), batch["_text"]):
                 s = shingle_set(text.as_py(), size, hashes)
                 n.append(len(s))
@@ -100,18 +93,17 @@ def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
                     ids.append(b"row" + row.to_bytes(8, "big"))
                     sigs.append(None)
                     keys.append([])
-                    flags.append([])
                     continue
                 ids.append(xxhash.xxh128_digest(s.tobytes()))
                 sig = signature(s, bands * rows)
                 sigs.append(sig.astype(np.uint8).tobytes())
-                flags.append(one_bits(sig))
                 key = salt.copy()
                 for part in sig.reshape(bands, rows).T.astype(np.uint64):
                     key = _mixed(key * _M2 + part)
                 keys.append(key.view(np.int64))
-            longs = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([*map(np.asarray, xs), np.empty(0, np.int64)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["_row"], batch["_id"], batch["_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), longs(keys), longs(flags)], ["_row", "_id", "_hash", "_n", "_class", "_sig", "_keys", "_bits"])
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *keys]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["_row"], batch["_id"], batch["_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), keys], ["_row", "_id", "_hash", "_n", "_class", "_sig", "_keys"])
 
     return run
 
@@ -144,15 +136,69 @@ def least_matches(n_hashes: int, batch: int, threshold: float, miss: float) -> t
     return tuple(out)
 
 
+def least_common(a: int, b: int, percent: int) -> int:
+    """The fewest shingles that sets of a and b have in common if 100 * intersection >= percent * union."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def size_class(n: int) -> int:
+    """Sizes within about a fiftieth of each other share a class."""
+    return int(math.log(n) / math.log(1.02))
+
+
 @functools.cache
-def most_flips(n_hashes: int, threshold: float, miss: float) -> int:
-    """The most differing bits among n_hashes one-bit minima with which P(similarity >= threshold) is still ``miss`` or more."""
-    j = (np.arange(4000) + 0.5) / 4000
-    p = (1 + j) / 2
-    d = np.arange(n_hashes + 1)[:, None]
-    log = (n_hashes - d) * np.log(p) + d * np.log1p(-p)
-    w = np.exp(log - log.max(1, keepdims=True))
-    return int(np.flatnonzero(w[:, j >= threshold].sum(1) / w.sum(1) >= miss).max())
+def least_of_class(c: int) -> int:
+    """The smallest size of the classes from c on."""
+    n = max(1, int(1.02**c) - 1)
+    while size_class(n) < c:
+        n += 1
+    return n
+
+
+def prefix_lengths(n: int, percent: int) -> list[tuple[int, bool, int]]:
+    """(class, is the larger, prefix length) of a set of n shingles.
+
+    As the smaller of a pair it meets others in its own class, by the prefix for a partner of its own size, the longest
+    that such pairs need. As the larger it goes to each class of sizes from percent of n to n, by the prefix for the
+    smallest size of that class.
+    """
+    own = size_class(n)
+    out = [(own, False, n - least_common(n, n, percent) + 1)]
+    least = -(-percent * n // 100)
+    for c in range(size_class(least), own + 1):
+        lo = max(least, least_of_class(c))
+        if size_class(lo) == c:
+            out.append((c, True, n - least_common(lo, n, percent) + 1))
+    return out
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for row, each in zip(batch["_row"].to_pylist(), batch["_set"]):
+            x = np.frombuffer(each.as_buffer(), np.int64)
+            for at in range(0, len(x), 1 << 16):
+                part = x[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row)), pa.array(part)], ["_row", "_shingle"])
+
+
+def _prefixes(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sets in order of rarity: a row for each class, role and shingle of the prefix."""
+
+    types = [np.int32, np.int64, np.bool_, np.int64, np.int64, np.int64, np.int64]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), 64):
+                batch, out = whole.slice(k, 64), [[np.empty(0, t)] for t in types]
+                for row, c, each in zip(batch["_row"].to_pylist(), batch["_c"].to_pylist(), batch["_sorted"]):
+                    x = each.values.to_numpy()
+                    for cls, larger, n in prefix_lengths(len(x), percent):
+                        for col, v in zip(out, (cls, x[:n], larger, row, c, len(x), np.arange(n))):
+                            col.append(np.broadcast_to(v, n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col).astype(t)) for col, t in zip(out, types)], ["_cls", "_shingle", "_larger", "_row", "_c", "_n", "_at"])
+
+    return run
 
 
 def _promising(n_hashes: int, threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -202,6 +248,26 @@ def _distinct_pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (_row, _c) with different _c that the threshold leaves possible, by their prefixes; staged."""
+    members = staged(members, "members")
+    each = staged(sets.join(members, "_row").select("_row", "_set").mapInArrow(_shingles, "_row long, _shingle long"), "shingles")
+    many = staged(each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_many")), "rarity")
+    ranked = each.join(many, "_shingle").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_many", "_shingle"))).alias("_sorted"))
+    ranked = ranked.join(members, "_row").select("_row", "_c", F.col("_sorted._shingle").alias("_sorted"))
+    prefix = staged(ranked.mapInArrow(_prefixes(percent), "_cls int, _shingle long, _larger boolean, _row long, _c long, _n long, _at long"), "prefixes")
+    for x in (members, each, many):
+        release(x)
+    large = prefix.filter("_larger").select("_cls", "_shingle", *(F.col(c).alias(f"{c}1") for c in ("_row", "_c", "_n", "_at")))
+    ordered = (F.col("_n") < F.col("_n1")) | ((F.col("_n") == F.col("_n1")) & (F.col("_row") < F.col("_row1")))
+    left = F.least(F.col("_n") - F.col("_at"), F.col("_n1") - F.col("_at1"))  # the most in common from this shingle on
+    enough = left * (100 + percent) >= (F.col("_n") + F.col("_n1")) * percent
+    pairs = prefix.filter("not _larger").join(large, ["_cls", "_shingle"]).filter((F.col("_c") != F.col("_c1")) & ordered & enough)
+    pairs = staged(pairs.select(*_distinct_pairs("_row", "_row1")).distinct(), "prefix-pairs")
+    release(prefix)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6) -> DataFrame:
     """A row per document: id, _hash (of the text), n_shingles, component_id (smallest id reachable), first (whether it is the one to stay).
 
@@ -209,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     """
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketch = staged(slim.mapInArrow(_sketches(size, bands, rows), f"_row long, _id {id_type}, _hash long, _n long, _class binary, _sig binary, _keys array<long>, _bits array<long>"), "sketches")
+    sketch = staged(slim.mapInArrow(_sketches(size, bands, rows), f"_row long, _id {id_type}, _hash long, _n long, _class binary, _sig binary, _keys array<long>"), "sketches")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first")
     classes = staged(sketch.groupBy("_class").agg(first).select("_class", "_first"), "classes")
 
@@ -226,6 +292,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
 
     near = buckets.select("_row").distinct().join(sketch.select("_row", "_id", "_hash"), "_row").select("_row", F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
     texts = slim.drop("_row").join(near, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_row", "_text")
+    if sketch.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").limit(1).count():
+        texts = texts.dropDuplicates(["_row"])  # rows that repeat give a class's text once each
     sets = staged(texts.mapInArrow(_sets(size), "_row long, _set binary"), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -267,22 +335,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
         label, left, mixed = split(found, k)
 
     if mixed.limit(1).count():
-        within = left.join(mixed.drop("_other"), "_key")
-        own = within.groupBy("_row").agg(F.collect_set("_key").alias("_keys"))  # at most one a band
-        within = staged(within.join(own, "_row").join(sketch.select("_row", "_bits"), "_row"), "left-bits")
-        outer = within.filter("_c <> _main").select("_key", F.col("_row").alias("_row1"), F.col("_c").alias("_c1"), F.col("_bits").alias("_bits1"), F.col("_keys").alias("_keys1"))
-        words = -(-bands * rows // 64)
-        flips = sum((F.bit_count(F.col("_bits")[k].bitwiseXOR(F.col("_bits1")[k])) for k in range(words)), F.lit(0))
-        elsewhere = (F.col("_c") != F.col("_c1")) & ((F.col("_c") == F.col("_main")) | (F.col("_row") > F.col("_row1")))
-        once = F.col("_key") == F.array_min(F.array_intersect("_keys", "_keys1"))  # a pair counts in the first bucket that it shares
-        near = F.when(flips <= most_flips(bands * rows, percent / 100, miss), once)
-        pairs = outer.join(within.withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & elsewhere & near)
-        pairs = staged(pairs.select(*_distinct_pairs("_row", "_row1")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = staged(_prefix_pairs(left.join(mixed, "_key").select("_row", "_c").distinct(), sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             found = found.unionByName(links(pairs))
             release(label)
             label = components(found)
-        release(within)
         release(pairs)
     for x in (left, mixed, sets, buckets):
         release(x)

@@ -148,19 +148,62 @@ def test_drop_near_duplicates_keeps_one(spark, docs):
 def test_posterior_bounds():
     least = minhash.least_matches(240, 40, 0.8, 1e-6)
     assert list(least) == sorted(least) and least[-1] < 0.8 * 240
-    assert 24 < minhash.most_flips(240, 0.8, 1e-6) < 80
 
 
-def test_one_bits_keep_short_texts():
-    import pyarrow as pa
-
+def test_prefixes_keep_every_link():
     rng = random.Random(9)
-    for n in (6, 11, 16):  # words; with the last left out, 4 of 5, 9 of 10 and 14 of 15 shingles are shared
-        texts = [x for _ in range(1500) for w in [[f"w{rng.getrandbits(60)}" for _ in range(n)]] for x in (" ".join(w), " ".join(w[:-1]))]
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["_row", "_id", "_hash", "_text"])
-        bits = [x for out in minhash._sketches(2, 40, 6)(iter([batch])) for x in out["_bits"].to_pylist()]
-        flips = [sum((p ^ q) % (1 << 64) >> k & 1 for p, q in zip(x, y) for k in range(64)) for x, y in zip(bits[::2], bits[1::2])]
-        assert max(flips) <= minhash.most_flips(240, 0.8, 1e-6) and sum(flips) > 0
+    kept = 0
+    for _ in range(3000):
+        a, b = sorted((rng.randint(1, 60), rng.randint(1, 60)))
+        common = a - rng.randint(0, a // 4 + 1) if a > 4 else a
+        x, y = set(range(common)) | set(range(100, 100 + a - common)), set(range(common)) | set(range(200, 200 + b - common))
+        rank = {s: rng.random() for s in x | y}
+        x, y = sorted(x, key=rank.get), sorted(y, key=rank.get)
+        small = {(c, s) for c, larger, n in minhash.prefix_lengths(a, 80) if not larger for s in x[:n]}
+        large = {(c, s) for c, larger, n in minhash.prefix_lengths(b, 80) if larger for s in y[:n]}
+        if 100 * common >= 80 * (a + b - common):
+            kept += 1
+            assert small & large, (a, b, common)
+    assert kept > 200
+
+
+def counted(monkeypatch):
+    """The numbers of pairs that near_duplicates compares, as it runs."""
+    found, staged = [], minhash.staged
+
+    def count(df, name):
+        out = staged(df, name)
+        if name == "pairs":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "staged", count)
+    return found
+
+
+def test_group_just_under_the_threshold_gives_few_pairs(spark, monkeypatch):
+    w = BASE.split(" ")
+    rows = []
+    for i in range(300):  # 120 words, of which 7 are new: 14 of 119 shingles differ from the source's, so pairs are at 0.79 or less
+        x = list(w)
+        for k, at in enumerate(random.Random(i).sample(range(1, 119, 2), 7)):
+            x[at] = f"n{i}k{k}"
+        rows.append((i, " ".join(x)))
+    pairs = counted(monkeypatch)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == {i: c for i, (_, c) in brute.near_duplicates(rows).items()}
+    assert sum(pairs) < 3000, pairs  # of 44,850
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    two = [(1, BASE), (2, near(BASE, 2))]
+    pairs, sets = counted(monkeypatch), []
+    confirmed = minhash._with
+    monkeypatch.setattr(minhash, "_with", lambda pairs, table, what: sets.append(table.count()) or confirmed(pairs, table, what))
+    for m in (1, 100):
+        rows = minhash.near_duplicates(spark.createDataFrame(two * m, "doc_id long, text string").repartition(7), size=2).collect()
+        assert {r["component_id"] for r in rows} == {1} and len(rows) == 2 * m and sum(r["first"] for r in rows) == 1
+    assert pairs == [1, 1] and sets[1] == sets[3] == 2
 
 
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
