@@ -1,6 +1,7 @@
 """Site-relative line frequency, with DataFrame functions only.
 
-A line is boilerplate on a host if more than ``ratio`` of the host's pages, and at least ``min_pages``, hold it. Lines are
+A line is boilerplate on a host if more than ``ratio`` of the host's pages hold it. ``min_pages`` protects only hosts of a few
+pages, where one page or two are more than the ratio already. Lines are
 first counted by hash (hashes that collide only add to a count, so no line is missed); those that may pass are counted
 again by text. What remains, a list of lines for each host, has at most (lines per page / ratio) entries a host.
 
@@ -29,7 +30,7 @@ def _joined(docs: DataFrame, lists: DataFrame, size: int) -> DataFrame:
     return docs.join(lists, F.col("_host").eqNullSafe(F.col("_list_host")), "left").drop("_list_host")
 
 
-def boilerplate_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def boilerplate_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Rows (_host, line, pages, host_pages) of the boilerplate; staged."""
     slim = docs.select(F.col(host_col).cast("string").alias("_host"), F.col(text_col).alias("_text"))
     pages = slim.groupBy("_host").agg(F.count(F.lit(1)).alias("host_pages"))
@@ -43,7 +44,7 @@ def boilerplate_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10,
     return staged(enough(line.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("pages"))), "lines")
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 10, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """docs without boilerplate lines, with ``n_lines`` and ``n_removed`` added."""
     lines = boilerplate_lines(docs, ratio, min_pages, text_col=text_col, host_col=host_col)
     lists = lines.groupBy(F.col("_host").alias("_list_host")).agg(F.collect_list("line").alias("_drop"))

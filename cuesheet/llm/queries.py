@@ -70,7 +70,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=0.1, min_pages=10)
+    kept = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=0.1, min_pages=3)
     return kept.select("doc_id", "source", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -22,7 +22,7 @@ SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, k = 1 AS kept, sha256(t
     "op10_line_dedup": r"""
 WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS r, string_split(text, chr(10)) AS lines FROM documents),
 pages AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-bad AS (SELECT c.source, c.line FROM (SELECT source, line, count(*) AS c FROM (SELECT source, r, unnest(list_distinct(lines)) AS line FROM d) WHERE trim(line, ' ') <> '' GROUP BY source, line) c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source WHERE c.c >= 10 AND c.c > p.n * CAST(0.1 AS DOUBLE)),
+bad AS (SELECT c.source, c.line FROM (SELECT source, line, count(*) AS c FROM (SELECT source, r, unnest(list_distinct(lines)) AS line FROM d) WHERE trim(line, ' ') <> '' GROUP BY source, line) c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source WHERE c.c >= 3 AND c.c > p.n * CAST(0.1 AS DOUBLE)),
 lists AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 kept AS (SELECT d.doc_id, d.source, d.text, d.lines, CASE WHEN bad IS NULL THEN d.lines ELSE list_filter(d.lines, lambda x: NOT list_contains(bad, x)) END AS k FROM d LEFT JOIN lists ON d.source IS NOT DISTINCT FROM lists.source)
 SELECT doc_id, source, CAST(coalesce(len(list_filter(lines, lambda x: trim(x, ' ') <> '')), 0) AS BIGINT) AS n_lines,

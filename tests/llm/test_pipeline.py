@@ -6,14 +6,14 @@ import pytest
 
 
 def plain_lines(rows):
-    """{doc_id: text} without lines on more than a tenth, and at least ten, of a source's pages."""
+    """{doc_id: text} without lines on more than a tenth, and at least three, of a source's pages."""
     pages, seen = {}, {}
     for r in rows:
         pages[r["source"]] = pages.get(r["source"], 0) + 1
         for x in set((r["text"] or "").split("\n")):
             if x.strip(" "):
                 seen[r["source"], x] = seen.get((r["source"], x), 0) + 1
-    bad = {k for k, n in seen.items() if n >= 10 and n > 0.1 * pages[k[0]]}
+    bad = {k for k, n in seen.items() if n >= 3 and n > 0.1 * pages[k[0]]}
     return {r["doc_id"]: r["text"] and "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in bad) for r in rows}
 
 
