@@ -5,7 +5,8 @@ pages, where one page or two are more than the ratio already. Lines are
 first counted by hash (hashes that collide only add to a count, so no line is missed); those that may pass are counted
 again by text. What remains, a list of lines for each host, has at most (lines per page / ratio) entries a host.
 
-Null text counts as a page without lines and stays null; blank lines are never dropped; a null host is a host of its own;
+Null text counts as a page without lines and stays null; empty text is a page with a blank line; very long texts are split
+whole within their row; blank lines are never dropped; a null host is a host of its own;
 repeated rows are pages of their own; other columns pass through.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import packed, staged, unpacked
+from .staging import packed, spare_name, staged, unpacked
 
 #: Lists of lines larger than this, all together, are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -45,7 +46,7 @@ def boilerplate_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, *
 
 
 def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without boilerplate lines, with ``n_lines`` and ``n_removed`` added."""
+    """docs without boilerplate lines, with ``n_lines`` and ``n_removed`` added (with underscores behind them if docs has such columns)."""
     lines = boilerplate_lines(docs, ratio, min_pages, text_col=text_col, host_col=host_col)
     lists = lines.groupBy(F.col("_host").alias("_list_host")).agg(F.collect_list("line").alias("_drop"))
     size = lines.agg(F.coalesce(F.sum(F.octet_length("line") + 16), F.lit(0))).first()[0]
@@ -56,4 +57,4 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, *,
     filled = lambda xs: F.when(text.isNull(), 0).otherwise(F.size(F.filter(xs, lambda x: F.trim(x) != ""))).cast("long")
     out = out.withColumns({"_n": filled(split), "_left": filled(F.col("_kept"))})
     kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join("_kept", "\n"))
-    return unpacked(out, docs, **{text_col: kept, "n_lines": F.col("_n"), "n_removed": F.col("_n") - F.col("_left")})
+    return unpacked(out, docs, **{text_col: kept, spare_name(docs, "n_lines"): F.col("_n"), spare_name(docs, "n_removed"): F.col("_n") - F.col("_left")})

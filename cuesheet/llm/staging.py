@@ -73,6 +73,14 @@ def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     return rows.select(*own, *(c.alias(n) for n, c in new.items() if n not in docs.columns))
 
 
+def spare_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores behind it as long as docs has such a column: for columns that an operator adds."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(df: DataFrame) -> None:
     """Delete a staged table that no lazy plan reads any more."""
     path = getattr(df, "staged_path", None)

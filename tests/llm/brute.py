@@ -79,3 +79,32 @@ def mix(rows, weights=(5, 2, 1), cap=3):
     for s in open_:
         target[s] = left * w[s] / sum(w[x] for x in open_)
     return target
+
+
+def pareto(rows, weights=(5, 2, 1), cap=3):
+    """Copies of rows (source, size, 64-bit number): whole copies, then a sequential draw in Pareto order, then the smallest that is left if it comes closer."""
+    target, sizes = mix([r[:2] for r in rows], weights, cap), {}
+    for s, n, _ in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    copies = [0] * len(rows)
+    for s, t in target.items():
+        e = t / sizes[s] if sizes[s] else 0.0
+        base = min(int(e), cap)
+        p, gap, order = e - base, t - base * sizes[s], []
+        for k, (source, n, h) in enumerate(rows):
+            if source == s and n:
+                copies[k] = base
+                u = ((h % (1 << 64) >> 11) + 0.5) / (1 << 53)
+                order.append((u * (1 - p) / (u * (1 - p) + (1 - u) * p) if p else 1.0, h, n, k))
+        if base == cap:
+            continue
+        left = []
+        for v, h, n, k in sorted(order):
+            if n <= gap:
+                copies[k] += 1
+                gap -= n
+            else:
+                left.append((n, v, h, k))
+        if left and min(left)[0] < 2 * gap:
+            copies[min(left)[3]] += 1
+    return copies

@@ -101,19 +101,59 @@ def test_block_names_survive_colliding_hashes(docs):
         assert sorted(map(str, exact_dedup.exact_duplicates(docs, block_bytes=block, hash_bits=bits).drop("kept").collect())) == want
 
 
+def drawn(spark, docs, seed=7):
+    """Rows (doc_id, source, size, copies) of a plain draw."""
+    rows = docs.select("doc_id", "source", mixing.n_words(F.col("text")), F.xxhash64(F.lit(seed), "doc_id", "source", "text")).collect()
+    seen, numbered = {}, []
+    for r in rows:
+        numbered.append((r[3], seen.setdefault(r[3], 0)))
+        seen[r[3]] += 1
+    hashes = {(r[0], r[1]): r[2] for r in spark.createDataFrame(numbered, "t long, k long").select("t", "k", F.xxhash64("t", "k")).collect()}
+    copies = brute.pareto([(r[1], r[2], t if k == 0 else hashes[t, k]) for r, (t, k) in zip(rows, numbered)])
+    return sorted(str((*r[:3], c)) for r, c in zip(rows, copies))
+
+
 def test_mix(spark, docs):
     rows = mixing.mix_counts(docs).collect()
-    sizes = [(r["source"], r["size"]) for r in rows]
-    want, had, got = brute.mix(sizes), {}, {}
+    want, had, got = brute.mix([(r["source"], r["size"]) for r in rows]), {}, {}
     for r in rows:
         assert r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= 3 * r["size"] and r["taken"] % max(r["size"], 1) == 0
         had[r["source"]] = max(had.get(r["source"], 0), r["size"])
         got[r["source"]] = got.get(r["source"], 0) + r["taken"]
     for s, t in want.items():
-        assert abs(got[s] - t) <= had[s] / 2 + 1
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_counts(docs.repartition(5)).collect()))
-    mixed = mixing.mix_documents(docs)
-    assert mixed.columns == [*docs.columns, "copy"] and mixed.count() == sum(r["copies"] for r in rows)
+        assert abs(got[s] - t) <= had[s] / 2
+    plain = lambda rows: sorted(str((r["doc_id"], r["source"], r["size"], r["copies"])) for r in rows)
+    assert plain(rows) == drawn(spark, docs) == plain(mixing.mix_counts(docs.repartition(5)).collect())
+    mixed = mixing.mix_documents(docs.withColumn("copy", F.lit(-1)))
+    assert mixed.columns == [*docs.columns, "copy", "copy_"]
+    taken = {}
+    for r in mixed.collect():
+        assert r["copy"] == -1
+        taken[r["doc_id"], r["text"]] = taken.get((r["doc_id"], r["text"]), 0) + 1
+    counts = {}
+    for r in rows:
+        counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + r["copies"]
+    by_id = {}
+    for (i, _), n in taken.items():
+        by_id[i] = by_id.get(i, 0) + n
+    assert by_id == {i: n for i, n in counts.items() if n}
+
+
+def test_mix_draws_repeated_rows_each(spark):
+    rows = [(i, f"{i} " * 10, "s0") for i in range(100)] + [(500, "x " * 10, "s1")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix_counts(docs).collect()
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in ("s0", "s1")}
+    assert abs(taken["s0"] - 10000 / 7) <= 5 and abs(taken["s1"] - 4000 / 7) <= 5
+    assert sorted(str((r["doc_id"], r["source"], r["size"], r["copies"])) for r in got) == drawn(spark, docs)
+    assert mixing.mix_documents(docs).filter("source = 's1'").count() == taken["s1"] / 10
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"host{i % 900}") for i in range(3000)]
+    got = mixing.mix_counts(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    want = brute.mix([(r["source"], r["size"]) for r in got])
+    assert all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
 
 
 def test_mix_is_close_for_many_sources(spark, sf_dir):
