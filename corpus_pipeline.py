@@ -25,7 +25,8 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on more than a tenth of their source's pages go; n_chars follows."""
     kept = line_dedup.drop_boilerplate(docs, ratio=0.1, min_pages=3)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    n_removed = F.col(kept.columns[-1])
+    n_chars = F.when(n_removed > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return (kept.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)) if n_chars is not None else kept).select(*docs.columns)
 
 
