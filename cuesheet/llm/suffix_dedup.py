@@ -4,16 +4,18 @@ Every byte that lies in a string of ``length`` bytes which also starts elsewhere
 
 1. Windows of ``length`` bytes are assigned to the smallest hashed ``gram``-byte string inside them. Equal windows have equal
    smallest grams, so only windows whose gram occurs at least twice can repeat. Neighbouring windows with the same gram form a
-   run; a run's bytes are named by a polynomial hash. Runs of a gram with equal bytes repeat as a whole.
-2. Of grams that occur in different runs, one run for each different string is taken, and its windows are sorted as suffixes:
+   run; a run's bytes are named by a polynomial hash. Runs of a gram with equal names repeat as a whole, once their bytes have
+   been compared: the smallest and the largest of a name must be equal, else its runs are sorted one by one.
+2. Of grams that occur in different runs, one run for each name is taken, and its windows are sorted as suffixes:
    a merge sort in which two suffixes are compared by the binary search of their common extension over prefix polynomial
-   hashes. Neighbours that agree on all bytes of a window, verified byte by byte, repeat. Sorting is done in chunks of bounded
-   size that hold a gram's runs together; only grams with more than HOT runs are dealt over several chunks, and their windows
-   are counted over chunks by a 128-bit digest.
+   hashes. Neighbours that agree on all bytes of a window, verified byte by byte, repeat. A gram's runs are dealt to as many
+   chunks as their number asks for, ``most`` runs each, which are sorted apart. If there are several, their different
+   windows meet again by a 128-bit digest, and those whose digest another chunk has too by their bytes.
 3. The removed intervals go back to their documents' texts.
 
 Texts are found again by id and two 64-bit hashes; rows that repeat share one result. Null is empty; documents shorter than
-``length`` keep all bytes; repeated rows are copies like any others; other columns are not read.
+``length`` keep all bytes; very long texts are hashed in pieces, but a text and the list of its repeated runs are a row;
+repeated rows are copies like any others; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from .staging import release, staged
 PIECE, PLACE_BITS = 1 << 20, 24
 #: Windows sorted at once.
 CHUNK = 1 << 16
-#: Runs of a gram beyond which they are dealt over several chunks.
-HOT = 4096
+#: Runs of a gram that are sorted together.
+MOST = 1024
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 _M = np.uint64(0xFF51AFD7ED558CCD)
 Batches = Iterator[pa.RecordBatch]
@@ -196,28 +198,29 @@ def _placed(x: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(length: int) -> Callable[[Batches], Batches]:
-    """The bytes of runs to be sorted."""
-    names, types = ["key", "total", "_row", "p", "n", "many", "raw"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+def _contexts(length: int, lists: str, fields: dict[str, pa.DataType]) -> Callable[[Batches], Batches]:
+    """The runs of a column of lists, with their bytes."""
+    names, types = ["_row", "p", "n", *fields, "raw"], [pa.int64(), pa.int64(), pa.int32(), *fields.values(), pa.binary()]
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            out = []
-            for row, text, runs in zip(batch["_row"].to_pylist(), batch["_text"], batch["_reps"]):
-                if wanted := runs.as_py():
-                    raw = (text.as_py() or "").encode()
-                    out += [(r["key"], r["total"], row, r["p"], r["n"], r["many"], raw[r["p"] : r["p"] + r["n"] - 1 + length]) for r in wanted]
-            cols = list(zip(*out)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        for whole in batches:
+            for k in range(0, len(whole), 256):
+                batch, out = whole.slice(k, 256), []
+                for row, text, runs in zip(batch["_row"].to_pylist(), batch["_text"], batch[lists]):
+                    if wanted := runs.as_py():
+                        raw = (text.as_py() or "").encode()
+                        out += [(row, r["p"], r["n"], *(r[f] for f in fields), raw[r["p"] : r["p"] + r["n"] - 1 + length]) for r in wanted]
+                cols = list(zip(*out)) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return run
 
 
-def _repeated(length: int, most: int) -> Callable[[Batches], Batches]:
+def _repeated(length: int, most: int, bits: int) -> Callable[[Batches], Batches]:
     """Of runs in order of their keys: (row, p, n), n windows from p on that repeat.
 
-    A key's runs are sorted together, unless they are more than ``most``: then each chunk also gives (f1, f2, many) for each
-    of its different windows of such keys, with the place of a window that stood alone, to be counted over all chunks.
+    Of keys dealt to several chunks, each chunk also gives (f1, f2, many, w) for each of its different windows w, with the
+    place of a window that stood alone, to be counted over all chunks.
     """
 
     def flush(rows: list) -> pa.RecordBatch:
@@ -236,15 +239,17 @@ def _repeated(length: int, most: int) -> Callable[[Batches], Batches]:
         nxt = np.flatnonzero(~hit | np.r_[np.isin(np.arange(len(order)), first), True])
         end = nxt[np.searchsorted(nxt, edge, side="right")]
         out = [(row[run[edge]], p[run[edge]] + step[edge], end - edge, np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64), np.ones(len(edge), bool))]
+        w = [None] * len(edge)
         lead = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
         hot = total[run[lead]] > most
         lead, count = lead[hot], count[hot]
         if len(lead):
             at = base[run[lead]] + step[lead]
-            digest = np.frombuffer(b"".join(hashlib.blake2b(raw[x : x + length], digest_size=16).digest() for x in at), np.int64).reshape(-1, 2)
+            w += [raw[x : x + length] for x in at]
+            digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in w[len(edge) :]), np.int64).reshape(-1, 2) >> (64 - bits)
             out.append((row[run[lead]], p[run[lead]] + step[lead], np.ones(len(lead), np.int64), digest[:, 0], digest[:, 1], np.minimum(count, 2), count == 1))
         cols = [np.concatenate(x) for x in zip(*out)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["_row", "p", "n", "f1", "f2", "many", "placed"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(w, pa.binary())], ["_row", "p", "n", "f1", "f2", "many", "placed", "w"])
 
     def run(batches: Batches) -> Batches:
         rows, size, last = [], 0, None
@@ -286,8 +291,11 @@ def _removed(length: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, *, gram: int = 32, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeated_spans(docs: DataFrame, length: int = 200, *, gram: int = 32, most: int = MOST, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    bits below 64 makes names and digests collide, for tests.
+    """
     same = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"), F.xxhash64(F.lit(1), text_col).alias("_h2"), F.col(text_col).alias("_text")]
     id_type = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.monotonically_increasing_id().alias("_row"), *same).mapInArrow(_runs(length, gram), f"_row long, _id {id_type}, _h1 long, _h2 long, _bytes long, _sha string, _runs array<struct<key:long,ctx:long,p:long,n:int>>")
@@ -295,37 +303,57 @@ def repeated_spans(docs: DataFrame, length: int = 200, *, gram: int = 32, hot: i
     rows = staged(found.drop("_runs"), "rows")
 
     place = F.shiftleft("p", 16) + F.col("n")  # a run has at most length windows
-    each = found.select(F.inline("_runs"), "_row").select("key", "ctx", "_row", place.alias("_at"))
+    each = found.select(F.inline("_runs"), "_row").select("key", F.shiftright("ctx", 64 - bits).alias("ctx"), "_row", place.alias("_at"))
     keys = each.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("ctx").alias("_lo"), F.max("ctx").alias("_hi")).filter("total > 1")
     keys = staged(keys.select("key", "total", (F.col("_lo") == F.col("_hi")).alias("_same")), "run-keys")
     twice = staged(each.join(keys, "key"), "runs-repeated")
     release(keys)
     release(found)
-    mixed = twice.filter("not _same")
     me = F.struct("_row", "_at")
-    different = staged(mixed.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("_c"), F.min(me).alias("_first"), F.first("total").alias("total")), "runs-different")
-    covered = twice.filter("_same").select("_row", "_at").unionByName(mixed.join(different.filter("_c > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("_row", "_at"))
-    p, n = F.shiftright("_at", 16).alias("p"), F.col("_at").bitwiseAND(F.lit(65535)).cast("int").alias("n")
-    rep = F.struct("p", "n", "key", F.least("_c", F.lit(2)).cast("int").alias("many"), "total")
-    reps = different.select(F.col("_first._row").alias("_row"), F.col("_first._at").alias("_at"), "key", "_c", "total").select("_row", p, n, "key", "_c", "total")
-    lists = covered.groupBy("_row").agg(F.collect_list(F.struct(p, n)).alias("_covered")).join(reps.groupBy("_row").agg(F.collect_list(rep).alias("_reps")), "_row", "full")
-    lists = staged(lists, "run-lists")
-    release(twice)
-    release(different)
-
+    different = staged(twice.filter("not _same").groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("_c"), F.min(me).alias("_first"), F.first("total").alias("total")), "runs-different")
     least = rows.groupBy("_id", "_h1", "_h2").agg(F.min("_row").alias("_row"))  # of rows that repeat, the first has the lists
-    lists = lists.join(least, "_row").select("_row", F.col("_id").alias("_i"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), "_covered", "_reps")
-    texts = docs.select(*same).join(lists, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_i")))
-    texts = staged(texts.select("_row", "_id", "_h1", "_h2", "_text", "_covered", "_reps"), "texts")
-
-    context = texts.filter("_reps is not null").mapInArrow(_contexts(length), "key long, total long, _row long, p long, n int, many int, raw binary")
-    deal = F.when(F.col("total") > hot, F.pmod("_row", F.lit(64))).otherwise(0)
-    windows = staged(context.repartition("key", deal).sortWithinPartitions("key").mapInArrow(_repeated(length, hot), "_row long, p long, n long, f1 long, f2 long, many long, placed boolean"), "windows")
-    elsewhere = staged(windows.filter("many > 0").groupBy("f1", "f2").agg(F.sum("many").alias("_all")).filter("_all > 1").select("f1", "f2"), "windows-repeated")
-    alone = windows.filter("many > 0 and placed").join(elsewhere, ["f1", "f2"], "left_semi")
-    hits = windows.filter("many = 0").select("_row", "p", "n").unionByName(alone.select("_row", "p", "n"))
+
+    def with_lists(apart: DataFrame | None) -> DataFrame:
+        """Texts with the lists of runs that repeat as a whole, and of runs to be sorted; names in ``apart`` stand for different runs."""
+        covered = twice.join(different.filter("_c = 1").select("key", "ctx"), ["key", "ctx"], "left_anti")
+        reps = different.select("key", "ctx", F.col("_first._row").alias("_row"), F.col("_first._at").alias("_at"), F.least("_c", F.lit(2)).cast("int").alias("many"), "total")
+        if apart is not None:
+            covered, reps = (x.join(apart, ["key", "ctx"], "left_anti") for x in (covered, reps))
+            to = least.select(F.col("_id").alias("_i"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), F.col("_row").alias("_to"))
+            to = rows.join(to, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_row", "_to")
+            each = twice.join(apart, ["key", "ctx"], "left_semi").join(to, "_row").groupBy("key", "ctx", F.col("_to").alias("_row"), "_at")
+            reps = reps.unionByName(each.agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("many"), F.first("total").alias("total")))
+        p, n = F.shiftright("_at", 16).alias("p"), F.col("_at").bitwiseAND(F.lit(65535)).cast("int").alias("n")
+        covered = covered.groupBy("_row").agg(F.collect_list(F.struct(p, n, "key", "ctx")).alias("_covered"))
+        reps = reps.groupBy("_row").agg(F.collect_list(F.struct(p, n, "key", "total", "many")).alias("_reps"))
+        lists = staged(covered.join(reps, "_row", "full"), "run-lists")
+        at = lists.join(least, "_row").select("_row", F.col("_id").alias("_i"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), "_covered", "_reps")
+        texts = docs.select(*same).join(at, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_i")))
+        texts = staged(texts.select("_row", "_id", "_h1", "_h2", "_text", "_covered", "_reps"), "texts")
+        release(lists)
+        return texts
+
+    texts = with_lists(None)
+    named = texts.filter("_covered is not null").mapInArrow(_contexts(length, "_covered", {"key": pa.int64(), "ctx": pa.int64()}), "_row long, p long, n int, key long, ctx long, raw binary")
+    apart = staged(named.groupBy("key", "ctx").agg(F.min("raw").alias("_least"), F.max("raw").alias("_most")).filter("_least <> _most").select("key", "ctx"), "names-apart")
+    if apart.limit(1).count():
+        release(texts)
+        texts = with_lists(apart)
+    for x in (twice, different, apart):
+        release(x)
+
+    context = texts.filter("_reps is not null").mapInArrow(_contexts(length, "_reps", {"key": pa.int64(), "total": pa.int64(), "many": pa.int32()}), "_row long, p long, n int, key long, total long, many int, raw binary")
+    deal = F.pmod(F.xxhash64("_row", "p"), F.ceil(F.col("total") / most))
+    sort = context.withColumn("_chunk", deal).repartition("key", "_chunk").sortWithinPartitions("key", "_chunk")
+    windows = staged(sort.mapInArrow(_repeated(length, most, bits), "_row long, p long, n long, f1 long, f2 long, many long, placed boolean, w binary"), "windows")
+    counted = windows.filter("many > 0")
+    elsewhere = staged(counted.groupBy("f1", "f2").agg(F.sum("many").alias("_all"), F.count(F.lit(1)).alias("_chunks")).filter("_all > 1 and _chunks > 1").select("f1", "f2"), "windows-met")
+    met = staged(counted.join(elsewhere, ["f1", "f2"], "left_semi").select("_row", "p", "n", "many", "placed", "w"), "windows-met-bytes")
+    again = staged(met.groupBy("w").agg(F.sum("many").alias("_all")).filter("_all > 1").select("w"), "windows-repeated")
+    alone = met.filter("placed").join(again, "w", "left_semi").select("_row", "p", "n")
+    hits = windows.filter("many = 0").select("_row", "p", "n").unionByName(alone)
     hits = staged(hits.groupBy("_row").agg(F.collect_list(F.struct("p", "n")).alias("_hits")), "hits")
-    for x in (lists, windows, elsewhere):
+    for x in (windows, elsewhere, met, again):
         release(x)
 
     result = texts.join(hits, "_row", "left").mapInArrow(_removed(length), f"_id {id_type}, _h1 long, _h2 long, _removed long, _spans long, _kept string")

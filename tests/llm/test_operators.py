@@ -247,16 +247,17 @@ def test_repeated_rows_are_compared_once(spark, monkeypatch):
     assert pairs == [1, 1] and sets[1] == sets[3] == 2
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_repeated_bytes_equal_brute_force(spark, docs, hot):
-    rows = suffix_dedup.repeated_spans(docs.filter("doc_id is not null").distinct(), 100, hot=hot).collect()
+@pytest.mark.parametrize(("most", "bits"), [(suffix_dedup.MOST, 64), (1, 64), (suffix_dedup.MOST, 1), (2, 2)])
+def test_repeated_bytes_equal_brute_force(spark, docs, most, bits):
+    rows = suffix_dedup.repeated_spans(docs.filter("doc_id is not null").distinct(), 100, most=most, bits=bits).collect()
     want = brute.repeated_bytes({r[:2] for r in documents() if r[0] is not None}, 100)
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == want
 
 
-def test_repeated_rows_remove_all(spark):
+@pytest.mark.parametrize("bits", [64, 1])
+def test_repeated_rows_remove_all(spark, bits):
     t = say(80)
-    rows = [tuple(r)[1:] for r in suffix_dedup.repeated_spans(spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string"), 100).collect()]
+    rows = [tuple(r)[1:] for r in suffix_dedup.repeated_spans(spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string"), 100, bits=bits).collect()]
     assert rows == [(len(t), len(t), 1, hashlib.sha256(b"").hexdigest())] * 2
 
 
