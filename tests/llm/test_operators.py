@@ -75,14 +75,13 @@ def _tables(path):
 
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op2_exact_dedup", "op10_line_dedup"])
 def test_hard_rows_equal_sql(spark, saved, name):
-    text = sql.ORACLES[name]
-    if name == "op1_decontaminate":  # an item without an id is in no list
-        text = text.replace("FROM benchmark)", "FROM benchmark WHERE item_id IS NOT NULL)")
-        spark_rows = queries.op1_decontaminate(spark, saved).drop("n_hit", "contaminated")
-        text = f"SELECT * EXCLUDE (n_hit, contaminated) FROM ({text})"
-        assert compare.of_spark(spark_rows) == compare.of_duckdb(_tables(saved), text)
-        return
-    assert compare.of_spark(queries.queries()[name](spark, saved)) == compare.of_duckdb(_tables(saved), text)
+    assert compare.of_spark(queries.queries()[name](spark, saved)) == compare.of_duckdb(_tables(saved), sql.ORACLES[name])
+
+
+def test_decontaminate_without_a_broadcast(spark, saved, sf_dir, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert compare.of_spark(queries.op1_decontaminate(spark, saved)) == compare.of_duckdb(_tables(saved), sql.ORACLES["op1_decontaminate"])
+    assert compare.of_spark(queries.op1_decontaminate(spark, sf_dir)) == compare.of_duckdb(compare.connect(sf_dir), sql.ORACLES["op1_decontaminate"])
 
 
 def test_decontaminate_removes(spark):
