@@ -3,8 +3,8 @@
 Documents with the same set of word shingles form a class, and only one document of a class goes on. A signature of
 ``bands`` x ``rows`` minima gives band keys; classes that share a key are candidates. First each member is compared with one
 hub, the one with most mates over all bands that it meets in a bucket, which joins dense groups in linear time. In buckets that still
-hold several components, members outside the largest are compared with one of its members, in a few rounds. At last members
-of such buckets are compared with those of other components that share a shingle of their prefixes: of sets of a and b
+hold several components, members outside the largest are compared with one of its members, in a few rounds, as long as
+one in ``WORTH`` of these pairs is a link. At last members of such buckets are compared with those of other components that share a shingle of their prefixes: of sets of a and b
 shingles in order of rarity, a similarity of the threshold t needs o = ceil(t (a + b) / (1 + t)) in common, so the first
 a - o + 1 of one and b - o + 1 of the other meet. That is exact, and where many texts lie just under the threshold their prefixes
 hold mostly shingles of their own, so it gives few pairs. Sets are dealt by shingle and size class, since o depends on both sizes.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .staging import packed, release, staged, unpacked
 
-BANDS, ROWS, BATCH, STAR_ROUNDS = 40, 6, 40, 3
+BANDS, ROWS, BATCH = 40, 6, 40
+STAR_ROUNDS, WORTH = 3, 10
 #: Distinct words whose hashes a task keeps.
 KEPT_WORDS = 200_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -322,14 +323,17 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     release(hubs)
     found = links(tested)
     label, left, mixed = split(found, 0)
+    worth = True
     for k in range(1, STAR_ROUNDS + 1):
-        if not mixed.limit(1).count():
+        if not worth or not mixed.limit(1).count():
             break
         # one partner for each member and component in a round: the largest of those that its buckets offer
         stars = left.join(mixed, "_key").filter("_c <> _main").groupBy("_row", "_main").agg(F.min(F.struct(F.xxhash64(F.lit(k), "_other"), F.col("_other").alias("row"))).alias("_other"))
         stars = stars.select(*_distinct_pairs("_row", "_other.row")).distinct()
         stars = staged(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, found = tested.unionByName(stars), found.unionByName(links(stars))
+        more = links(stars)
+        worth = more.count() * WORTH >= stars.count()
+        tested, found = tested.unionByName(stars), found.unionByName(more)
         for x in (label, left, mixed):
             release(x)
         label, left, mixed = split(found, k)
