@@ -6,9 +6,11 @@ training sample; Nystroem features of the kernel go into one-versus-rest kernel
 product of presence bits, landmarks and weights.
 
 The sample has at most ``per_lang`` different texts of each language (those with the smallest hashes), each once however
-many copies it has; texts are whole everywhere.
-Null texts and texts without a letter are ``und`` with score 0, as is everything if there is no training row. Repeated rows
-get equal results; other columns are not read.
+many copies it has; texts are whole everywhere, very long ones in parts. Only the landmarks' bits reach the driver, at most
+max(n_landmarks, 8 a language) of 2**bits / 8 bytes; of the rest of the sample it gets the sums of the normal equations, one
+part after another.
+Null texts and texts without a letter are ``und`` with score 0, as is everything if there is no training row. Of languages
+with equal scores the first by code point is given. Repeated rows get equal results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ PER_LANG, LANDMARKS, RIDGE = 400, 128, 1e-2
 UNKNOWN = "und"
 #: Bytes of text and texts handled at once.
 BYTES, TEXTS = 1 << 19, 64
+#: Sampled texts whose sums are taken together.
+SUMMED = 8192
 BROADCAST_BYTES = 64 << 20
 Batches = Iterator[pa.RecordBatch]
 
@@ -55,20 +59,33 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / np.outer(norm(x), norm(y))
 
 
-def fit(x: np.ndarray, langs: list[str], n_landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(landmarks' presence, weights by landmark and language, languages) of a sample."""
-    names = sorted(set(langs))
-    y = (np.array(langs)[:, None] == np.array(names)[None, :]).astype(np.float64)
-    turn = np.concatenate([np.flatnonzero(y[:, k]) for k in range(len(names))])
-    rank = np.concatenate([np.arange(int(y[:, k].sum())) for k in range(len(names))])
-    marks = turn[np.argsort(rank, kind="stable")][: max(n_landmarks, 8 * len(names))]  # the languages take turns
-    land = x[marks]
+def nystroem(land: np.ndarray) -> np.ndarray:
+    """The map from kernels with the landmarks to features."""
     value, vector = np.linalg.eigh(kernel(land, land).astype(np.float64))
     good = value > 1e-6
-    root = vector[:, good] / np.sqrt(value[good])
-    phi = kernel(x, land) @ root
-    w = np.linalg.solve(phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1]), phi.T @ y)
-    return land, (root @ w).astype(np.float32), names
+    return vector[:, good] / np.sqrt(value[good])
+
+
+def _sums(land: np.ndarray, root: np.ndarray, names: list[str], bits: int) -> Callable[[Batches], Batches]:
+    """Of sampled rows (_lang, _bits): the rows of features' and features by languages' sums, and the number of texts, for the normal equations."""
+    packed, place = np.packbits(land.astype(bool), axis=1), {name: k for k, name in enumerate(names)}
+
+    def run(batches: Batches) -> Batches:
+        land = np.unpackbits(packed, axis=1).astype(np.float32)
+        total, n = np.zeros((root.shape[1], root.shape[1] + len(names))), 0
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                x = np.unpackbits(np.frombuffer(b"".join(part["_bits"].to_pylist()), np.uint8).reshape(len(part), -1), axis=1).astype(np.float32)
+                y = np.zeros((len(part), len(names)))
+                y[np.arange(len(part)), [place[v] for v in part["_lang"].to_pylist()]] = 1
+                phi = kernel(x, land) @ root
+                total += phi.T @ np.hstack([phi, y])
+                n += len(part)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(total)), pa.array(range(len(total))), pa.array([r.tobytes() for r in total], pa.binary())], ["n", "k", "sums"])
+
+    return run
 
 
 def _sampled(bits: int) -> Callable[[Batches], Batches]:
@@ -82,32 +99,45 @@ def _sampled(bits: int) -> Callable[[Batches], Batches]:
                     new.append(i)
             batch = batch.take(pa.array(new, pa.int64()))
             packed = [np.packbits(presence([t.as_py()], bits)[0].astype(bool)).tobytes() for t in batch["_text"]]
-            yield pa.RecordBatch.from_arrays([batch["_lang"], batch["_h"], pa.array(packed, pa.binary())], ["_lang", "_h", "_bits"])
+            yield pa.RecordBatch.from_arrays([batch["_lang"], batch["_h"], batch["_k"], pa.array(packed, pa.binary())], ["_lang", "_h", "_k", "_bits"])
 
     return run
 
 
-def train(docs: DataFrame, *, per_lang: int = PER_LANG, bits: int = BITS, lang_col: str = "lang", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, list[str]] | None:
-    """The model of docs' labelled rows; None if no row has both a language and a letter."""
+def train(docs: DataFrame, *, per_lang: int = PER_LANG, bits: int = BITS, n_landmarks: int = LANDMARKS, ridge: float = RIDGE, lang_col: str = "lang", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, list[str]] | None:
+    """The model of docs' labelled rows: landmarks' bits, weights by landmark and language, languages; None if no row has both a language and a letter."""
     rows = docs.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64("_text"))
     texts = staged(rows.select("_lang", "_h").distinct(), "lang-texts")
-    counts = {r[0]: r[1] for r in texts.groupBy("_lang").count().collect()}
+    counts = {r[0]: r[1] for r in texts.groupBy("_lang").count().collect()}  # a row a language
     if not counts:
+        release(texts)
         return None
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_lang / n + 20 / n))))
     some = texts.filter(F.shiftrightunsigned("_h", 11) < share[F.col("_lang")] * float(1 << 53))
     first = F.row_number().over(W.partitionBy("_lang").orderBy("_h"))  # of few rows: the share is small
-    some = staged(some.withColumn("_k", first).filter(F.col("_k") <= per_lang).select(F.col("_lang").alias("_l"), F.col("_h").alias("_s")), "lang-sample")
+    some = staged(some.withColumn("_k", first).filter(F.col("_k") <= per_lang).select(F.col("_lang").alias("_l"), F.col("_h").alias("_s"), "_k"), "lang-sample")
     release(texts)
-    each = F.broadcast(some) if some.count() * 64 <= BROADCAST_BYTES else some.hint("merge")
-    found = rows.join(each, (F.col("_lang") == F.col("_l")) & (F.col("_h") == F.col("_s"))).select("_lang", "_h", "_text")
-    found = found.mapInArrow(_sampled(bits), "_lang string, _h long, _bits binary").dropDuplicates(["_lang", "_h"]).collect()
+    size = some.count()
+    each = F.broadcast(some) if size * 64 <= BROADCAST_BYTES else some.hint("merge")
+    found = rows.join(each, (F.col("_lang") == F.col("_l")) & (F.col("_h") == F.col("_s"))).select("_lang", "_h", "_k", "_text")
+    found = staged(found.mapInArrow(_sampled(bits), "_lang string, _h long, _k int, _bits binary").dropDuplicates(["_lang", "_h"]), "lang-bits")
     release(some)
-    if not found:
+    names = sorted(counts)
+    marks = found.orderBy("_k", "_lang").limit(max(n_landmarks, 8 * len(names))).collect()  # the languages take turns
+    if not marks:
+        release(found)
         return None
-    found.sort(key=lambda r: (r[0], r[1]))
-    x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    return fit(x, [r[0] for r in found])
+    land = np.unpackbits(np.frombuffer(b"".join(r["_bits"] for r in marks), np.uint8).reshape(len(marks), -1), axis=1).astype(np.float32)
+    root = nystroem(land)
+    parts = found.repartition(-(-size // SUMMED), F.col("_h")).sortWithinPartitions("_lang", "_h").mapInArrow(_sums(land, root, names, bits), "n long, k long, sums binary")
+    total, n = np.zeros((root.shape[1], root.shape[1] + len(names))), 0
+    for r in parts.toLocalIterator():  # a part in memory at a time
+        total[r["k"]] += np.frombuffer(r["sums"])
+        n += r["n"] if r["k"] == 0 else 0
+    release(found)
+    m = root.shape[1]
+    w = np.linalg.solve(total[:, :m] + ridge * n * np.eye(m), total[:, m:])
+    return land, (root @ w).astype(np.float32), names
 
 
 def _predicted(model: tuple | None, bits: int) -> Callable[[Batches], Batches]:
