@@ -296,6 +296,50 @@ def test_language_of_copies_is_learned(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(asked, model).collect()} == {1: "de", 2: "en"}
 
 
+def test_language_on_the_table(spark, sf_dir):
+    docs = queries._table(spark, sf_dir, "documents")
+    lang = {r["doc_id"]: r["lang"] for r in docs.filter("lang is not null and text rlike '[A-Za-z]'").select("doc_id", "lang").collect()}
+    held = [r["lang_pred"] == lang[r["doc_id"]] for r in queries.op4_language(spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in lang]
+    assert len(held) > 20 and sum(held) >= 0.97 * len(held)
+
+
+def test_language_equals_dense_kernel_ridge(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice(s) for _ in range(2)) for _ in range(rng.randint(1, 9))), lang) for i in range(60) for lang, s in [rng.choice([("a", "abcd"), ("b", "cdef"), ("c", "efab")])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(i, "".join(rng.choice("abcdef ") for _ in range(20)) + "x") for i in range(40)], "doc_id long, text string")
+
+    def grams(text):
+        raw = (" " + text.lower() + " ").encode()
+        code = lambda g: (int.from_bytes(g, "big") + (len(g) << 40)) * 0x9E3779B97F4A7C15 % (1 << 64) >> 50
+        return {code(raw[k : k + n]) for n in range(1, 5) for k in range(len(raw) - n + 1)}
+
+    train = sorted({(lang, t) for _, t, lang in rows})
+    have = [grams(t) for _, t in train]
+    k = lambda x, y: len(x & y) / (len(x) * len(y)) ** 0.5
+    gram = np.array([[k(x, y) for y in have] for x in have])
+    y = np.array([[float(lang == n) for n in "abc"] for lang, _ in train])
+    alpha = np.linalg.solve(gram + langid.RIDGE * len(train) * np.eye(len(train)), y)
+    model = langid.train(docs, n_landmarks=1000)
+    got = {r["doc_id"]: r for r in langid.predict_language(asked, model).collect()}
+    for r in asked.collect():
+        s = np.array([k(grams(r["text"]), x) for x in have]) @ alpha
+        assert got[r["doc_id"]]["score"] == pytest.approx(min(max(s.max(), 0), 1), abs=2e-3)
+        assert got[r["doc_id"]]["lang_pred"] == "abc"[int(s.argmax())] or sorted(s)[-1] - sorted(s)[-2] < 2e-3
+
+
+def test_two_hundred_languages(spark):
+    rng = random.Random(8)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(20)] for k in range(200)}
+    text = lambda v: " ".join(rng.choice(v) for _ in range(12))
+    model = langid.train(spark.createDataFrame([(text(v), k) for k, v in words.items() for _ in range(12)], "text string, lang string"))
+    assert len(model[2]) == 200 and len(model[0]) == 1600
+    asked = spark.createDataFrame([(k, text(v)) for k, v in words.items()], "doc_id string, text string")
+    assert sum(r["doc_id"] == r["lang_pred"] for r in langid.predict_language(asked, model).collect()) > 190
+
+
 def test_quality_splits_junk(spark):
     rng = random.Random(2)
     rows = [(i, say(rng.randint(20, 80)) if i % 4 else " ".join(w.upper() + "!!" for w in say(40).split()), "x") for i in range(400)] + [(500, None, "x"), (501, "", "x")]
@@ -388,7 +432,7 @@ def test_warc_round_trip(spark):
 
 def test_warc_reader_refuses_damage():
     one = warc.record("response", "1", "http://x/", b"payload", None, warc.base32_sha1(b"payload"), 7)
-    assert [b.endswith(b"payload") for _, b in warc.read_records(one + warc.SEPARATOR + one)] == [True, True]
+    assert [(n, p) for _, n, p in warc.read_records(one + warc.SEPARATOR + one)] == [(7, b"payload")] * 2
     with pytest.raises(warc.CutRecord):
         list(warc.read_records(one[:-9]))
     import gzip
@@ -400,6 +444,30 @@ def test_warc_reader_refuses_damage():
         list(warc.read_records(gzip.compress(raw[:-1])))
 
 
+def test_warc_reader_frames_a_large_page_in_steps():
+    import tracemalloc
+
+    page = random.Random(3).randbytes(1 << 16) * (300 * 16)  # 300 MB
+    one = warc.record("response", "1", "http://x/", memoryview(page), None, warc.base32_sha1(page), len(page))
+    tracemalloc.start()
+    for raw in (one, memoryview(one)):
+        assert [(n, p) for _, n, p in warc.read_records(raw, payloads=False)] == [(len(page), None)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20
+
+
+def test_warc_files_are_bounded(spark, tmp_path):
+    noise = random.Random(5)
+    rows = [(i, "u", noise.randbytes(noise.choice([10, 1000, 30_000])).hex()) for i in range(200)] + [(500, "u", noise.randbytes(200_000).hex())]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w", file_bytes=100_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) > 20 and sizes[-2] <= 100_000 + len(warc.SEPARATOR) and sizes[-1] > 200_000
+    got = {int(r["page"]): bytes(r["payload"]).decode() for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert got == {i: t for i, _, t in rows}
+
+
 def test_empty_tables(spark, none):
     bench = spark.createDataFrame([], BENCH)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
