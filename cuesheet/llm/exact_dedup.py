@@ -6,7 +6,7 @@ Texts with as many blocks and the same last name are equal: names never rest on
 hash; where two different blocks share one (their smallest and largest differ), these blocks are named by their bytes.
 Texts cross the network once, after equal blocks of a task have been merged.
 
-Null counts as empty text; all empty texts are equal. Of equal texts the row with the most code points in the original,
+Null counts as empty text; all empty texts are equal. Very long texts are cut into blocks within their row. Of equal texts the row with the most code points in the original,
 then the smallest id (null last) stays; of rows with the same id, one. Other columns don't matter.
 """
 

@@ -10,9 +10,14 @@ If k is not given, a document is judged by the log weight that ``LENGTH`` of its
 has fewer), since a sum over all features grows with the length. k is the number of documents for which that is at least
 ``least``, and the noise is added to it: what is likelier under the raw model by more than that goes.
 
-The target is a sample of at most ``max_target`` labelled ids (those with the smallest hashes); the raw model and the
-weights cover all documents. Without a good label every document is taken. Null and empty texts have weight 0; rows with the
-same id and text share their fate, also where this exceeds k; other columns pass through.
+Sums of log ratios are large beside Gumbel noise (scale 1): the draw decides among documents of nearly equal weight, and is
+nearly a cut elsewhere. What is good but for a few words, such as toxic ones in clean prose, has a weight like any good
+document's and stays: this judges the make of a text, not its topics.
+
+The target is a sample of at most ``max_target`` labelled ids (those with the smallest hashes), a bound that also allows their
+broadcast; the raw model and the weights cover all documents. Without a good label every document is taken. Null and empty
+texts have weight 0; very long ones are counted whole, as a row; rows with the same id and text share their fate, also where
+this exceeds k; other columns pass through.
 """
 
 from __future__ import annotations

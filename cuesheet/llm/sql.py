@@ -55,7 +55,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 WITH h AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM h),
 t AS (SELECT *, regexp_extract(bare, '([^.]+\.[^.]+)\.?$', 1) AS two, regexp_extract(bare, '([^.]+\.[^.]+\.[^.]+)\.?$', 1) AS three, regexp_matches(bare, '^[\d.]+$') AS ip FROM b),
-f AS (SELECT *, two IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', 'gov.uk', 'ne.jp', 'org.uk') AS deep FROM t),
+f AS (SELECT *, regexp_full_match(two, '(ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}') AS deep FROM t),
 p AS (SELECT page_id, host, path, bare, CASE WHEN ip THEN bare WHEN deep THEN two ELSE regexp_extract(bare, '([^.]+)\.?$', 1) END AS suffix, CASE WHEN ip OR (CASE WHEN deep THEN three ELSE two END) = '' THEN bare WHEN deep THEN three ELSE two END AS domain FROM f),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 hosts AS (SELECT bare, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(bad) AS bad FROM p JOIN o USING (page_id) WHERE bare <> '' GROUP BY bare),

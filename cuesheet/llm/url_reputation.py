@@ -5,7 +5,8 @@ domain's to its suffix, a host's to its domain; each prior is a beta distributio
 the spread of the rates below it. A page is blocked if the lower bound of its host's posterior rate (mean less ``z``
 standard deviations) exceeds ``most_bad``. Hosts without labels take the posterior of their domain, suffix or all pages.
 
-Null urls and urls without "://" have an empty host and path, fit no rule and are judged by the rate of all pages. Pages may
+Null and empty urls and urls without "://" have an empty host and path, fit no rule and are judged by the rate of all pages. Very long urls
+are matched whole. Pages may
 repeat; labels without a page count nowhere; other columns are not read.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 
-#: Suffixes of two labels under which domains are registered (an excerpt of the public suffix list).
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "ne.jp", "org.uk")
+#: Registries of countries sell domains under such a label and the country's two letters: com.tr, co.in, ac.uk.
+SECOND_LEVEL = r"(ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}"
 STRENGTH = (1.0, 1000.0)
 #: Bad and good pages taken as seen before any label.
 PRIOR = (0.1, 0.9)
@@ -40,15 +41,21 @@ def bare_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
 
 
-def suffix_of(host: Column) -> Column:
+def _is_deep(two: Column, suffixes: Sequence[str]) -> Column:
+    """Whether domains are registered under the two labels: by the rule of SECOND_LEVEL, or as one of ``suffixes``."""
+    ruled = two.rlike(f"^{SECOND_LEVEL}$")
+    return ruled | two.isin(*suffixes) if suffixes else ruled
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
     two = F.regexp_extract(host, r"([^.]+\.[^.]+)\.?$", 1)
-    return F.when(host.rlike(r"^[\d.]+$"), host).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.regexp_extract(host, r"([^.]+)\.?$", 1))
+    return F.when(host.rlike(r"^[\d.]+$"), host).when(_is_deep(two, suffixes), two).otherwise(F.regexp_extract(host, r"([^.]+)\.?$", 1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
     two = F.regexp_extract(host, r"([^.]+\.[^.]+)\.?$", 1)
     three = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)\.?$", 1)
-    short = F.when(two.isin(*TWO_LABEL_SUFFIXES), three).otherwise(two)
+    short = F.when(_is_deep(two, suffixes), three).otherwise(two)
     return F.when(host.rlike(r"^[\d.]+$") | (short == ""), host).otherwise(short)
 
 
@@ -76,11 +83,11 @@ def _strength(rates: DataFrame, child: str, parent: str) -> float:
     return min(max(x.slope / (x.seen - x.noise) - 1, STRENGTH[0]), STRENGTH[1])
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> tuple[dict[str, DataFrame], tuple[float, float]]:
+def reputations(pages: DataFrame, outcomes: DataFrame, *, suffixes: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> tuple[dict[str, DataFrame], tuple[float, float]]:
     """({level: (key, a, b)} for host, domain and suffix, staged; (a, b) of all pages). outcomes: (id, bad 0/1)."""
     host = bare_host(host_of(F.col(url_col)))
     seen = pages.select(F.col(id_col).alias("_id"), host.alias("host")).filter("host <> ''").join(outcomes.select(F.col(id_col).alias("_id"), F.col("bad").cast("double").alias("bad")).filter("bad is not null"), "_id")
-    hosts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     hosts = staged(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -99,12 +106,15 @@ def reputations(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id
     return out, whole
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], *, most_bad: float = 0.3, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """A row per page: id, host, path, rule, verdict, bad_mean, bad_low (the posterior's mean and lower bound)."""
-    levels, whole = reputations(pages, outcomes, id_col=id_col, url_col=url_col)
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], *, most_bad: float = 0.3, z: float = 1.645, suffixes: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """A row per page: id, host, path, rule, verdict, bad_mean, bad_low (the posterior's mean and lower bound).
+
+    suffixes: further suffixes of two labels under which domains are registered, as from the public suffix list.
+    """
+    levels, whole = reputations(pages, outcomes, suffixes=suffixes, id_col=id_col, url_col=url_col)
     url = F.col(url_col)
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("_bare", bare_host(F.col("host")))
-    rows = rows.withColumns({"_host": F.col("_bare"), "_domain": domain_of(F.col("_bare")), "_suffix": suffix_of(F.col("_bare"))})
+    rows = rows.withColumns({"_host": F.col("_bare"), "_domain": domain_of(F.col("_bare"), suffixes), "_suffix": suffix_of(F.col("_bare"), suffixes)})
     for name, df in levels.items():  # the larger side is the pages; a hot host is split by adaptive execution
         rows = rows.join(df.select(F.col("key").alias(f"_{name}"), F.struct("a", "b").alias(f"_{name}_post")), f"_{name}", "left")
     post = F.coalesce("_host_post", "_domain_post", "_suffix_post", F.struct(F.lit(whole[0]).alias("a"), F.lit(whole[1]).alias("b")))

@@ -353,6 +353,49 @@ def test_quality_splits_junk(spark):
     assert quality.importance_sample(docs, good.limit(0)).filter("not selected").count() == 0
 
 
+def plain_weights(rows, good, bits=14):
+    """{doc_id: (log weight, judged weight)} of rows (doc_id, text), by dictionaries of features."""
+    import math
+    from collections import Counter
+
+    m, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def features(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+        h = [zlib.crc32(t.lower().encode()) for t in tokens]
+        shape = [3 if not (t[0].isalnum() or t[0] == "_") else 2 if len(t) > 1 and t.isupper() else 1 for t in tokens]
+        values = [(1, x) for x in h]
+        values += [(2, (b * m + a) * 0xC2B2AE3D27D4EB4F & mask) for a, b in zip(h, h[1:])]
+        values += [(3, q * 4 + p + 16 * (a == b)) for a, b, p, q in zip(h, h[1:], shape, shape[1:])]
+        return [(v + k & mask) * m % (1 << 64) >> 64 - bits for k, v in values]
+
+    each = [(i, features(t)) for i, t in rows]
+    raw, target = Counter(f for _, fs in each for f in fs), Counter(f for i, fs in each if i in good for f in fs)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {f: math.log((target[f] + quality.PRIOR) / (n * share + quality.PRIOR)) for f, n in raw.items()}
+    sums = [(i, sum(ratio[f] for f in fs), len(fs)) for i, fs in each]
+    return [(i, w, w * quality.LENGTH / max(n, quality.LENGTH)) for i, w, n in sums]
+
+
+def test_quality_draw_equals_plain_python(spark):
+    import math
+
+    rng = random.Random(12)
+    rows = [(i, say(rng.randint(0, 120)) + rng.choice(["", " AND THAT!!", " a a a"])) for i in range(200)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = {i for i in range(0, 120, 3)}
+    ids = spark.createDataFrame([(i,) for i in good], "_good_id long")
+    noise = {r[0]: r[1] % (1 << 64) for r in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text"))).collect()}
+    gumbel = {i: -math.log(-math.log(((n >> 11) + 0.5) / (1 << 53))) for i, n in noise.items()}
+    weights = plain_weights(rows, good)
+    for k in (None, 1, 77):
+        got = {r["doc_id"]: r for r in quality.importance_sample(docs, ids, k).collect()}
+        assert all(got[i]["log_weight"] == pytest.approx(w, abs=1e-9) for i, w, _ in weights)
+        many = sum(j >= quality.LEAST for _, _, j in weights) if k is None else k
+        order = sorted(weights, key=lambda x: -((x[2] if k is None else x[1]) + gumbel[x[0]]))
+        assert {i for i, r in got.items() if r["selected"]} == {i for i, _, _ in order[:many]}
+
+
 def test_quality_keeps_clean_rows_without_a_label(spark, sf_dir):
     docs = queries._table(spark, sf_dir, "documents")
     labels = queries._table(spark, sf_dir, "labels")
@@ -412,6 +455,13 @@ def test_url_rules(spark):
         assert got[i]["verdict"] == (max(fits)[1] if fits else "allow")
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.com.tr": "b.com.tr", "shop.co.in": "shop.co.in", "x.y.example.org": "example.org", "co.uk": "co.uk", "t.co": "t.co", "a.blog.host": "blog.host", "10.0.0.1": "10.0.0.1", "x.u.github.io": "u.github.io"}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = {r[0]: r[1] for r in df.select("h", url_reputation.domain_of(F.col("h"), ["github.io"])).collect()}
+    assert got == hosts
+
+
 def test_bad_host_is_blocked(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i % 5 == 0 else 'h' + str(i % 7)}.site{i % 3}.org/{i}") for i in range(1000)], "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0 or i % 31 == 0)) for i in range(500)], "page_id long, bad int")
