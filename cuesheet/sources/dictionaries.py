@@ -51,83 +51,226 @@ class Dictionary:
     readings: dict[str, tuple[str, ...]] = field(default_factory=dict, hash=False)
 
 
-# Terms with confidence and aliases.
-_TERMS = """
-三元运算符 0.97
-三元表达式 0.95
-Redis 0.98 瑞迪斯|热地斯|瑞迪思|瑞迪兹
-Kafka 0.97 卡夫卡|卡夫咔|卡芙卡
-Docker 0.95 多克尔|道克|码头工人
-Kubernetes 0.95 库伯奈特斯|库伯内特斯|库伯奈提斯
-K8s 0.95 k八s|k八S
-MySQL 0.97 我的S Q L|我的SQL|买S Q L|买SQL|密速尔
-Nginx 0.95 引擎x|恩金克斯|恩静x
-RocketMQ 0.96 火箭MQ|若克特MQ|洛克特MQ
-RabbitMQ 0.95 兔子MQ|拉比特MQ
-SpringBoot 0.92 斯普林布特|弹簧靴
-Spring 0.90 斯普林
-MyBatis 0.92 麦巴蒂斯|麦巴提斯|米巴蒂斯
-PostgreSQL 0.95 博士后S Q L|postgres S Q L
-MongoDB 0.95 芒果DB|蒙戈DB|忙够DB
-Elasticsearch 0.90 弹性搜索|伊拉斯蒂克搜索
-RDB 0.96 R D B|啊弟比
-AOF 0.96 A O F|啊欧艾弗
-JVM 0.95 J V M|吉维艾姆
-API 0.90 A P I|艾皮艾
-HTTP 0.90 H T T P
-JSON 0.90 J S O N|杰森
-JWT 0.92 J W T|吉维提
-TCP 0.90 T C P
-Linux 0.92 里努克斯|林尼克斯|李纽克斯
-GitHub 0.90 吉特哈布|吉特Hub
-ZooKeeper 0.92 祖基帕|动物园管理员
-Nacos 0.95 纳科斯|那科斯
-Sentinel 0.90 森缇诺|圣天诺
-Feign 0.90 费恩|费因
-MinIO 0.95 迷你欧|米尼奥
-pgvector 0.95 p g向量|pg向量
-LangChain4j 0.95 语言链4j|langchain for j
-"""
+# Terms, their confidence and the ways in which they are misheard.
+TERMS = (
+    Term("三元运算符", 0.97),
+    Term("三元表达式", 0.95),
+    Term("Redis", 0.98, ("瑞迪斯", "热地斯", "瑞迪思", "瑞迪兹")),
+    Term("Kafka", 0.97, ("卡夫卡", "卡夫咔", "卡芙卡")),
+    Term("Docker", 0.95, ("多克尔", "道克", "码头工人")),
+    Term("Kubernetes", 0.95, ("库伯奈特斯", "库伯内特斯", "库伯奈提斯")),
+    Term("K8s", 0.95, ("k八s", "k八S")),
+    Term("MySQL", 0.97, ("我的S Q L", "我的SQL", "买S Q L", "买SQL", "密速尔")),
+    Term("Nginx", 0.95, ("引擎x", "恩金克斯", "恩静x")),
+    Term("RocketMQ", 0.96, ("火箭MQ", "若克特MQ", "洛克特MQ")),
+    Term("RabbitMQ", 0.95, ("兔子MQ", "拉比特MQ")),
+    Term("SpringBoot", 0.92, ("斯普林布特", "弹簧靴")),
+    Term("Spring", 0.90, ("斯普林",)),
+    Term("MyBatis", 0.92, ("麦巴蒂斯", "麦巴提斯", "米巴蒂斯")),
+    Term("PostgreSQL", 0.95, ("博士后S Q L", "postgres S Q L")),
+    Term("MongoDB", 0.95, ("芒果DB", "蒙戈DB", "忙够DB")),
+    Term("Elasticsearch", 0.90, ("弹性搜索", "伊拉斯蒂克搜索")),
+    Term("RDB", 0.96, ("R D B", "啊弟比")),
+    Term("AOF", 0.96, ("A O F", "啊欧艾弗")),
+    Term("JVM", 0.95, ("J V M", "吉维艾姆")),
+    Term("API", 0.90, ("A P I", "艾皮艾")),
+    Term("HTTP", 0.90, ("H T T P",)),
+    Term("JSON", 0.90, ("J S O N", "杰森")),
+    Term("JWT", 0.92, ("J W T", "吉维提")),
+    Term("TCP", 0.90, ("T C P",)),
+    Term("Linux", 0.92, ("里努克斯", "林尼克斯", "李纽克斯")),
+    Term("GitHub", 0.90, ("吉特哈布", "吉特Hub")),
+    Term("ZooKeeper", 0.92, ("祖基帕", "动物园管理员")),
+    Term("Nacos", 0.95, ("纳科斯", "那科斯")),
+    Term("Sentinel", 0.90, ("森缇诺", "圣天诺")),
+    Term("Feign", 0.90, ("费恩", "费因")),
+    Term("MinIO", 0.95, ("迷你欧", "米尼奥")),
+    Term("pgvector", 0.95, ("p g向量", "pg向量")),
+    Term("LangChain4j", 0.95, ("语言链4j", "langchain for j")),
+)
+
 # Phrases.
-_PHRASES = (
+PHRASES = (
     Phrase("复制给一个变量", "赋值给一个变量", 0.93),
     Phrase("复制给变量", "赋值给变量", 0.93),
     Phrase("赋制给", "赋值给", 0.93),
     Phrase("复值给", "赋值给", 0.93),
 )
-# Correct Latin words by group with its confidence.
-_SURFACE = {
-    0.97: """abstract assert boolean break byte case catch char class continue default do double else enum extends final finally
-    float for if implements import instanceof int interface long native new package private protected public return short static
-    strictfp super switch synchronized this throw throws transient try void volatile while true false null var yield record
-    sealed permits""",
-    0.95: """String System Scanner Math Object Integer Long Double Float Boolean Character Byte Short Number Thread Runnable
-    Exception RuntimeException Throwable Error Class StringBuffer StringBuilder Comparable Comparator Iterable Collection List
-    ArrayList Map HashMap LinkedHashMap TreeMap Set HashSet TreeSet Queue Deque LinkedList Iterator Optional Stream Collectors
-    Collections Arrays Objects PrintStream InputStream OutputStream BufferedReader InputStreamReader File FileReader FileWriter
-    Random BigInteger BigDecimal LocalDate LocalTime LocalDateTime DateTimeFormatter Duration Period Instant Function Predicate
-    Consumer Supplier Files Path Paths""",
-    0.9: """println printf print nextInt nextLine nextDouble nextBoolean parseInt indexOf toString hashCode valueOf substring
-    startsWith endsWith charAt compareTo getClass notifyAll getName setName forName equals isEmpty keySet entrySet next""",
-    0.96: "Ctrl=control Lua Java Spring",
-}
+
+# Correct Latin words and their confidence.
+SURFACE = (
+    Surface("abstract", 0.97),
+    Surface("assert", 0.97),
+    Surface("boolean", 0.97),
+    Surface("break", 0.97),
+    Surface("byte", 0.97),
+    Surface("case", 0.97),
+    Surface("catch", 0.97),
+    Surface("char", 0.97),
+    Surface("class", 0.97),
+    Surface("continue", 0.97),
+    Surface("default", 0.97),
+    Surface("do", 0.97),
+    Surface("double", 0.97),
+    Surface("else", 0.97),
+    Surface("enum", 0.97),
+    Surface("extends", 0.97),
+    Surface("final", 0.97),
+    Surface("finally", 0.97),
+    Surface("float", 0.97),
+    Surface("for", 0.97),
+    Surface("if", 0.97),
+    Surface("implements", 0.97),
+    Surface("import", 0.97),
+    Surface("instanceof", 0.97),
+    Surface("int", 0.97),
+    Surface("interface", 0.97),
+    Surface("long", 0.97),
+    Surface("native", 0.97),
+    Surface("new", 0.97),
+    Surface("package", 0.97),
+    Surface("private", 0.97),
+    Surface("protected", 0.97),
+    Surface("public", 0.97),
+    Surface("return", 0.97),
+    Surface("short", 0.97),
+    Surface("static", 0.97),
+    Surface("strictfp", 0.97),
+    Surface("super", 0.97),
+    Surface("switch", 0.97),
+    Surface("synchronized", 0.97),
+    Surface("this", 0.97),
+    Surface("throw", 0.97),
+    Surface("throws", 0.97),
+    Surface("transient", 0.97),
+    Surface("try", 0.97),
+    Surface("void", 0.97),
+    Surface("volatile", 0.97),
+    Surface("while", 0.97),
+    Surface("true", 0.97),
+    Surface("false", 0.97),
+    Surface("null", 0.97),
+    Surface("var", 0.97),
+    Surface("yield", 0.97),
+    Surface("record", 0.97),
+    Surface("sealed", 0.97),
+    Surface("permits", 0.97),
+    Surface("String", 0.95),
+    Surface("System", 0.95),
+    Surface("Scanner", 0.95),
+    Surface("Math", 0.95),
+    Surface("Object", 0.95),
+    Surface("Integer", 0.95),
+    Surface("Long", 0.95),
+    Surface("Double", 0.95),
+    Surface("Float", 0.95),
+    Surface("Boolean", 0.95),
+    Surface("Character", 0.95),
+    Surface("Byte", 0.95),
+    Surface("Short", 0.95),
+    Surface("Number", 0.95),
+    Surface("Thread", 0.95),
+    Surface("Runnable", 0.95),
+    Surface("Exception", 0.95),
+    Surface("RuntimeException", 0.95),
+    Surface("Throwable", 0.95),
+    Surface("Error", 0.95),
+    Surface("Class", 0.95),
+    Surface("StringBuffer", 0.95),
+    Surface("StringBuilder", 0.95),
+    Surface("Comparable", 0.95),
+    Surface("Comparator", 0.95),
+    Surface("Iterable", 0.95),
+    Surface("Collection", 0.95),
+    Surface("List", 0.95),
+    Surface("ArrayList", 0.95),
+    Surface("Map", 0.95),
+    Surface("HashMap", 0.95),
+    Surface("LinkedHashMap", 0.95),
+    Surface("TreeMap", 0.95),
+    Surface("Set", 0.95),
+    Surface("HashSet", 0.95),
+    Surface("TreeSet", 0.95),
+    Surface("Queue", 0.95),
+    Surface("Deque", 0.95),
+    Surface("LinkedList", 0.95),
+    Surface("Iterator", 0.95),
+    Surface("Optional", 0.95),
+    Surface("Stream", 0.95),
+    Surface("Collectors", 0.95),
+    Surface("Collections", 0.95),
+    Surface("Arrays", 0.95),
+    Surface("Objects", 0.95),
+    Surface("PrintStream", 0.95),
+    Surface("InputStream", 0.95),
+    Surface("OutputStream", 0.95),
+    Surface("BufferedReader", 0.95),
+    Surface("InputStreamReader", 0.95),
+    Surface("File", 0.95),
+    Surface("FileReader", 0.95),
+    Surface("FileWriter", 0.95),
+    Surface("Random", 0.95),
+    Surface("BigInteger", 0.95),
+    Surface("BigDecimal", 0.95),
+    Surface("LocalDate", 0.95),
+    Surface("LocalTime", 0.95),
+    Surface("LocalDateTime", 0.95),
+    Surface("DateTimeFormatter", 0.95),
+    Surface("Duration", 0.95),
+    Surface("Period", 0.95),
+    Surface("Instant", 0.95),
+    Surface("Function", 0.95),
+    Surface("Predicate", 0.95),
+    Surface("Consumer", 0.95),
+    Surface("Supplier", 0.95),
+    Surface("Files", 0.95),
+    Surface("Path", 0.95),
+    Surface("Paths", 0.95),
+    Surface("println", 0.90),
+    Surface("printf", 0.90),
+    Surface("print", 0.90),
+    Surface("nextInt", 0.90),
+    Surface("nextLine", 0.90),
+    Surface("nextDouble", 0.90),
+    Surface("nextBoolean", 0.90),
+    Surface("parseInt", 0.90),
+    Surface("indexOf", 0.90),
+    Surface("toString", 0.90),
+    Surface("hashCode", 0.90),
+    Surface("valueOf", 0.90),
+    Surface("substring", 0.90),
+    Surface("startsWith", 0.90),
+    Surface("endsWith", 0.90),
+    Surface("charAt", 0.90),
+    Surface("compareTo", 0.90),
+    Surface("getClass", 0.90),
+    Surface("notifyAll", 0.90),
+    Surface("getName", 0.90),
+    Surface("setName", 0.90),
+    Surface("forName", 0.90),
+    Surface("equals", 0.90),
+    Surface("isEmpty", 0.90),
+    Surface("keySet", 0.90),
+    Surface("entrySet", 0.90),
+    Surface("next", 0.90),
+    Surface("Ctrl", 0.96, ("control",)),
+    Surface("Lua", 0.96),
+    Surface("Java", 0.96),
+    Surface("Spring", 0.96),
+)
+
 # Words that are never corrected.
-_STOPWORDS = """hello world yeah gpt gpt6 gbt6 bug name set get student person teacher teach coder number value key call phone sleep
-address gender fashion girl stop open raise rose sub local operator script max alt word first it to and my end ok aok co te ki ev
-wa ra re st ht gro oppo oppos ra in on at as so we he me us am an or no go up is be by te"""
+STOPWORDS = frozenset({
+    "hello", "world", "yeah", "gpt", "gpt6", "gbt6", "bug", "name", "set", "get", "student", "person", "teacher", "teach",
+    "coder", "number", "value", "key", "call", "phone", "sleep", "address", "gender", "fashion", "girl", "stop", "open",
+    "raise", "rose", "sub", "local", "operator", "script", "max", "alt", "word", "first", "it", "to", "and", "my", "end", "ok",
+    "aok", "co", "te", "ki", "ev", "wa", "ra", "re", "st", "ht", "gro", "oppo", "oppos", "ra", "in", "on", "at", "as", "so",
+    "we", "he", "me", "us", "am", "an", "or", "no", "go", "up", "is", "be", "by", "te",
+})
 
 
 def builtin() -> Dictionary:
-    terms = []
-    for line in _TERMS.strip().splitlines():
-        term, confidence, *aliases = line.split(" ", 2)
-        terms.append(Term(term, float(confidence), tuple(aliases[0].split("|")) if aliases else ()))
-    surface = []
-    for confidence, words in _SURFACE.items():
-        for word in words.split():
-            name, _, spoken = word.partition("=")
-            surface.append(Surface(name, confidence, (spoken,) if spoken else ()))
-    return Dictionary(tuple(terms), _PHRASES, tuple(surface), frozenset(_STOPWORDS.split()))
+    return Dictionary(TERMS, PHRASES, SURFACE, STOPWORDS)
 
 
 def _json(spark: SparkSession, path: str) -> dict:
