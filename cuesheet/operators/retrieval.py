@@ -1,8 +1,9 @@
 """Hybrid retrieval: exact vector ranking, keyword ranking, relevance, two-tier gate.
 
-Queries are a DataFrame (query_id, query_vec, grams) of bounded size, so that many are answered in one plan: they are
-broadcast (checked against QUERIES_BYTES) and each segment is read once for all of them. Per query, ``row_number() <= pool``
-becomes a group limit before the shuffle, so only pool rows a task and query are moved.
+Queries are a DataFrame (query_id, query_vec, grams), so that many are answered in one plan. They are broadcast in blocks of
+at most QUERIES_BYTES, and each segment is read once for a block. Which of a block's grams a segment holds is found once a
+segment, and met with each query's grams by number. Per query, ``row_number() <= pool`` becomes a group limit before the
+shuffle, so only pool rows a task, query and list are moved.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import matched_grams, search_grams
+from ..functions.text import contains_any, matched_grams, search_grams
 from ..functions.vectors import cosine, norm
 
 POOL, FLOOR, HIGH, LOW_LIMIT, BOOST = 50, 0.4, 0.6, 3, 0.1
@@ -32,21 +33,29 @@ def with_grams(queries: DataFrame, mode: str = "hybrid") -> DataFrame:
     return queries.withColumn("grams", grams)
 
 
-def _bounded(queries: DataFrame) -> DataFrame:
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries in parts by a hash of query_id, each below QUERIES_BYTES in the mean by half."""
     size = queries.agg(F.coalesce(F.sum(F.size("query_vec") * 8 + F.size("grams") * 32 + 64), F.lit(0))).first()[0]
-    if size > QUERIES_BYTES:
-        raise ValueError(f"the queries of one call take {size} bytes, more than {QUERIES_BYTES}: split them")
-    return F.broadcast(queries)
+    n = -(-2 * size // QUERIES_BYTES) if size > QUERIES_BYTES else 1
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [queries]
 
 
 def scored(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """Each segment with a vector, for each query: score (cosine) and matched (grams found)."""
     rows = segments.filter(F.col("embedding").isNotNull()).withColumns({"_norm": norm(F.col("embedding")), "_low": F.lower(F.coalesce("text_content", F.lit("")))})
-    asked = _bounded(queries.select("query_id", "query_vec", "grams", norm(F.col("query_vec")).alias("_query_norm")))
-    pairs = rows.crossJoin(asked)  # the stated query set against all rows
-    score = cosine(F.col("embedding"), F.col("query_vec"), F.col("_norm"), F.col("_query_norm"))
-    found = F.size(F.filter("grams", lambda g: F.contains(F.col("_low"), g)))  # grams are in lower case
-    return pairs.withColumns({"score": score, "matched": found, "n_grams": F.size("grams")}).drop("embedding", "query_vec", "grams", "_norm", "_query_norm", "_low", "text_content")
+    out = None
+    for block in _blocks(queries.select("query_id", "query_vec", "grams")):
+        grams = F.broadcast(block.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("_all")))  # one row, below the block's bound
+        places = F.transform("grams", lambda g: F.array_position("_all", g).cast("int"))  # grams are in lower case
+        asked = block.crossJoin(grams).select("query_id", "query_vec", places.alias("_grams"), norm(F.col("query_vec")).alias("_query_norm"))
+        held = F.transform(F.filter(F.transform("_all", lambda g, i: F.when(F.contains(F.col("_low"), g), i + 1)), lambda i: i.isNotNull()), lambda i: i.cast("int"))
+        each = rows.crossJoin(grams).withColumn("_held", held).drop("_all", "_low", "text_content")
+        pairs = each.crossJoin(F.broadcast(asked))  # the stated query set against all rows
+        score = cosine(F.col("embedding"), F.col("query_vec"), F.col("_norm"), F.col("_query_norm"))
+        part = pairs.withColumns({"score": score, "matched": F.size(F.array_intersect("_held", "_grams")), "n_grams": F.size("_grams")})
+        part = part.drop("embedding", "query_vec", "_grams", "_held", "_norm", "_query_norm")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def vector_topn(segments: DataFrame, query_vec: list[float], n: int = POOL) -> DataFrame:
@@ -59,7 +68,7 @@ def vector_topn(segments: DataFrame, query_vec: list[float], n: int = POOL) -> D
 def keyword_topn(segments: DataFrame, query_vec: list[float], grams: list[str], n: int = POOL) -> DataFrame:
     """The n closest of the segments that hold a gram, with the number of grams they hold."""
     q, g = F.array(*(F.lit(float(x)) for x in query_vec)), F.array(*(F.lit(x) for x in grams)).cast("array<string>")
-    rows = segments.filter(F.col("embedding").isNotNull()).withColumn("matched", matched_grams(F.col("text_content"), g)).filter("matched > 0")
+    rows = segments.filter(F.col("embedding").isNotNull() & contains_any(F.col("text_content"), g)).withColumn("matched", matched_grams(F.col("text_content"), g))
     return rows.withColumn("score", cosine(F.col("embedding"), q)).drop("embedding").orderBy(F.desc("score"), "segment_index").limit(n)
 
 
@@ -81,15 +90,21 @@ def relevance() -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0))) + BOOST * share)
 
 
-def merged(pairs: DataFrame, n: int = POOL) -> DataFrame:
-    """Vector and keyword candidates, each segment once, with relevance.
+def candidates(pairs: DataFrame, n: int = POOL) -> DataFrame:
+    """Vector and keyword candidates, each segment once, with rank_vector; the pairs are evaluated once.
 
-    Both lists are ordered by the same score, so a row of the vector list that holds a gram is in the keyword list too: rows
-    without a gram come from the one, rows with a gram from the other, and the two need not be joined.
+    First the n best with a gram and the n best without are taken: the best n of all are among them, as both lists are
+    ordered by the same score.
     """
-    vector = vector_candidates(pairs, n).filter("matched = 0").drop("rank_vector")
-    keyword = keyword_candidates(pairs, n).drop("rank_keyword")
-    return keyword.unionByName(vector).withColumn("relevance", relevance())
+    has = F.col("matched") > 0
+    place = F.row_number().over(W.partitionBy("query_id", "_has").orderBy(F.desc("score"), "segment_index"))
+    near = pairs.withColumn("_has", has).withColumn("_place", place).filter(F.col("_place") <= n).drop("_has", "_place")
+    return near.withColumn("rank_vector", _rank(F.desc("score"), "segment_index")).filter((F.col("rank_vector") <= n) | has)
+
+
+def merged(pairs: DataFrame, n: int = POOL) -> DataFrame:
+    """candidates with relevance."""
+    return candidates(pairs, n).withColumn("relevance", relevance())
 
 
 def ranked(pairs: DataFrame, top_k: int = 5, pool: int = POOL, floor: float = FLOOR) -> DataFrame:
@@ -101,13 +116,19 @@ def ranked(pairs: DataFrame, top_k: int = 5, pool: int = POOL, floor: float = FL
 
 def raw_ranking(pairs: DataFrame, top_k: int = 5, pool: int = POOL) -> DataFrame:
     """Without the gate: the first top_k."""
-    return ranked(pairs, top_k, pool).filter(F.col("rank") <= top_k).drop("best")
+    return ranked(pairs, top_k, pool).filter(F.col("rank") <= top_k).drop("best", "rank_vector")
 
 
 def gated(pairs: DataFrame, top_k: int = 5, pool: int = POOL, high: float = HIGH, low_limit: int = LOW_LIMIT) -> DataFrame:
     """With the gate: top_k if the best reaches ``high``, else at most low_limit; rows below ``high`` are low_confidence."""
     limit = F.when(F.col("best") >= high, top_k).otherwise(min(low_limit, top_k))
-    return ranked(pairs, top_k, pool).filter(F.col("rank") <= limit).withColumn("low_confidence", F.col("relevance") < high).drop("best")
+    return ranked(pairs, top_k, pool).filter(F.col("rank") <= limit).withColumn("low_confidence", F.col("relevance") < high).drop("best", "rank_vector")
+
+
+def results(found: DataFrame, videos: DataFrame) -> DataFrame:
+    """What a search gives: the nine fields of each row of found, which has start_time, end_time and chapter_title; low_confidence is a row's own."""
+    text = F.coalesce("corrected_text", "text_content") if "corrected_text" in found.columns else F.col("text_content")
+    return named(found, videos).select("query_id", "rank", "video_id", "video_name", "segment_index", "start_time", "end_time", text.alias("text"), "chapter_title", F.col("relevance").alias("score"), "low_confidence")
 
 
 def named(results: DataFrame, videos: DataFrame) -> DataFrame:
@@ -118,9 +139,7 @@ def named(results: DataFrame, videos: DataFrame) -> DataFrame:
 def drop_counters(pairs: DataFrame, top_k: int = 5, pool: int = POOL, floor: float = FLOOR) -> DataFrame:
     """Per query: candidates of both lists, merged ones, those below the floor and those cut off beyond top_k."""
     n = max(pool, top_k)
-    vector = vector_candidates(pairs, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_vector"))
-    keyword = keyword_candidates(pairs, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_keyword"))
-    below = F.sum(F.when(F.col("relevance") < floor, 1).otherwise(0))
-    both = merged(pairs, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_merged"), below.alias("floor_drops"))
-    cut = F.greatest(F.col("n_merged") - F.col("floor_drops") - top_k, F.lit(0))
-    return both.join(vector, "query_id", "left").join(keyword, "query_id", "left").withColumn("n_keyword", F.coalesce("n_keyword", F.lit(0))).withColumn("truncated", cut)
+    both = merged(pairs, n).groupBy("query_id").agg(
+        F.count_if(F.col("rank_vector") <= n).alias("n_vector"), F.count_if(F.col("matched") > 0).alias("n_keyword"), F.count(F.lit(1)).alias("n_merged"), F.count_if(F.col("relevance") < floor).alias("floor_drops")
+    )
+    return both.withColumn("truncated", F.greatest(F.col("n_merged") - F.col("floor_drops") - top_k, F.lit(0)))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
+from .cues import CHINESE, CuePatterns, detect_cues
 
 MIN_SEGMENT, MAX_SEGMENT, PAUSE, WINDOW, DEPTH_K = 30.0, 300.0, 1.2, 60.0, 0.8
 #: Sentence ends and the fewest characters of a sentence.
@@ -232,10 +233,63 @@ def parse_silences(log: DataFrame) -> DataFrame:
     return rows.select("video_id", start.alias("start"), "end", "duration")
 
 
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {"fixed": fixed_cuts, "acoustic": acoustic_times, "semantic": semantic_times}
+# ---- strategies: lines with ``cut``, from lines (video_id, line, start, end, text) and videos (video_id, duration, silences)
+
+
+def by_window(lines: DataFrame, videos: DataFrame, window: float = WINDOW) -> DataFrame:
+    return fixed_cuts(lines, window)
+
+
+def by_pauses(lines: DataFrame, videos: DataFrame, pause: float = PAUSE) -> DataFrame:
+    """Cuts at pauses; ``silences`` is array<struct<end, duration>>, and without any a video is cut by its length alone."""
+    counts = lines.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return cuts_at(lines, acoustic_times(videos.join(counts, "video_id"), pause))
+
+
+def block_depths(blocks: DataFrame) -> DataFrame:
+    """(video_id, time, depth, threshold) at the start of each block (lines with ``embedding``) but the first."""
+    timed = blocks.select("video_id", "line", "embedding", F.lead("start").over(_per_video()).alias("time"))
+    depths = valley_depth(smoothed(adjacent_similarity(timed)))
+    w = W.partitionBy("video_id")
+    return depths.select("video_id", "time", "depth", (F.avg("depth").over(w) + DEPTH_K * F.stddev_pop("depth").over(w)).alias("threshold"))
+
+
+def by_topic(lines: DataFrame, videos: DataFrame, patterns: CuePatterns = CHINESE) -> DataFrame:
+    """Sentences, with cuts at cues in sentences and at dips of the likeness of neighbouring lines, which have an ``embedding``.
+
+    A video of one line is not cut.
+    """
+    order = F.row_number().over(W.partitionBy("video_id").orderBy("line", "part")) - 1
+    sentences = split_sentences(lines).withColumn("line", order).drop("part")
+    depth = block_depths(lines).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("time", "depth"))).alias("depths"), F.first("threshold").alias("threshold"))
+    cues = detect_cues(sentences, patterns).groupBy("video_id").agg(F.array_sort(F.collect_list("time")).alias("cues"))
+    found = videos.select("video_id", "duration").join(depth, "video_id").join(cues, "video_id", "left")
+    return cuts_at(sentences, semantic_times(found.withColumn("cues", F.coalesce("cues", F.array().cast("array<double>")))))
+
+
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {"fixed": by_window, "acoustic": by_pauses, "semantic": by_topic}
 
 
 def strategy(name: str) -> Callable[..., DataFrame]:
     if name not in STRATEGIES:
         raise ValueError(f"no segmentation strategy {name!r}; there are: {', '.join(sorted(STRATEGIES))}")
     return STRATEGIES[name]
+
+
+def segmented(name: str, lines: DataFrame, videos: DataFrame, **how) -> DataFrame:
+    """Topic segments of the strategy of that name: (video_id, segment, start_time, end_time, n_lines, text)."""
+    return build_segments(strategy(name)(lines, videos, **how), videos)
+
+
+def replayed(name: str, lines: DataFrame, videos: DataFrame, references: DataFrame, **how) -> DataFrame:
+    """Segmentation again from stored lines: (video_id, duration, ref, hyp), hyp the boundaries (two decimals, without 0).
+
+    Pauses are not stored, so there are none; a video (video_id, duration) without a duration ends with its last line.
+    references: (video_id, ref); videos without any have an empty list.
+    """
+    ends = lines.groupBy("video_id").agg(F.max_by("end", "line").alias("_end"))
+    silences = F.array().cast("array<struct<end:double,duration:double>>")
+    known = ends.join(videos.select("video_id", "duration"), "video_id", "left").select("video_id", F.coalesce("duration", "_end").alias("duration"), silences.alias("silences"))
+    cuts = segmented(name, lines, known, **how).groupBy("video_id").agg(F.array_sort(F.collect_list(F.when(F.col("segment") > 0, F.floor(F.col("start_time") * 100 + 0.5) / 100))).alias("hyp"))
+    none = F.array().cast("array<double>")
+    return known.drop("silences").join(cuts, "video_id").join(references.select("video_id", "ref"), "video_id", "left").select("video_id", "duration", F.coalesce("ref", none).alias("ref"), "hyp")

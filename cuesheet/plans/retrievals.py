@@ -1,4 +1,4 @@
-"""Retrieval queries. The query set is every vector whose id is divisible by 20; its words are those of a benchmark item."""
+"""Retrieval queries. The query set is every vector whose id is divisible by 20; its words are those of a benchmark item, if there is one."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from . import query
 
 SEG = "seg AS (SELECT d.source AS tenant_id, d.lang AS video_id, d.doc_id AS segment_index, d.text AS text_content, CAST(e.embedding AS DOUBLE[]) AS v, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.embedding IS NOT NULL)"
 FIRST = "first AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
-ASKED = "asked AS (SELECT e.vec_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS q, list_distinct(list_transform(regexp_extract_all(b.text, '[A-Za-z][A-Za-z0-9+#.]*'), lambda w: lower(w))) AS grams FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id // 20 WHERE e.vec_id % 20 = 0)"
+ASKED = "asked AS (SELECT e.vec_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS q, coalesce(list_distinct(list_transform(regexp_extract_all(b.text, '[A-Za-z][A-Za-z0-9+#.]*'), lambda w: lower(w))), []) AS grams FROM embeddings e LEFT JOIN benchmark b ON b.item_id = e.vec_id // 20 WHERE e.vec_id % 20 = 0)"
 PAIRS = f"{SEG}, {ASKED}, pairs AS (SELECT query_id, tenant_id, video_id, segment_index, label, list_cosine_similarity(v, q) AS score, len(list_filter(grams, lambda g: contains(lower(coalesce(text_content, '')), g))) AS matched, len(grams) AS n_grams FROM seg, asked)"
 MERGED = """vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_index) AS rk FROM pairs),
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_index) AS rk FROM pairs WHERE matched > 0),
@@ -28,7 +28,7 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, b = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "benchmark")
-    rows = e.filter("vec_id % 20 = 0").join(b, F.floor(F.col("vec_id") / 20) == F.col("item_id"))
+    rows = e.filter("vec_id % 20 = 0").join(b, F.floor(F.col("vec_id") / 20) == F.col("item_id"), "left")
     return r.with_grams(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("text").alias("query")))
 
 
@@ -106,6 +106,25 @@ def gram_extract_cjk(spark, sf_dir):
     return rows.select("id", F.array_join(F.array_sort(search_grams(F.col("q"))), ",").alias("grams"))
 
 
+@query(f"WITH {PAIRS}, {MERGED}, names AS (SELECT DISTINCT lang AS video_id, lang || '.mp4' AS video_name FROM documents WHERE lang <> 'fr') SELECT query_id, CAST(rank AS BIGINT) AS rank, ranked.video_id, video_name, ranked.segment_index, CAST(ranked.segment_index AS DOUBLE) AS start_time, CAST(ranked.segment_index + 1 AS DOUBLE) AS end_time, md5(text) AS text_md5, substr(text, 1, 10) AS chapter_title, round(relevance, 6) AS score, relevance < 0.6 AS low_confidence FROM ranked LEFT JOIN names ON names.video_id = ranked.video_id JOIN documents d ON d.doc_id = ranked.segment_index WHERE rank <= CASE WHEN best >= 0.6 THEN 5 ELSE 3 END")
+def search_results(spark, sf_dir):
+    """All nine fields of the delivered rows; texts and times are fetched for these alone."""
+    docs = load(spark, sf_dir, "documents")
+    videos = docs.filter("lang <> 'fr'").select(F.col("lang").alias("video_id"), F.concat("lang", F.lit(".mp4")).alias("file_name")).distinct()
+    index = F.col("doc_id")
+    rows = docs.select(index.alias("segment_index"), index.cast("double").alias("start_time"), (index + 1).cast("double").alias("end_time"), F.col("text").alias("text_content"), F.substring("text", 1, 10).alias("chapter_title"))
+    found = r.results(r.gated(pairs(spark, sf_dir)).join(rows, "segment_index"), videos)
+    return _rounded(found, "score").withColumns({"rank": F.col("rank").cast("long"), "text": F.md5("text")}).withColumnRenamed("text", "text_md5")
+
+
+@query(f"WITH {SEG}, {FIRST} SELECT segment_index, round(list_cosine_similarity(v, q), 6) AS score FROM seg, first ORDER BY list_cosine_similarity(v, q) DESC, segment_index LIMIT 50")
+def vector_mode(spark, sf_dir):
+    """Outside hybrid mode there are no grams: the pool is the vector list."""
+    one = load(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_vec"), F.lit("the tion").alias("query"))
+    found = r.merged(r.scored(segments(spark, sf_dir), r.with_grams(one, "Vector")))
+    return _rounded(found.select("segment_index", "score"), "score")
+
+
 def _catalog(spark, sf_dir) -> Catalog:
     docs = load(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), F.col("lang").alias("video_id"), "doc_id", "n_chars")
     return Catalog({"video_segment": docs})
