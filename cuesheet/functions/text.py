@@ -111,3 +111,34 @@ def part_count(size: Column, part: Column) -> Column:
 
 def last_part_size(size: Column, part: Column) -> Column:
     return size - (part_count(size, part) - 1) * part
+
+
+#: What keys of upload sessions, names of users and ids of upload tasks look like.
+SESSION_KEY, USERNAME, UPLOAD_TASK = "^[A-Za-z0-9_-]{8,64}$", "^[A-Za-z0-9_.-]{3,32}$", "^up_[A-Za-z0-9]{8,32}$"
+
+
+def valid(text: Column, pattern: str) -> Column:
+    """Whether the whole text fits; null does not."""
+    return F.coalesce(text.rlike(pattern.replace("$", r"\z")), F.lit(False))
+
+
+def session_key(files: Column) -> Column:
+    """The key of an upload session of files (array<struct<name, size, modified>>): a hash in base 36, their number, the first size modulo 100000.
+
+    The hash starts at 5381; for each UTF-16 unit of "name|size|modified#..." it is multiplied by 33 and xor-ed, modulo 2**32.
+    """
+    raw = F.array_join(F.transform(files, lambda f: F.concat_ws("|", f["name"], f["size"].cast("string"), F.coalesce(f["modified"], F.lit(0)).cast("string"))), "#")
+    units = F.hex(F.encode(raw, "UTF-16BE"))
+    codes = F.transform(F.sequence(F.lit(1), F.length(units) - 3, F.lit(4)), lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long"))
+    mask = F.lit((1 << 32) - 1)
+    value = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseAND(mask).bitwiseXOR(c))
+    return F.concat_ws("_", F.lit("sk"), F.lower(F.conv(value.cast("string"), 10, 36)), F.size(files).cast("string"), (F.element_at(files, 1)["size"] % 100000).cast("string"))
+
+
+#: Characters of a text from which a title is made.
+TITLE_INPUT = 800
+
+
+def chapter_title(text: Column, most: int = 50) -> Column:
+    """A title from the first sentence of a text's beginning; it stands where a model's answer would, and is cleaned like one."""
+    return clean_title(F.regexp_extract(F.substring(F.trim(text), 1, TITLE_INPUT), r"^[^。！？!?.；;\r\n]*", 0), most)

@@ -1,11 +1,12 @@
 """Correction of transcripts: Latin tokens (spelling, edit distance, sound), aliases, phrases, then sounds of Han characters.
 
-The rules chain within a text, so they run together in one Arrow-batched UDF over distinct texts; a token's result is kept.
+The rules chain within a text, so they run together in one Arrow-batched UDF; a worker keeps what it found for a token.
 Rules that stand alone are columns (``fuzzy_terms``, ``replaced``).
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,9 @@ from ..functions.text import similarity
 from ..sources.dictionaries import Dictionary
 from .latin import SoundMatcher
 
+#: Fixed value: what counts as a Latin token.
 TOKEN = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z0-9](?![A-Za-z0-9]))*")
+TERMS_BYTES = 8 << 20
 FUZZY, FUZZY_LENGTH, PINYIN_FACTOR, MOST_FORMS = 0.85, 4, 0.95, 8
 #: Readings of the digits 0 to 9.
 DIGITS = "ling yi er san si wu liu qi ba jiu".split()
@@ -46,12 +49,14 @@ class Corrector:
         self.by_sound = {form: t for t in d.terms for form in self._forms(t.term)}
         self.lengths = sorted({len(t.term) for t in self.by_sound.values()}, reverse=True)
 
+    @functools.lru_cache(maxsize=200_000)  # noqa: B019
     def _term(self, token: str) -> tuple[str, Trace | None]:
         bare = re.sub(r"\s+", "", token)
         if known := self.spelling.get(bare.lower()):
             return known.term, None if bare == known.term else ("canonical", token, known.term, known.confidence)
         if len(bare) >= FUZZY_LENGTH and self.latin:
-            near = [1 - edit_distance(bare.lower(), t.term.lower()) / max(len(bare), len(t.term)) for t in self.latin]
+            # words whose lengths differ by more than the edits allowed need no distance
+            near = [1 - edit_distance(bare.lower(), t.term.lower()) / longer if abs(len(bare) - len(t.term)) <= (1 - FUZZY) * (longer := max(len(bare), len(t.term))) + 1e-9 else 0.0 for t in self.latin]
             if (top := max(near)) >= FUZZY:
                 t = self.latin[near.index(top)]
                 return t.term, ("fuzzy", token, t.term, t.confidence * top)
@@ -133,7 +138,9 @@ def fuzzy_terms(tokens: DataFrame, dictionary: Dictionary, threshold: float = FU
     """(token, term, sim) of tokens (token) near to a Latin term: the edit-distance rule alone, the term first in the dictionary on ties."""
     spark = tokens.sparkSession
     latin = [(i, t.term) for i, t in enumerate(dictionary.terms) if re.fullmatch("[A-Za-z0-9]+", t.term)]
-    terms = F.broadcast(spark.createDataFrame(latin, "place int, term string"))  # a dictionary: some hundred words
+    if sum(len(t) + 32 for _, t in latin) > TERMS_BYTES:
+        raise ValueError("the dictionary has more Latin terms than can be compared with every word")
+    terms = F.broadcast(spark.createDataFrame(latin, "place int, term string"))
     pairs = tokens.select("token").distinct().filter(F.length("token") >= FUZZY_LENGTH).crossJoin(terms)
     near = pairs.withColumn("sim", similarity(F.lower("token"), F.lower("term"))).filter(F.col("sim") >= threshold)
     best = near.groupBy("token").agg(F.max(F.struct("sim", (-F.col("place")).alias("first"), "term")).alias("b"))

@@ -55,6 +55,11 @@ def first_hits(results: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.min(F.when(F.col("_dev") <= F.col("tolerance"), F.col("rank"))).alias("first_rank"), F.min("_dev").alias("best_dev"), F.max("relevance").alias("best"))
 
 
+def in_own_video(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """pairs of each query with segments of its truth's video alone: the scope of a search within a video."""
+    return pairs.join(truth.select("query_id", "video_id"), ["query_id", "video_id"], "left_semi")
+
+
 def recall_at_k(firsts: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
     """One pass for all k: hits, queries, recall, Wilson interval, mean deviation of hits."""
     rows = firsts.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).withColumn("_hit", F.coalesce(F.col("first_rank") <= F.col("k"), F.lit(False)))

@@ -17,6 +17,23 @@ def status_text(status: Column) -> Column:
     return F.when(status == DONE, "done").when(status == FAILED, "failed").otherwise("processing")
 
 
+def by_video(videos: DataFrame, video_id: str) -> DataFrame:
+    return videos.filter(F.col("video_id") == video_id)
+
+
+def user_by_name(users: DataFrame, username: str) -> DataFrame:
+    return users.filter(F.col("username") == username)
+
+
+def newest_first(videos: DataFrame) -> DataFrame:
+    return videos.orderBy(F.desc("id"))
+
+
+def ordered_scan(rows: DataFrame, video_id: str, order: str) -> DataFrame:
+    """A video's chunks or segments in order."""
+    return rows.filter(F.col("video_id") == video_id).orderBy(order)
+
+
 def unfinished(videos: DataFrame) -> DataFrame:
     return videos.filter(F.col("status").isin(PENDING, PROCESSING)).orderBy("id")
 
@@ -38,10 +55,18 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return out.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest)).select(*rows.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """old with new's rows put in or over rows of the same key; the columns ``keep`` stay as they were first."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str], *, order: str | None = None, stamp: str | None = None) -> DataFrame:
+    """old with new's rows put in or over rows of the same key; the columns ``keep`` stay as they were first.
+
+    Of new rows of one key that with the largest ``order`` counts, or else the largest by all its columns. The column
+    ``stamp`` of new rows becomes the time of the call.
+    """
     cols = old.columns
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.select(cols).withColumn("_new", F.lit(1)))
+    if stamp:
+        new = new.withColumn(stamp, F.current_timestamp().cast(old.schema[stamp].dataType))
+    rank = F.struct(F.lit(1).alias("new"), *([F.col(order).alias("at")] if order else [F.to_json(F.struct(*cols)).alias("at")]))
+    both = new.select(*cols, rank.alias("_new"))
+    both = old.select(*cols, F.struct(F.lit(0).alias("new"), F.lit(None).cast(both.schema["_new"].dataType["at"].dataType).alias("at")).alias("_new")).unionByName(both)
     rest = [c for c in cols if c not in keys]
     out = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_last"), *(F.min_by(c, "_new").alias(f"_{c}") for c in keep))
     return out.select(*keys, *(F.col(f"_{c}" if c in keep else f"_last.{c}").alias(c) for c in rest)).select(cols)
@@ -109,6 +134,36 @@ def interrupted(videos: DataFrame, progress: DataFrame, running: DataFrame, now:
     return waiting.filter(F.unix_timestamp(now) - heard >= silent).drop("_last")
 
 
+def orphans(videos: DataFrame, locked: DataFrame) -> DataFrame:
+    """Unfinished videos whose lock nobody holds: what a start-up scan puts back into the queue."""
+    return videos.filter(F.col("status").isin(PENDING, PROCESSING)).join(locked.select("video_id").distinct(), "video_id", "left_anti")
+
+
+def orphans_later(before: DataFrame, locked: DataFrame, videos: DataFrame, still_locked: DataFrame) -> DataFrame:
+    """The one recheck after locks have run out: videos unfinished and locked ``before``, now neither locked nor done."""
+    waiting = before.filter(F.col("status").isin(PENDING, PROCESSING)).join(locked.select("video_id").distinct(), "video_id", "left_semi").select("video_id")
+    return videos.filter(F.col("status") != DONE).join(waiting, "video_id", "left_semi").join(still_locked.select("video_id").distinct(), "video_id", "left_anti")
+
+
+def needs_processing(tasks: DataFrame, videos: DataFrame, locked: DataFrame) -> DataFrame:
+    """Tasks (video_id) to be run: each video once, if it is known, not done and not locked. A task that comes again changes nothing."""
+    open_ = videos.filter(F.col("status") != DONE).select("video_id")
+    return tasks.select("video_id").distinct().join(open_, "video_id", "left_semi").join(locked.select("video_id").distinct(), "video_id", "left_anti")
+
+
+def source_of_two() -> Column:
+    """Which of two files (v1, a1, v2, a2: whether they hold pictures and sound) a video is made of: first, second, or both, pictures named first."""
+    v1, a1, v2, a2 = (F.col(c) for c in ("v1", "a1", "v2", "a2"))
+    return (
+        F.when(v1 & a1, "first").when(v2 & a2, "second").when(v1 & a2, "first+second").when(v2 & a1, "second+first").when(a1, "first").when(a2, "second").otherwise("no sound")
+    )
+
+
+def upload_sizes(parts: DataFrame) -> DataFrame:
+    """Per upload of parts (upload_id, size): how many there are and their bytes together."""
+    return parts.groupBy("upload_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("bytes"))
+
+
 def matched_tracks(tracks: list[tuple[str, float, bool, bool]], most_drift: float = MOST_DRIFT) -> list[tuple[int, int, float]]:
     """(picture, sound, drift) by place in tracks (name, duration, has_video, has_audio).
 
@@ -140,7 +195,7 @@ def matched_tracks(tracks: list[tuple[str, float, bool, bool]], most_drift: floa
 
 
 def pair_tracks(tracks: DataFrame, most_drift: float = MOST_DRIFT) -> DataFrame:
-    """(batch_id, picture, sound, drift) of tracks (batch_id, place, name, duration, has_video, has_audio, error).
+    """(batch_id, picture, sound, drift, and their places) of tracks (batch_id, place, name, duration, has_video, has_audio, error).
 
     Choosing is sequential within an upload batch, which a person fills by hand; batches run side by side.
     """
@@ -153,7 +208,19 @@ def pair_tracks(tracks: DataFrame, most_drift: float = MOST_DRIFT) -> DataFrame:
             out = []
             for batch, rows in zip(part["batch_id"], part["tracks"]):
                 given = [(t["name"], t["duration"], t["has_video"], t["has_audio"]) for t in rows]
-                out += [(batch, given[v][0], given[a][0], d) for v, a, d in matched_tracks(given, most_drift)]
-            yield pd.DataFrame(out, columns=["batch_id", "picture", "sound", "drift"])
+                out += [(batch, given[v][0], given[a][0], d, rows[v]["place"], rows[a]["place"]) for v, a, d in matched_tracks(given, most_drift)]
+            yield pd.DataFrame(out, columns=["batch_id", "picture", "sound", "drift", "picture_place", "sound_place"])
+
+    return batches.mapInPandas(run, f"batch_id {tracks.schema['batch_id'].dataType.simpleString()}, picture string, sound string, drift double, picture_place int, sound_place int")
 
-    return batches.mapInPandas(run, f"batch_id {tracks.schema['batch_id'].dataType.simpleString()}, picture string, sound string, drift double")
+
+def batch_groups(tracks: DataFrame, most_drift: float = MOST_DRIFT) -> DataFrame:
+    """(batch_id, place, outcome, other) of an upload batch's groups: a pair at its first place, a file alone, or one refused.
+
+    A file that could not be read fails, as do pictures without sound; neither holds up the rest of the batch.
+    """
+    pairs = pair_tracks(tracks, most_drift).select("batch_id", "picture_place", "sound_place")
+    both = pairs.select("batch_id", F.col("picture_place").alias("place"), F.col("sound_place").alias("other")).unionByName(pairs.select("batch_id", F.col("sound_place").alias("place"), F.col("picture_place").alias("other")))
+    rows = tracks.select("batch_id", F.col("place").cast("int").alias("place"), "has_video", "has_audio", "error").join(both, ["batch_id", "place"], "left")
+    outcome = F.when(F.col("other").isNotNull(), "pair").when(F.col("error").isNotNull(), "failed").when(F.col("has_video") & ~F.col("has_audio"), "no sound").otherwise("alone")
+    return rows.filter("other is null or place < other").select("batch_id", "place", outcome.alias("outcome"), "other")

@@ -26,17 +26,20 @@ WD_SQL = f"{CASES_SQL}, steps AS (SELECT *, unnest(range(CAST(floor(duration - w
 #: Each asked vector's own segment is its truth's place, but not a result.
 RANKED = f"{PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_index) AS rank FROM pairs WHERE segment_index <> query_id), top AS (SELECT * FROM ranked WHERE rank <= 5), truth AS (SELECT query_id, d.lang AS video_id FROM asked JOIN documents d ON d.doc_id = query_id), firsts AS (SELECT t.query_id, min(CASE WHEN top.video_id = t.video_id AND abs(segment_index - t.query_id) <= 60 THEN rank END) AS first_rank, min(CASE WHEN top.video_id = t.video_id THEN abs(segment_index - t.query_id) END) AS best_dev, max(score) AS best FROM truth t LEFT JOIN top USING (query_id) GROUP BY t.query_id)"
 
+SCOPED = RANKED.replace("FROM pairs WHERE segment_index <> query_id", "FROM pairs JOIN documents own ON own.doc_id = query_id WHERE segment_index <> query_id AND pairs.video_id = own.lang")
+
 
 def cases(spark):
     rows = [(v, d, w, list(ref), list(hyp)) for v, d, w, ref, hyp in CASES]
     return spark.createDataFrame(rows, "video_id string, duration double, window_seconds double, ref array<double>, hyp array<double>")
 
 
-def firsts(spark, sf_dir):
+def firsts(spark, sf_dir, scoped=False):
+    """First hits over all videos or, scoped, of searches within the truth's own video."""
     rows = pairs(spark, sf_dir).filter("segment_index <> query_id")
-    top = r.vector_candidates(rows, 5).select("query_id", F.col("rank_vector").alias("rank"), "video_id", F.col("segment_index").cast("double").alias("start_time"), F.col("score").alias("relevance"))
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("video_id"))
     truth = asked(spark, sf_dir).select("query_id").join(docs, "query_id").select("query_id", "video_id", F.col("query_id").cast("double").alias("expected_start"), F.lit(60.0).alias("tolerance"))
+    top = r.vector_candidates(e.in_own_video(rows, truth) if scoped else rows, 5).select("query_id", F.col("rank_vector").alias("rank"), "video_id", F.col("segment_index").cast("double").alias("start_time"), F.col("score").alias("relevance"))
     return e.first_hits(top, truth)
 
 
@@ -73,6 +76,11 @@ def recall_at_k(spark, sf_dir):
     return e.recall_at_k(firsts(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("recall", "ci_low", "ci_high", "mean_dev")})
 
 
+@query(f"WITH {SCOPED}, k AS (SELECT unnest([1, 3, 5]) AS k), a AS (SELECT k, count(*) AS n, CAST(sum(CASE WHEN first_rank <= k THEN 1 ELSE 0 END) AS BIGINT) AS hits, avg(CASE WHEN first_rank <= k THEN best_dev END) AS dev FROM firsts, k GROUP BY k), b AS (SELECT *, hits / n AS p FROM a) SELECT k, n, hits, round(p, 6) AS recall, round(greatest(0.0, {_WILSON.format(sign='-')}), 6) AS ci_low, round(least(1.0, {_WILSON.format(sign='+')}), 6) AS ci_high, round(dev, 6) AS mean_dev FROM b")
+def recall_in_video(spark, sf_dir):
+    return e.recall_at_k(firsts(spark, sf_dir, scoped=True)).withColumns({c: F.round(c, 6) for c in ("recall", "ci_low", "ci_high", "mean_dev")})
+
+
 @query(f"WITH {RANKED} SELECT count(*) AS n, CAST(sum(CASE WHEN first_rank <= 5 AND (best >= 0.6 OR first_rank <= 3) THEN 1 ELSE 0 END) AS BIGINT) AS delivered, CAST(sum(CASE WHEN first_rank = 1 THEN 1 ELSE 0 END) AS BIGINT) AS first FROM firsts")
 def delivered_at_k(spark, sf_dir):
     return e.delivered_at_k(firsts(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..functions import vectors
 from ..operators import ingest as i
 from ..sources.tables import load
 from . import query
@@ -134,10 +135,129 @@ def clock_format(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", x.clock(F.col("value") * 40).alias("clock"))
 
 
-@query()
-def track_pairing(spark, sf_dir):
+def _tracks(spark, sf_dir):
     """Lines of an order as tracks of an upload: odd lines are pictures, even ones sounds."""
     odd = F.col("l_linenumber") % 2 == 1
     name = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber").cast("string"), F.lit(".m4s"))
-    tracks = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("place"), name.alias("name"), F.col("l_quantity").alias("duration"), odd.alias("has_video"), (~odd).alias("has_audio"), F.lit(None).cast("string").alias("error"))
-    return i.pair_tracks(tracks)
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("place"), name.alias("name"), F.col("l_quantity").alias("duration"), odd.alias("has_video"), (~odd).alias("has_audio"), F.lit(None).cast("string").alias("error"))
+
+
+@query()
+def track_pairing(spark, sf_dir):
+    return i.pair_tracks(_tracks(spark, sf_dir)).select("batch_id", "picture", "sound", "drift")
+
+
+@query()
+def batch_groups(spark, sf_dir):
+    """Groups of those tracks, where returned lines cannot be read; plain Python in tests."""
+    tracks = _tracks(spark, sf_dir).withColumn("error", F.when(F.col("name").startswith("R"), "unreadable"))
+    return i.batch_groups(tracks)
+
+
+@query(f"WITH {VIDEOS} SELECT id, video_id, tenant_id, status FROM videos WHERE video_id = 'v33'")
+def point_lookup(spark, sf_dir):
+    return i.by_video(videos(spark, sf_dir), "v33").select("id", "video_id", "tenant_id", "status")
+
+
+@query(f"WITH {VIDEOS} SELECT id, video_id, status FROM videos ORDER BY id DESC")
+def library_scan(spark, sf_dir):
+    return i.newest_first(videos(spark, sf_dir)).select("id", "video_id", "status")
+
+
+@query("SELECT c_custkey AS id, c_name AS username FROM customer WHERE c_name = (SELECT c_name FROM customer WHERE c_custkey = 7)")
+def user_by_name(spark, sf_dir):
+    users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    row = users.filter("id = 7").first()
+    return i.user_by_name(users, row["username"] if row else "")
+
+
+@query(f"WITH {CHUNKS} SELECT video_id, chunk_index, md5(text) AS text_md5 FROM chunks WHERE video_id = 3 ORDER BY chunk_index")
+def chunk_scan(spark, sf_dir):
+    return i.ordered_scan(chunks(spark, sf_dir), 3, "chunk_index").select("video_id", "chunk_index", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT doc_id AS segment_index, lang AS video_id, n_chars FROM documents WHERE lang = 'en' ORDER BY doc_id")
+def segment_scan(spark, sf_dir):
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_index"), F.col("lang").alias("video_id"), "n_chars")
+    return i.ordered_scan(rows, "en", "segment_index")
+
+
+@query("SELECT l_orderkey AS upload_id, count(*) AS parts, CAST(sum(l_partkey) AS BIGINT) AS bytes FROM lineitem GROUP BY l_orderkey")
+def upload_sizes(spark, sf_dir):
+    return i.upload_sizes(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload_id"), F.col("l_partkey").alias("size")))
+
+
+@query("SELECT round(avg(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END), 6) AS mean_cost, max(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END) AS max_cost, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) > 0.3 * count(*) AS abort FROM lineitem")
+def chunk_costs(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 3 == 0).alias("reused"), F.col("l_quantity").alias("cost"), (F.col("l_returnflag") == "R").alias("failed"))
+    return i.cost_summary(rows).withColumn("mean_cost", F.round("mean_cost", 6))
+
+
+@query(f"WITH {VIDEOS} SELECT id, 'now' AS found FROM videos WHERE status IN (0, 1) AND id % 4 <> 0 UNION ALL SELECT id, 'later' FROM videos WHERE status IN (0, 1) AND id % 4 = 0 AND id % 8 <> 0 AND id % 12 <> 0")
+def orphan_recovery(spark, sf_dir):
+    """Locks are on ids divisible by 4; at the recheck on those divisible by 8, and those divisible by 12 are done."""
+    rows = videos(spark, sf_dir)
+    locked, still = rows.filter("id % 4 = 0"), rows.filter("id % 8 = 0")
+    later = rows.withColumn("status", F.when(F.col("id") % 12 == 0, i.DONE).otherwise(F.col("status")))
+    return i.orphans(rows, locked).select("id", F.lit("now").alias("found")).unionByName(i.orphans_later(rows, locked, later, still).select("id", F.lit("later").alias("found")))
+
+
+@query(f"WITH {VIDEOS} SELECT DISTINCT 'v' || l_orderkey AS video_id FROM lineitem JOIN videos ON video_id = 'v' || l_orderkey WHERE status <> 2 AND l_orderkey % 5 <> 0")
+def pipeline_tasks(spark, sf_dir):
+    """Messages come more than once; videos with ids divisible by 5 are locked."""
+    tasks = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("v"), "l_orderkey").alias("video_id"))
+    rows = videos(spark, sf_dir)
+    return i.needs_processing(tasks, rows, rows.filter("id % 5 = 0"))
+
+
+@query("WITH f AS (SELECT l_orderkey AS id, l_partkey % 2 = 0 AS v1, l_partkey % 3 = 0 AS a1, l_suppkey % 2 = 0 AS v2, l_suppkey % 3 = 0 AS a2 FROM lineitem WHERE l_linenumber = 1) SELECT id, CASE WHEN v1 AND a1 THEN 'first' WHEN v2 AND a2 THEN 'second' WHEN v1 AND a2 THEN 'first+second' WHEN v2 AND a1 THEN 'second+first' WHEN a1 THEN 'first' WHEN a2 THEN 'second' ELSE 'no sound' END AS source FROM f")
+def track_resolution(spark, sf_dir):
+    even, third = lambda c: F.col(c) % 2 == 0, lambda c: F.col(c) % 3 == 0
+    rows = load(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), even("l_partkey").alias("v1"), third("l_partkey").alias("a1"), even("l_suppkey").alias("v2"), third("l_suppkey").alias("a2"))
+    return rows.select("id", i.source_of_two().alias("source"))
+
+
+@query("WITH f AS (SELECT l_orderkey, string_agg('p' || l_partkey || '.mp4|' || (l_suppkey * 1000) || '|' || l_linenumber, '#' ORDER BY l_linenumber, 'p' || l_partkey || '.mp4', l_suppkey) AS raw, count(*) AS n, list(l_suppkey * 1000 ORDER BY l_linenumber, 'p' || l_partkey || '.mp4', l_suppkey)[1] AS size FROM lineitem GROUP BY l_orderkey), h AS (SELECT *, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(raw, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: xor((h * 33) & 4294967295, c)) AS h FROM f) SELECT l_orderkey AS upload_id, 'sk_' || lower(to_base(h, 36)) || '_' || n || '_' || (size % 100000) AS key FROM h")
+def session_keys(spark, sf_dir):
+    item = F.struct(F.col("l_linenumber").alias("modified"), F.concat(F.lit("p"), "l_partkey", F.lit(".mp4")).alias("name"), (F.col("l_suppkey") * 1000).alias("size"))
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("upload_id")).agg(F.array_sort(F.collect_list(item)).alias("files"))
+    return rows.select("upload_id", x.session_key(F.col("files")).alias("key"))
+
+
+@query("SELECT o_orderkey AS id, regexp_full_match(o_orderstatus || o_orderpriority, '[A-Za-z0-9_-]{8,64}') AS key, regexp_full_match(o_orderstatus || '.' || o_orderkey, '[A-Za-z0-9_.-]{3,32}') AS name, regexp_full_match('up_' || o_orderkey || '0000000', 'up_[A-Za-z0-9]{8,32}') AS task FROM orders")
+def validators(spark, sf_dir):
+    key = F.concat("o_orderstatus", "o_orderpriority")
+    name = F.concat_ws(".", F.col("o_orderstatus"), F.col("o_orderkey").cast("string"))
+    task = F.concat(F.lit("up_"), "o_orderkey", F.lit("0000000"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), x.valid(key, x.SESSION_KEY).alias("key"), x.valid(name, x.USERNAME).alias("name"), x.valid(task, x.UPLOAD_TASK).alias("task"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, to_json(struct_pack(task := user_id, stage := event_type)) AS message FROM events")
+def json_columns(spark, sf_dir):
+    rows = load(spark, sf_dir, "events")
+    return rows.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.to_json(F.struct(F.col("user_id").alias("task"), F.col("event_type").alias("stage"))).alias("message"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, CAST(ceil(l_partkey / 64.0) AS BIGINT) AS parts, CAST(l_partkey - (ceil(l_partkey / 64.0) - 1) * 64 AS BIGINT) AS last_size, round(abs(l_quantity - l_partkey) / greatest(l_quantity, l_partkey), 6) AS drift FROM lineitem")
+def part_arithmetic(spark, sf_dir):
+    size, part = F.col("l_partkey"), F.lit(64)
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), x.part_count(size, part).alias("parts"), x.last_part_size(size, part).cast("long").alias("last_size"), F.round(x.drift(F.col("l_quantity"), size.cast("double")), 6).alias("drift"))
+
+
+@query("WITH n AS (SELECT c_custkey AS id, lower(c_name) AS a, lower(lead(c_name) OVER (ORDER BY c_custkey)) AS b FROM customer) SELECT id, round(len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[:i] = b[:i])) / greatest(length(a), length(b)), 6) AS likeness, CASE WHEN length(a) <= 10 THEN a ELSE a[:10] || '…' END AS snippet, CASE WHEN length(a) <= 8 THEN a ELSE a[-8:] END AS tail FROM n WHERE b IS NOT NULL AND NOT contains(a, '.') AND NOT contains(b, '.')")
+def name_functions(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("a"))
+    other = rows.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
+    return rows.join(other, "id").select("id", F.round(x.stem_similarity(F.col("a"), F.col("b")), 6).alias("likeness"), x.snippet(F.col("a"), 10).alias("snippet"), x.id_tail(F.col("a")).alias("tail"))
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) AS total FROM embeddings")
+def vector_literals(spark, sf_dir):
+    """Vectors printed as literals and parsed again."""
+    back = vectors.parse_vector(vectors.print_vector(F.col("embedding")))
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.size(back).cast("long").alias("n"), F.round(F.aggregate(back, F.lit(0.0), lambda acc, v: acc + v.cast("double")), 4).alias("total"))
+
+
+@query("SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(trim(text, ' ')[:800], '^[^。！？!?.；;\\r\\n]*', 0), '[\\r\\n\"''“”‘’《》]', '', 'g'), ' ')[:50], '') AS title FROM documents")
+def chapter_titles(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", x.chapter_title(F.col("text")).alias("title"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from ..streaming import progress as p
 from . import query
 
 
+NOON = dt.datetime(2024, 1, 15, 12)
+
+
 def events(spark, sf_dir):
     return p.as_events(load(spark, sf_dir, "events"))
 
@@ -48,6 +52,19 @@ def silent_tasks(spark, sf_dir):
     return p.silent_tasks(rows, F.lit(now), 3600, ("purchase",)).select("task", "stage")
 
 
+@query("WITH n AS (SELECT TIMESTAMP '2024-01-15 12:00:00' AS now), l AS (SELECT user_id AS task, arg_max(event_type, (ts, event_id)) AS stage, max(ts) AS ts FROM events, n WHERE ts <= now GROUP BY user_id) SELECT task, stage FROM l, n WHERE ts > now - INTERVAL 24 HOUR")
+def live_snapshots(spark, sf_dir):
+    return p.snapshots(events(spark, sf_dir), F.lit(NOON)).select("task", "stage")
+
+
+@query("WITH j AS (SELECT DISTINCT user_id AS task, TIMESTAMP '2024-01-15 12:00:00' AS joined FROM events WHERE user_id % 3 = 0), r AS (SELECT task, joined, ts, event_id, event_type AS stage FROM j JOIN events ON user_id = task), old AS (SELECT task, max((ts, event_id)) AS k FROM r WHERE ts <= joined AND ts > joined - INTERVAL 24 HOUR GROUP BY task), got AS (SELECT r.*, ts <= joined AS replayed FROM r LEFT JOIN old USING (task) WHERE ts > joined OR (ts, event_id) = k), e AS (SELECT task, min((ts, event_id)) AS k FROM got WHERE stage = 'purchase' GROUP BY task) SELECT task, event_id, stage, replayed FROM got LEFT JOIN e USING (task) WHERE k IS NULL OR (ts, event_id) <= k")
+def late_joiners(spark, sf_dir):
+    """What those get who join at noon: a purchase ends a task."""
+    rows = events(spark, sf_dir)
+    joins = rows.filter("task % 3 = 0").select("task").distinct().select(F.col("task").alias("subscriber"), "task", F.lit(NOON).alias("joined"))
+    return p.delivered(rows, joins, ended=("purchase",)).select("task", "event_id", "stage", "replayed")
+
+
 def _folder(spark) -> str:
     """A new folder that driver and executors share."""
     import tempfile
@@ -71,7 +88,7 @@ def stream_latest(spark, sf_dir):
     schema, path = _stream(spark, sf_dir)
     out = _folder(spark)
     q = p.run_into_latest(p.as_events(p.event_stream(spark, path, schema)), f"{out}/table", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table/v{q.lastProgress['batchId']}").select("task", "stage", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return p.latest_table(spark, f"{out}/table", q.lastProgress["batchId"]).select("task", "stage", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(COUNTS)

@@ -293,10 +293,27 @@ def read_dictionary(spark: SparkSession, terms_path: str, surface_path: str | No
     return Dictionary(terms, phrases, **more)
 
 
+#: Characters with several toneless readings.
+POLYPHONES = {
+    "了": ("le", "liao"), "会": ("hui", "kuai"), "传": ("chuan", "zhuan"), "便": ("bian", "pian"), "单": ("dan", "shan", "chan"),
+    "参": ("can", "shen", "cen"), "叶": ("ye", "xie"), "合": ("he", "ge"), "吓": ("xia", "he"),
+    "和": ("he", "huo", "hu"), "大": ("da", "dai"), "女": ("nv", "ru"), "宿": ("su", "xiu"), "射": ("she", "ye"),
+    "尺": ("chi", "che"), "差": ("cha", "chai", "ci"), "弹": ("dan", "tan"), "强": ("qiang", "jiang"),
+    "得": ("de", "dei"), "恶": ("e", "wu"), "折": ("zhe", "she"), "提": ("ti", "di"),
+    "数": ("shu", "shuo"), "曾": ("ceng", "zeng"), "朝": ("chao", "zhao"), "校": ("xiao", "jiao"), "模": ("mo", "mu"),
+    "率": ("lv", "shuai"), "盛": ("sheng", "cheng"), "省": ("sheng", "xing"), "着": ("zhe", "zhuo", "zhao"), "石": ("shi", "dan"),
+    "系": ("xi", "ji"), "给": ("gei", "ji"), "血": ("xue", "xie"), "行": ("xing", "hang"), "觉": ("jue", "jiao"),
+    "角": ("jiao", "jue"), "解": ("jie", "xie"), "说": ("shuo", "shui"), "调": ("diao", "tiao"), "车": ("che", "ju"),
+    "还": ("hai", "huan"), "都": ("dou", "du"), "重": ("zhong", "chong"), "长": ("chang", "zhang"), "降": ("jiang", "xiang"),
+    "乐": ("le", "yue"), "什": ("shen", "shi"), "仇": ("chou", "qiu"), "地": ("di", "de"), "壳": ("ke", "qiao"),
+    "没": ("mei", "mo"), "的": ("de", "di"), "藏": ("cang", "zang"), "识": ("shi", "zhi"), "轧": ("ya", "zha", "ga"),
+}
+
+
 def han_readings(spark: SparkSession) -> dict[str, tuple[str, ...]]:
-    """The toneless reading of each Han character U+4E00 to U+9FFF (ü as v), from the ICU library that comes with Spark.
+    """The toneless readings of each Han character U+4E00 to U+9FFF (ü as v), from the ICU library that comes with Spark.
 
-    ICU knows one reading a character; further ones can be added to the result.
+    ICU knows one reading a character; common characters with several have those of POLYPHONES too.
     """
     import unicodedata
 
@@ -309,5 +326,5 @@ def han_readings(spark: SparkSession) -> dict[str, tuple[str, ...]]:
             bare = "".join(c for c in unicodedata.normalize("NFD", reading.strip().replace("ü", "v")) if not unicodedata.combining(c))
             bare = "".join("v" if c in "ǖǘǚǜ" else c for c in bare)
             if bare.isascii() and bare.isalpha():
-                out[char] = (bare.lower(),)
+                out[char] = tuple(dict.fromkeys([bare.lower(), *POLYPHONES.get(char, ())]))
     return out

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 LATE, KEPT = "10 minutes", "24 hours"
+ENDED = ("done", "failed")
+#: Parts of the table of latest events.
+PARTS = 64
 
 
 def latest_state(events: DataFrame) -> DataFrame:
@@ -14,6 +18,28 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("task").agg(F.max_by(F.struct("stage", "value", "ts"), F.struct("ts", "event_id")).alias("s")).select("task", "s.stage", "s.value", "s.ts")
 
 
+def snapshots(events: DataFrame, now: Column, kept: str = KEPT) -> DataFrame:
+    """Each task's last event up to ``now``, unless it is older than ``kept``."""
+    return latest_state(events.filter(F.col("ts") <= now)).filter(F.col("ts") > now - F.expr(f"INTERVAL {kept}"))
+
+
+def delivered(events: DataFrame, joins: DataFrame, ended: tuple[str, ...] = ENDED, kept: str = KEPT) -> DataFrame:
+    """What subscribers (subscriber, task, joined) get: (subscriber, task, ts, event_id, stage, value, replayed).
+
+    First the task's last event before they joined, if it is not older than ``kept``; then each later one up to the first
+    that ends the task. A replayed end is all that there is.
+    """
+    rows = joins.join(events, "task")
+    order = F.struct("ts", "event_id")
+    old = rows.filter(F.col("ts") <= F.col("joined")).filter(F.col("ts") > F.col("joined") - F.expr(f"INTERVAL {kept}"))
+    last = old.groupBy("subscriber", "task", "joined").agg(F.max_by(F.struct("ts", "event_id", "stage", "value"), order).alias("s"))
+    last = last.select("subscriber", "task", "joined", "s.*")
+    new = rows.filter(F.col("ts") > F.col("joined")).select("subscriber", "task", "joined", "ts", "event_id", "stage", "value")
+    both = last.withColumn("replayed", F.lit(True)).unionByName(new.withColumn("replayed", F.lit(False)))
+    end = F.min(F.when(F.col("stage").isin(*ended), order)).over(W.partitionBy("subscriber", "task"))
+    return both.withColumn("_end", end).filter(F.col("_end").isNull() | (order <= F.col("_end"))).drop("_end", "joined")
+
+
 def silence_sessions(events: DataFrame, gap: str = "60 seconds") -> DataFrame:
     """Runs of a task's events with less than ``gap`` between neighbours; works on streams with a watermark."""
     out = events.groupBy("task", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -31,7 +57,7 @@ def stage_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"), F.median("value").alias("median"))
 
 
-def silent_tasks(events: DataFrame, now: Column, seconds: int = 60, ended: tuple[str, ...] = ("done", "failed")) -> DataFrame:
+def silent_tasks(events: DataFrame, now: Column, seconds: int = 60, ended: tuple[str, ...] = ENDED) -> DataFrame:
     """Tasks that have not ended and were last heard ``seconds`` or more before ``now``."""
     last = latest_state(events).filter(~F.col("stage").isin(*ended))
     return last.filter(F.unix_timestamp(now) - F.unix_timestamp("ts") >= seconds)
@@ -55,20 +81,41 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return query
 
 
-def run_into_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of each task's last event: a batch is merged with the table before it, under a new version each time.
+def run_into_latest(stream: DataFrame, path: str, checkpoint: str, kept: str | None = None, parts: int = PARTS) -> StreamingQuery:
+    """Keep a table of each task's last event, read by ``latest_table``.
 
-    A batch that runs again writes the same version again, so the table is right after a failure.
+    The table is dealt into parts by the task. A batch writes new versions of the parts that it touches, and a small list of
+    each part's version; so its cost goes with the batch. A batch that runs again writes the same again. Events older than
+    ``kept`` before the batch's last are dropped from the parts it touches.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("task", "stage", "value", "ts", "event_id")
-        if n:
-            new = new.unionByName(spark.read.parquet(f"{path}/v{n - 1}"))
-        last = new.groupBy("task").agg(F.max_by(F.struct("stage", "value", "ts", "event_id"), F.struct("ts", "event_id")).alias("s")).select("task", "s.*")
-        last.write.mode("overwrite").parquet(f"{path}/v{n}")
+        part = F.pmod(F.xxhash64("task"), F.lit(parts)).cast("int")
+        new = batch.select("task", "stage", "value", "ts", "event_id", part.alias("part"))
+        touched = sorted(r[0] for r in new.select("part").distinct().collect())  # at most ``parts``
+        old = _versions(spark, path, n - 1) if n else {}
+        if before := [f"{path}/v{old[k]}/part={k}" for k in touched if k in old]:
+            new = new.unionByName(spark.read.parquet(*before).withColumn("part", part))
+        last = new.groupBy("part", "task").agg(F.max_by(F.struct("stage", "value", "ts", "event_id"), F.struct("ts", "event_id")).alias("s")).select("part", "task", "s.*")
+        if kept and touched:
+            last = last.filter(F.col("ts") > F.lit(batch.agg(F.max("ts")).first()[0]) - F.expr(f"INTERVAL {kept}"))
+        last.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{n}")
+        left = {r[0] for r in last.select("part").distinct().collect()}
+        now = {k: v for k, v in old.items() if k not in touched} | {k: n for k in touched if k in left}
+        spark.createDataFrame(sorted(now.items()), "part int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/list{n}")
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def _versions(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    return {r["part"]: r["version"] for r in spark.read.schema("part int, version long").parquet(f"{path}/list{n}").collect()}
+
+
+def latest_table(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The table as it was after batch n."""
+    schema = "task long, stage string, value double, ts timestamp, event_id long"
+    files = [f"{path}/v{v}/part={k}" for k, v in sorted(_versions(spark, path, n).items())]
+    return spark.read.parquet(*files) if files else spark.createDataFrame([], schema)
