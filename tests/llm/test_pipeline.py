@@ -1,8 +1,13 @@
+import math
 import re
 
 import brute
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
+from test_operators import drawn, plain_weights
+
+from cuesheet.llm import quality, queries
 
 
 def plain_lines(rows):
@@ -33,13 +38,17 @@ def test_each_stage_equals_plain_python(spark, sf_dir):
     stages = dict(cp.STAGES)
     docs = cp._table(spark, sf_dir, "documents")
     columns = docs.columns
-    labels = {r["doc_id"]: None if r["quality"] and r["toxic"] else r["quality"] for r in cp._table(spark, sf_dir, "labels").collect()}  # clean, bad, or neither
-
     kept = cp.staged(stages["quality"](spark, docs, sf_dir), "t1")
     ids = {r["doc_id"] for r in kept.collect()}
     assert kept.columns == columns
-    good, bad = [i for i, q in labels.items() if q == 1], [i for i, q in labels.items() if q == 0]
-    assert sum(i in ids for i in good) >= 0.97 * len(good) and sum(i in ids for i in bad) <= 0.35 * len(bad)
+    good = {r["_good_id"] for r in queries.good_ids(cp._table(spark, sf_dir, "labels")).collect()}
+    noise = {r[0]: (r[1] % (1 << 64) >> 11) + 0.5 for r in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text"))).collect()}
+    weights = plain_weights([(r["doc_id"], r["text"]) for r in docs.collect()], good)
+    order = sorted(weights, key=lambda x: math.log(-math.log(noise[x[0]] / (1 << 53))) - x[2])
+    assert ids == {i for i, _, _ in order[: sum(j >= quality.LEAST for _, _, j in weights)]}
+    told = {r["doc_id"]: r["quality"] for r in cp._table(spark, sf_dir, "labels").collect()}
+    clean, bad = [i for i in told if i in good], [i for i, q in told.items() if q == 0]
+    assert sum(i in ids for i in clean) >= 0.97 * len(clean) and sum(i in ids for i in bad) <= 0.35 * len(bad)
 
     lined = cp.staged(stages["lines"](spark, kept, sf_dir), "t2")
     assert lined.columns == columns and lined.dtypes == docs.dtypes
@@ -53,23 +62,37 @@ def test_each_stage_equals_plain_python(spark, sf_dir):
     items = [r["text"] for r in cp._table(spark, sf_dir, "benchmark").collect()]
     assert clean.columns == columns and {r["doc_id"] for r in clean.collect()} == plain_clean(near.collect(), items)
 
-    rows = clean.collect()
     mix = stages["mix"](spark, clean, sf_dir)
     assert mix.columns == [*columns, "copy"]
-    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
-    target = brute.mix([(r["source"], size[r["doc_id"]]) for r in rows])
-    got, taken = {}, {}
+    taken = {}
     for r in mix.collect():
         taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + 1
-        got[r["source"]] = got.get(r["source"], 0) + size[r["doc_id"]]
-    largest = {s: max(size[r["doc_id"]] for r in rows if r["source"] == s) for s in target}
-    assert max(taken.values()) <= 3 and all(abs(got.get(s, 0) - t) <= largest[s] for s, t in target.items())
+        assert r["copy"] == taken[r["doc_id"]] or r["copy"] <= 3
+    sizes = clean.select("doc_id", "source", cp.mixing.n_words(F.col("text")).alias("size")).collect()
+    assert drawn(spark, clean) == sorted(str((r["doc_id"], r["source"], r["size"], taken.get(r["doc_id"], 0))) for r in sizes)
+
+
+def test_stages_keep_clashing_columns(spark, sf_dir):
+    docs = cp._table(spark, sf_dir, "documents").limit(60).withColumns({c: F.lit(-7) for c in ("n_lines", "n_removed", "copy", "_row", "_hash", "_doc", "_c", "_id")})
+    for _, stage in cp.STAGES:
+        docs = cp.staged(stage(spark, docs, sf_dir), "clash")
+        assert {r for r in docs.select("n_lines", "n_removed", "copy", "_row", "_hash", "_doc", "_c", "_id").distinct().collect()} <= {(-7,) * 8}
+    assert docs.columns[-1] == "copy_" and docs.count() > 10
+
+
+def test_stages_take_empty_tables(spark, sf_dir):
+    docs = cp._table(spark, sf_dir, "documents").limit(0)
+    for _, stage in cp.STAGES:
+        docs = cp.staged(stage(spark, docs, sf_dir), "empty")
+        assert docs.count() == 0
 
 
 @pytest.mark.parametrize("text", [None, "", "x"])
 def test_stages_take_odd_rows(spark, sf_dir, text):
     schema = cp._table(spark, sf_dir, "documents").schema
     docs = spark.createDataFrame([(None, text, None, None, None), (1, text, "en", "s", 1), (1, text, "en", "s", 1)], schema)
+    # without a good label among them, all are taken; the two that repeat each other, and all three if they have words, are near duplicates
+    left = {"quality": 3, "lines": 3, "near duplicates": 1 if text else 2, "benchmark": 1 if text else 2, "mix": 1 if text else 0}
     for name, stage in cp.STAGES:
         docs = cp.staged(stage(spark, docs, sf_dir), "odd")
-        assert docs.count() <= 9, name
+        assert docs.count() == left[name], name
