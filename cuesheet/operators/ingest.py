@@ -195,7 +195,12 @@ def matched_tracks(tracks: list[tuple[str, float, bool, bool]], most_drift: floa
 
 
 def pair_tracks(tracks: DataFrame, most_drift: float = MOST_DRIFT) -> DataFrame:
-    """(batch_id, picture, sound, drift, and their places) of tracks (batch_id, place, name, duration, has_video, has_audio, error).
+    """(batch_id, picture, sound, drift) of tracks (batch_id, place, name, duration, has_video, has_audio, error)."""
+    return _paired(tracks, most_drift).select("batch_id", "picture", "sound", "drift")
+
+
+def _paired(tracks: DataFrame, most_drift: float) -> DataFrame:
+    """pair_tracks with picture_place and sound_place.
 
     Choosing is sequential within an upload batch, which a person fills by hand; batches run side by side.
     """
@@ -219,7 +224,7 @@ def batch_groups(tracks: DataFrame, most_drift: float = MOST_DRIFT) -> DataFrame
 
     A file that could not be read fails, as do pictures without sound; neither holds up the rest of the batch.
     """
-    pairs = pair_tracks(tracks, most_drift).select("batch_id", "picture_place", "sound_place")
+    pairs = _paired(tracks, most_drift).select("batch_id", "picture_place", "sound_place")
     both = pairs.select("batch_id", F.col("picture_place").alias("place"), F.col("sound_place").alias("other")).unionByName(pairs.select("batch_id", F.col("sound_place").alias("place"), F.col("picture_place").alias("other")))
     rows = tracks.select("batch_id", F.col("place").cast("int").alias("place"), "has_video", "has_audio", "error").join(both, ["batch_id", "place"], "left")
     outcome = F.when(F.col("other").isNotNull(), "pair").when(F.col("error").isNotNull(), "failed").when(F.col("has_video") & ~F.col("has_audio"), "no sound").otherwise("alone")

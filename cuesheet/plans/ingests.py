@@ -144,7 +144,7 @@ def _tracks(spark, sf_dir):
 
 @query()
 def track_pairing(spark, sf_dir):
-    return i.pair_tracks(_tracks(spark, sf_dir)).select("batch_id", "picture", "sound", "drift")
+    return i.pair_tracks(_tracks(spark, sf_dir))
 
 
 @query()

@@ -17,6 +17,29 @@ def test_upsert_keeps_first_tenant(spark):
     assert sorted(map(tuple, i.upsert(out, new, ["video_id", "chunk_index"], ["tenant_id"]).collect())) == sorted(map(tuple, out.collect()))
 
 
+def test_upsert_of_two_new_rows(spark):
+    schema = "k int, n int, text string, at timestamp"
+    old = spark.createDataFrame([(1, 0, "x", dt.datetime(2020, 1, 1)), (2, 0, "y", dt.datetime(2020, 1, 1))], schema)
+    new = spark.createDataFrame([(1, 7, "a", None), (1, 9, "b", None), (1, 8, "c", None)], schema)
+    got = {r["k"]: r for r in i.upsert(old, new, ["k"], [], order="n", stamp="at").collect()}
+    assert got[1]["text"] == "b" and got[1]["at"].year > 2023 and got[2]["at"].year == 2020
+    assert i.upsert(old, new, ["k"], []).filter("k = 1").first()["text"] == i.upsert(old, new.orderBy("n"), ["k"], []).filter("k = 1").first()["text"]
+
+
+def test_latest_table_rewrites_touched_parts_and_forgets(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp, task long, stage string, value double"
+    batches = [[(k, start, k, "a", 0.0) for k in range(40)], [(90, start + dt.timedelta(hours=30), 3, "b", 1.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = p.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    q = p.run_into_latest(stream, str(tmp_path / "t"), str(tmp_path / "c"), kept="24 hours", parts=8)
+    assert q.lastProgress["batchId"] == 1
+    assert len(list((tmp_path / "t" / "v0").glob("part=*"))) == 8 and len(list((tmp_path / "t" / "v1").glob("part=*"))) == 1
+    rows = {r["task"]: r["stage"] for r in p.latest_table(spark, str(tmp_path / "t"), 1).collect()}
+    assert rows[3] == "b" and 25 < len(rows) < 40  # the others of that part were older than a day
+
+
 def test_missing_parts(spark):
     parts = spark.createDataFrame([("u", 1), ("u", 3), ("u", 3)], "upload_id string, part int")
     totals = spark.createDataFrame([("u", 3), ("w", 2), ("e", 0)], "upload_id string, total int")
@@ -96,7 +119,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows[100 * k : 100 * k + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = lambda: p.event_stream(spark, str(tmp_path / "in"), all_rows.schema)
     q = p.run_into_latest(stream(), str(tmp_path / "latest"), str(tmp_path / "c1"))
-    got = spark.read.parquet(f"{tmp_path}/latest/v{q.lastProgress['batchId']}").drop("event_id")
+    got = p.latest_table(spark, str(tmp_path / "latest"), q.lastProgress["batchId"])
     assert q.lastProgress["batchId"] >= 2
     assert sorted(map(tuple, got.select("task", "stage", "value", "ts").collect())) == sorted(map(tuple, p.latest_state(all_rows).collect()))
     p.run_once(p.stage_counts(stream(), "10 minutes"), str(tmp_path / "counts"), str(tmp_path / "c2"))

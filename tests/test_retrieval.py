@@ -103,3 +103,14 @@ def test_text_functions(spark):
     assert one(text.stem_similarity(F.lit("abc.mp4"), F.lit("abd.m4a"))) == pytest.approx(2 / 3)
     assert one(text.part_count(F.lit(130), F.lit(64))) == 3 and one(text.last_part_size(F.lit(130), F.lit(64))) == 2
     assert one(text.snippet(F.lit("x" * 20))) == "x" * 18 + "…" and one(text.clean_title(F.lit(' "a"\n '))) == "a"
+
+
+def test_queries_go_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(3)]
+    segments = spark.createDataFrame([(i, "t", "v", rng.choice(["java lock", "redis", None]), vec()) for i in range(20)], SCHEMA)
+    asked = r.with_grams(spark.createDataFrame([(k, vec(), "Java redis") for k in range(9)], "query_id int, query_vec array<double>, query string"))
+    want = sorted(map(str, r.scored(segments, asked).collect()))
+    monkeypatch.setattr(r, "QUERIES_BYTES", 300)
+    assert len(r._blocks(asked)) > 3
+    assert sorted(map(str, r.scored(segments, asked).collect())) == want and len(want) == 180
