@@ -33,6 +33,11 @@ def with_grams(queries: DataFrame, mode: str = "hybrid") -> DataFrame:
     return queries.withColumn("grams", grams)
 
 
+def _vocabulary(text: Column) -> Column:
+    """The distinct runs of characters that grams consist of: a text holds a gram if one of these does, and they are far shorter."""
+    return F.array_join(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9+#.一-鿿]+")), " ")
+
+
 def _blocks(queries: DataFrame) -> list[DataFrame]:
     """queries in parts by a hash of query_id, each below QUERIES_BYTES in the mean by half."""
     size = queries.agg(F.coalesce(F.sum(F.size("query_vec") * 8 + F.size("grams") * 32 + 64), F.lit(0))).first()[0]
@@ -42,7 +47,7 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
 
 def scored(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """Each segment with a vector, for each query: score (cosine) and matched (grams found)."""
-    rows = segments.filter(F.col("embedding").isNotNull()).withColumns({"_norm": norm(F.col("embedding")), "_low": F.lower(F.coalesce("text_content", F.lit("")))})
+    rows = segments.filter(F.col("embedding").isNotNull()).withColumns({"_norm": norm(F.col("embedding")), "_low": _vocabulary(F.col("text_content"))})
     out = None
     for block in _blocks(queries.select("query_id", "query_vec", "grams")):
         grams = F.broadcast(block.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("_all")))  # one row, below the block's bound
