@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import datetime as dt
 import uuid
 
@@ -66,7 +68,7 @@ def late_joiners(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; it goes when the driver's Python ends."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -74,7 +76,15 @@ def _folder(spark) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir")
         base = f"file://{tempfile.gettempdir()}/cuesheet"
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    path = f"{base}/streams/{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def _stream(spark, sf_dir):
