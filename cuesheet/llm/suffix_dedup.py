@@ -36,7 +36,7 @@ PIECE, PLACE_BITS = 1 << 20, 24
 #: Windows sorted at once.
 CHUNK = 1 << 16
 #: Runs of a gram that are sorted together.
-MOST = 1024
+MOST = 4096
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 _M = np.uint64(0xFF51AFD7ED558CCD)
 Batches = Iterator[pa.RecordBatch]
