@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality, sql, suffix_dedup, url_reputation, warc
+from . import collocations, decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality, sql, suffix_dedup, url_reputation, vector_codes, warc
+from .staging import staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +75,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, share=80, top=2000)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(table, id_col="vec_id", vector_col="embedding", parts=4, entries=256, rounds=4, scale=1024)
+    coded = staged(vector_codes.encode(table, books, vector_col="embedding", columns=["vec_id", "label"]), "codes")
+    found = vector_codes.group_errors(coded, "label", out_col="label_error")
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op4_language, op5_suffix_dedup, op6_url_filter, op7_quality, op8_warc, op9_minhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op4_language, op5_suffix_dedup, op6_url_filter, op7_quality, op8_warc, op9_minhash, op10_line_dedup, op11_collocations, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

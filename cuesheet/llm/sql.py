@@ -1,5 +1,27 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+
+def _vector_codes(rounds: int = 4) -> str:
+    """A part is a list of doubles that hold integers, so that distances below 2^53 are exact."""
+    near = "(SELECT r, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (SELECT r, x.p, e, CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS HUGEINT) AS d FROM x JOIN {books} b ON x.p = b.p) GROUP BY r, p)"
+    text = """WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * CAST(y AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r FROM d),
+x AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM (SELECT r, v, unnest(range(4)) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT p, r AS e, v AS c FROM x WHERE r < 256),
+"""
+    for i in range(rounds):
+        text += f"""a{i} AS MATERIALIZED {near.format(books=f"b{i}")},
+s{i} AS (SELECT p, e, list(CAST(floor(s / CAST(n AS DOUBLE)) AS DOUBLE) ORDER BY j) AS c FROM (SELECT a.p, a.e, j, sum(x.v[j]) AS s, count(*) AS n FROM a{i} a JOIN x ON a.r = x.r AND a.p = x.p, LATERAL (SELECT unnest(range(1, len(x.v) + 1)) AS j) GROUP BY ALL) GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM b{i} b LEFT JOIN s{i} s ON b.p = s.p AND b.e = s.e),
+"""
+    return text + f"""f AS {near.format(books=f"b{rounds}")},
+o AS (SELECT r, string_agg(printf('%02x', CAST(e AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS j FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN o USING (r), h
+"""
+
+
 ORACLES = {
     "op1_decontaminate": r"""
 WITH words AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -79,4 +101,17 @@ hit AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, lengt
 SELECT page_id, low.host, low.path, rule, coalesce(v, CASE WHEN low > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_mean, round(low, 6) AS bad_low
 FROM low LEFT JOIN hit ON hit.host = low.host AND hit.path = low.path
 """,
+    "op11_collocations": r"""
+WITH p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, g, k AS size, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) t(k) WHERE len(w) >= k)) GROUP BY lang, g, k HAVING count(*) >= 30),
+c AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, 2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS score FROM c JOIN range(1, 4) t(k) ON k < c.size JOIN f x ON x.lang = c.lang AND x.g = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cuts),
+around AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS g, a FROM (SELECT lang, w, a, k, unnest(range(1, size - k + 2)) AS i FROM c JOIN range(2, 4) t(k) ON k < size)) GROUP BY lang, g),
+free AS (SELECT b.*, b.g AS phrase FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.g = b.g WHERE place = 1 AND (o.a IS NULL OR 100 * o.a < 80 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""",
+    "op13_vector_codes": _vector_codes(),
 }
