@@ -4,10 +4,8 @@ Documents with the same set of word shingles form a class, and only one document
 ``bands`` x ``rows`` minima gives band keys; classes that share a key are candidates. First each member is compared with one
 hub, the one with most mates over all bands that it meets in a bucket, which joins dense groups in linear time. In buckets that still
 hold several components, members outside the largest are compared with one of its members, in a few rounds, as long as
-one in ``WORTH`` of these pairs is a link. At last members of such buckets are compared with those of other components that share a shingle of their prefixes: of sets of a and b
-shingles in order of rarity, a similarity of the threshold t needs o = ceil(t (a + b) / (1 + t)) in common, so the first
-a - o + 1 of one and b - o + 1 of the other meet. That is exact, and where many texts lie just under the threshold their prefixes
-hold mostly shingles of their own, so it gives few pairs. Sets are dealt by shingle and size class, since o depends on both sizes.
+one in ``WORTH`` of these pairs is a link. At last members of such buckets go through ``signature_tree.between``, which finds
+the links between their components exactly and moves nodes of sets, never pairs of them.
 
 A pair is compared in batches of its one-byte signatures: it is dropped as soon as the posterior probability (uniform prior)
 that its similarity reaches the threshold falls below ``miss``. Survivors are confirmed on their full sets, of 64-bit hashes of
@@ -20,7 +18,6 @@ are a row. Repeated rows are copies like any others. A null id comes after all o
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import signature_tree
+from .classes import first_rows, named, representatives, slim, texts_of
 from .graph import components
 from .staging import packed, release, staged, unpacked
 
@@ -137,71 +136,6 @@ def least_matches(n_hashes: int, batch: int, threshold: float, miss: float) -> t
     return tuple(out)
 
 
-def least_common(a: int, b: int, percent: int) -> int:
-    """The fewest shingles that sets of a and b have in common if 100 * intersection >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def size_class(n: int) -> int:
-    """Sizes within about a fiftieth of each other share a class."""
-    return int(math.log(n) / math.log(1.02))
-
-
-@functools.cache
-def least_of_class(c: int) -> int:
-    """The smallest size of the classes from c on."""
-    n = max(1, int(1.02**c) - 1)
-    while size_class(n) < c:
-        n += 1
-    return n
-
-
-def prefix_lengths(n: int, percent: int) -> list[tuple[int, bool, int]]:
-    """(class, is the larger, prefix length) of a set of n shingles.
-
-    As the smaller of a pair it meets others in its own class, by the prefix for a partner of its own size, the longest
-    that such pairs need. As the larger it goes to each class of sizes from percent of n to n, by the prefix for the
-    smallest size of that class.
-    """
-    own = size_class(n)
-    out = [(own, False, n - least_common(n, n, percent) + 1)]
-    least = -(-percent * n // 100)
-    for c in range(size_class(least), own + 1):
-        lo = max(least, least_of_class(c))
-        if size_class(lo) == c:
-            out.append((c, True, n - least_common(lo, n, percent) + 1))
-    return out
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each set."""
-    for batch in batches:
-        for row, each in zip(batch["_row"].to_pylist(), batch["_set"]):
-            x = np.frombuffer(each.as_buffer(), np.int64)
-            for at in range(0, len(x), 1 << 16):
-                part = x[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row)), pa.array(part)], ["_row", "_shingle"])
-
-
-def _prefixes(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of sets in order of rarity: a row for each class, role and shingle of the prefix."""
-
-    types = [np.int32, np.int64, np.bool_, np.int64, np.int64, np.int64, np.int64]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, len(whole), 64):
-                batch, out = whole.slice(k, 64), [[np.empty(0, t)] for t in types]
-                for row, c, each in zip(batch["_row"].to_pylist(), batch["_c"].to_pylist(), batch["_sorted"]):
-                    x = each.values.to_numpy()
-                    for cls, larger, n in prefix_lengths(len(x), percent):
-                        for col, v in zip(out, (cls, x[:n], larger, row, c, len(x), np.arange(n))):
-                            col.append(np.broadcast_to(v, n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col).astype(t)) for col, t in zip(out, types)], ["_cls", "_shingle", "_larger", "_row", "_c", "_n", "_at"])
-
-    return run
-
-
 def _promising(n_hashes: int, threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     least = least_matches(n_hashes, BATCH, threshold, miss)
 
@@ -249,38 +183,17 @@ def _distinct_pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (_row, _c) with different _c that the threshold leaves possible, by their prefixes; staged."""
-    members = staged(members, "members")
-    each = staged(sets.join(members, "_row").select("_row", "_set").mapInArrow(_shingles, "_row long, _shingle long"), "shingles")
-    many = staged(each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_many")), "rarity")
-    ranked = each.join(many, "_shingle").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_many", "_shingle"))).alias("_sorted"))
-    ranked = ranked.join(members, "_row").select("_row", "_c", F.col("_sorted._shingle").alias("_sorted"))
-    prefix = staged(ranked.mapInArrow(_prefixes(percent), "_cls int, _shingle long, _larger boolean, _row long, _c long, _n long, _at long"), "prefixes")
-    for x in (members, each, many):
-        release(x)
-    large = prefix.filter("_larger").select("_cls", "_shingle", *(F.col(c).alias(f"{c}1") for c in ("_row", "_c", "_n", "_at")))
-    ordered = (F.col("_n") < F.col("_n1")) | ((F.col("_n") == F.col("_n1")) & (F.col("_row") < F.col("_row1")))
-    left = F.least(F.col("_n") - F.col("_at"), F.col("_n1") - F.col("_at1"))  # the most in common from this shingle on
-    enough = left * (100 + percent) >= (F.col("_n") + F.col("_n1")) * percent
-    pairs = prefix.filter("not _larger").join(large, ["_cls", "_shingle"]).filter((F.col("_c") != F.col("_c1")) & ordered & enough)
-    pairs = staged(pairs.select(*_distinct_pairs("_row", "_row1")).distinct(), "prefix-pairs")
-    release(prefix)
-    return pairs
-
-
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6) -> DataFrame:
     """A row per document: id, _hash (of the text), n_shingles, component_id (smallest id reachable), first (whether it is the one to stay).
 
     Links: 100 * intersection >= percent * union of the sets of ``size``-word shingles, A-Z lower-cased, words split at ASCII white space.
     """
-    slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    slim_docs = slim(docs, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketch = staged(slim.mapInArrow(_sketches(size, bands, rows), f"_row long, _id {id_type}, _hash long, _n long, _class binary, _sig binary, _keys array<long>"), "sketches")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first")
-    classes = staged(sketch.groupBy("_class").agg(first).select("_class", "_first"), "classes")
+    sketch = staged(slim_docs.mapInArrow(_sketches(size, bands, rows), f"_row long, _id {id_type}, _hash long, _n long, _class binary, _sig binary, _keys array<long>"), "sketches")
+    classes = first_rows(sketch)
 
-    reps = sketch.filter("_n > 0").join(classes.select(F.col("_first.row").alias("_row")), "_row", "left_semi")
+    reps = representatives(sketch, classes)
     keyed = staged(reps.select("_row", F.explode("_keys").alias("_key")), "keys")
     shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("_key")
     buckets = staged(keyed.join(shared, "_key").select("_key", "_row"), "buckets")
@@ -291,10 +204,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     bare, buckets = buckets, staged(buckets.join(mates, "_row").select("_key", "_row", "_mates"), "buckets")
     release(bare)
 
-    near = buckets.select("_row").distinct().join(sketch.select("_row", "_id", "_hash"), "_row").select("_row", F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
-    texts = slim.drop("_row").join(near, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_row", "_text")
-    if sketch.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").limit(1).count():
-        texts = texts.dropDuplicates(["_row"])  # rows that repeat give a class's text once each
+    texts = texts_of(slim_docs, sketch, buckets.select("_row"))
     sets = staged(texts.mapInArrow(_sets(size), "_row long, _set binary"), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -339,21 +249,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
         label, left, mixed = split(found, k)
 
     if mixed.limit(1).count():
-        pairs = staged(_prefix_pairs(left.join(mixed, "_key").select("_row", "_c").distinct(), sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            found = found.unionByName(links(pairs))
+        more = signature_tree.between(left.join(mixed, "_key").select("_row", "_c").distinct(), sets, percent)
+        if more.limit(1).count():
             release(label)
-            label = components(found)
-        release(pairs)
+            label = components(found.unionByName(more))
     for x in (left, mixed, sets, buckets):
         release(x)
 
-    named = classes.join(label, F.col("_first.row") == F.col("node"), "left").select("_class", "_first", F.coalesce("label", "_first.row").alias("_c"))
-    named = staged(named, "classes-labelled")
-    heads = staged(named.groupBy("_c").agg(F.min("_first").alias("_head")), "heads")
-    named = staged(named.join(heads, "_c").select("_class", "_head"), "classes-named")
-    out = sketch.join(named, "_class")
-    return out.select(F.col("_id").alias(id_col), "_hash", F.col("_n").alias("n_shingles"), F.col("_head.id").alias("component_id"), (F.col("_row") == F.col("_head.row")).alias("first"))
+    return named(sketch, classes, label, id_col)
 
 
 def drop_near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

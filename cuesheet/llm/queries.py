@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality, sql, suffix_dedup, url_reputation, vector_codes, warc
+from . import collocations, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, minhash, mixing, quality, sql, suffix_dedup, url_reputation, vector_codes, warc
 from .staging import staged
 
 
@@ -79,6 +79,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, share=80, top=2000)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), size=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     books = vector_codes.train(table, id_col="vec_id", vector_col="embedding", parts=4, entries=256, rounds=4, scale=1024)
@@ -88,7 +92,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op4_language, op5_suffix_dedup, op6_url_filter, op7_quality, op8_warc, op9_minhash, op10_line_dedup, op11_collocations, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_mix_sources, op4_language, op5_suffix_dedup, op6_url_filter, op7_quality, op8_warc, op9_minhash, op10_line_dedup, op11_collocations, op12_jaccard_join, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -112,6 +112,18 @@ around AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, array_to_string(w[i:i
 free AS (SELECT b.*, b.g AS phrase FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.g = b.g WHERE place = 1 AND (o.a IS NULL OR 100 * o.a < 80 * b.a)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""",
+    "op12_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sn AS (SELECT s.doc_id, g, n FROM s JOIN n USING (doc_id)),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS sizes, count(*) AS c FROM sn a JOIN sn b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 80 * (sizes - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM reach r JOIN edges e ON r.b = e.x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c ON c.doc_id = d.doc_id
 """,
     "op13_vector_codes": _vector_codes(),
 }

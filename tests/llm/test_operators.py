@@ -10,7 +10,7 @@ import compare
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality, queries, select_top, sql, suffix_dedup, url_reputation, warc
+from cuesheet.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality, queries, select_top, signature_tree, sql, suffix_dedup, url_reputation, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _row string, _doc string, line string, size string, total string, _key string"
 RNG = random.Random(4)
@@ -199,8 +199,7 @@ def test_prefixes_keep_every_link():
         x, y = set(range(common)) | set(range(100, 100 + a - common)), set(range(common)) | set(range(200, 200 + b - common))
         rank = {s: rng.random() for s in x | y}
         x, y = sorted(x, key=rank.get), sorted(y, key=rank.get)
-        small = {(c, s) for c, larger, n in minhash.prefix_lengths(a, 80) if not larger for s in x[:n]}
-        large = {(c, s) for c, larger, n in minhash.prefix_lengths(b, 80) if larger for s in y[:n]}
+        small, large = set(x[: signature_tree.prefix_lengths(a, 80)[0]]), set(y[: signature_tree.prefix_lengths(b, 80)[1]])
         if 100 * common >= 80 * (a + b - common):
             kept += 1
             assert small & large, (a, b, common)
@@ -221,18 +220,35 @@ def counted(monkeypatch):
     return found
 
 
-def test_group_just_under_the_threshold_gives_few_pairs(spark, monkeypatch):
-    w = BASE.split(" ")
-    rows = []
-    for i in range(300):  # 120 words, of which 7 are new: 14 of 119 shingles differ from the source's, so pairs are at 0.79 or less
-        x = list(w)
-        for k, at in enumerate(random.Random(i).sample(range(1, 119, 2), 7)):
+def appended(n):
+    """n texts of the same 120 words and 16 or 17 words of their own: all pairs have a similarity of 0.77 to 0.79."""
+    return [(i, " ".join([BASE, *(f"n{i}k{k}" for k in range(16 + i % 2))])) for i in range(n)]
+
+
+def replaced(n):
+    """n texts of 120 words with four replaced: most pairs have a similarity of 0.76, a few are links."""
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(n):
+        x = list(base)
+        for k, at in enumerate(random.Random(i).sample(range(1, 119, 2), 4)):
             x[at] = f"n{i}k{k}"
         rows.append((i, " ".join(x)))
-    pairs = counted(monkeypatch)
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
-    assert got == {i: c for i, (_, c) in brute.near_duplicates(rows).items()}
-    assert sum(pairs) < 3000, pairs  # of 44,850
+    return rows
+
+
+@pytest.mark.parametrize("group", [appended, replaced])
+def test_group_just_under_the_threshold_gives_few_pairs(spark, monkeypatch, group):
+    """Pairs and nodes that are rows, from 300 texts and from 600: linear, where all pairs are 44,850 and 179,700."""
+    moved = []
+    for n in (300, 600):
+        rows, pairs, nodes, tree = group(n), counted(monkeypatch), [], signature_tree.staged
+        monkeypatch.setattr(signature_tree, "staged", lambda df, name: (out := tree(df, name), nodes.append(out.count()) if name in ("node-pairs", "tree-links") else None)[0])
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+        assert got == {i: c for i, (_, c) in brute.near_duplicates(rows).items()}
+        moved.append(sum(pairs) + sum(nodes))
+        monkeypatch.undo()
+    assert moved[0] < 3000, moved
+    assert moved[1] <= 2.2 * moved[0], moved
 
 
 def test_repeated_rows_are_compared_once(spark, monkeypatch):
