@@ -45,36 +45,6 @@ def pieces(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -
     return each.select("lang", piece.alias("piece")).filter("piece <> ''").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("times"))
 
 
-class Frequent:
-    """Which n-grams may be frequent: a bitmap by a hash of language and phrase."""
-
-    def __init__(self, bits: int, pages: dict[int, bytes]):
-        self.bits, self.words = bits, np.zeros(bits // 8, np.uint8)
-        for k, page in pages.items():
-            part = np.frombuffer(page, np.uint8)[: len(self.words) - k * PAGE // 8]
-            self.words[k * PAGE // 8 : k * PAGE // 8 + len(part)] = part
-
-    def __contains__(self, key: str) -> bool:
-        at = _place(key, self.bits)
-        return bool(self.words[at >> 3] >> (at & 7) & 1)
-
-
-def _place(key: str, bits: int) -> int:
-    return xxhash.xxh64_intdigest(key.encode(), 42) & (bits - 1)
-
-
-def frequent(counts: DataFrame) -> Frequent:
-    """The bitmap of counts (lang, phrase); a page is made by each group of places."""
-    bits = 1 << 16
-    n = counts.count()
-    while bits < min(n * SPARSE, BITS):
-        bits *= 2
-    at = F.xxhash64(F.concat_ws("\t", "lang", "phrase")).bitwiseAND(F.lit(bits - 1))
-    page = counts.select(F.shiftright(at, 15).alias("page"), at.bitwiseAND(F.lit(PAGE - 1)).alias("at"))
-    rows = page.groupBy("page").agg(F.bitmap_construct_agg("at").alias("bitmap")).collect()  # at most BITS bits in all
-    return Frequent(bits, {r["page"]: bytes(r["bitmap"]) for r in rows})
-
-
 class _Words:
     """The words of some pieces as numbers, in one sequence; a number stands for a word of a language."""
 
@@ -83,45 +53,90 @@ class _Words:
         lengths = np.diff(words.offsets.to_numpy())
         piece = np.repeat(np.arange(len(lengths)), lengths)
         flat, lang = words.flatten().dictionary_encode(), part["lang"].combine_chunks().dictionary_encode()
-        both = lang.indices.to_numpy().astype(np.int64)[piece] * len(flat.dictionary) + flat.indices.to_numpy()
-        kinds, self.at = np.unique(both, return_inverse=True)
-        text, names = flat.dictionary.to_pylist(), lang.dictionary.to_pylist()
-        self.lang, self.text = ([names[k] for k in kinds // len(text)], [text[k] for k in kinds % len(text)]) if len(kinds) else ([], [])
+        n = max(1, len(flat.dictionary))
+        kinds, self.at = np.unique(lang.indices.to_numpy().astype(np.int64)[piece] * n + flat.indices.to_numpy(), return_inverse=True)
+        self.lang, self.text = lang.dictionary.take(pa.array(kinds // n)), flat.dictionary.take(pa.array(kinds % n))
         self.weight = part["times"].to_numpy().astype(np.int64)[piece]
         self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(piece))  # words from here to the piece's end
 
-    def phrase(self, start: int, n: int) -> str:
-        return " ".join([self.text[k] for k in self.at[start : start + n]])
-
-    def key(self, start: int, n: int) -> str:
-        return f"{self.lang[self.at[start]]}\t{self.phrase(start, n)}"
-
-
-def _grams_of(words: _Words, n: int, filters: list[Frequent]) -> Iterator[tuple[str, str, int]]:
-    """(language, n-gram, weight), each once, of n-grams all of whose shorter ones pass the filters."""
-    code, start = words.at, np.arange(len(words.at))
-    for k in range(1, n + 1):
-        kinds, first, code = np.unique(code, return_index=True, return_inverse=True)
-        if k == n:
-            break
-        passed = np.fromiter((words.key(start[i], k) in filters[k - 1] for i in first), bool, len(first))
-        # a (k+1)-gram begins where a k-gram passes and the next word begins one that passes too
-        ok = np.zeros(len(words.at) + 1, bool)
-        number = np.zeros(len(words.at) + 1, np.int64)
-        ok[start], number[start] = passed[code], code
-        start = np.flatnonzero(ok[:-1] & ok[1:] & (words.left > k))
-        code = number[start] * len(kinds) + number[start + 1]
-    if len(kinds):
+    def hashes(self) -> np.ndarray:
+        """A hash of each word in the sequence, with its language."""
+        each = (xxhash.xxh64_intdigest(f"{g}\t{w}") for g, w in zip(self.lang.to_pylist(), self.text.to_pylist()))
+        return np.fromiter(each, np.uint64, len(self.text))[self.at]
+
+    def grams(self, start: np.ndarray, n: int) -> pa.RecordBatch:
+        """The n-grams that begin at these places, each once, with their weights."""
+        code, kinds = self.at[start], max(2, len(self.text))
+        for k in range(1, n):
+            if len(code) and int(code.max()).bit_length() + kinds.bit_length() > 62:
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * kinds + self.at[start + k]
         order = np.argsort(code, kind="stable")
-        weight = np.add.reduceat(words.weight[start][order], np.searchsorted(code[order], np.arange(len(kinds))))
-        for i, w in zip(start[first].tolist(), weight.tolist()):
-            yield words.lang[words.at[i]], words.phrase(i, n), w
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        weight = np.add.reduceat(self.weight[start][order], first) if len(first) else np.empty(0, np.int64)
+        start = start[order[first]]
+        words = [self.text.take(pa.array(self.at[start + k])) for k in range(n)]
+        return pa.RecordBatch.from_arrays([self.lang.take(pa.array(self.at[start])), pc.binary_join_element_wise(*words, " ") if n > 1 else words[0], pa.array(weight)], ["lang", "phrase", "n"])
+
+
+def _next(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of n-grams that have one word more."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def _places(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of n-grams (piece, lang, times): their places in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _Words(pa.Table.from_batches([batch]))
+            word = words.hashes()
+            h, start = word, np.flatnonzero(np.diff(words.left, prepend=0) >= 0)
+            for k in range(1, int(words.left.max(initial=1))):
+                h = _next(h[:-1], word[k:])
+            yield pa.RecordBatch.from_arrays([pa.array((h[start] & np.uint64(bits - 1)).astype(np.int64))], ["at"])
+
+    return run
+
+
+def frequent(counts: DataFrame) -> np.ndarray:
+    """A bitmap of counts (lang, phrase), phrases of equal numbers of words, as bytes; a page is made by each group of places."""
+    bits, n = 1 << 16, counts.count()
+    while bits < min(n * SPARSE, BITS):
+        bits *= 2
+    at = counts.select("lang", F.col("phrase").alias("piece"), F.lit(1).cast("long").alias("times")).mapInArrow(_places(bits), "at long")
+    page = at.select(F.shiftright("at", 15).alias("page"), F.col("at").bitwiseAND(F.lit(PAGE - 1)).alias("at"))
+    out = np.zeros(bits // 8, np.uint8)
+    for k, bitmap in page.groupBy("page").agg(F.bitmap_construct_agg("at")).collect():  # at most BITS bits in all
+        out[k * PAGE // 8 : (k + 1) * PAGE // 8] = np.frombuffer(bytes(bitmap), np.uint8)
+    return out
+
+
+def held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes the bitmap has."""
+    at = h & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _grams_of(words: _Words, n: int, filters: list[np.ndarray]) -> pa.RecordBatch:
+    """n-grams all of whose shorter ones pass the filters."""
+    start = np.arange(len(words.at))
+    if n > 1:
+        h = word = words.hashes()
+        ok = np.zeros(len(word) + 1, bool)
+        for k, bitmap in enumerate(filters, 1):
+            start = start[held(bitmap, h[start])]
+            ok[:], ok[start] = False, True
+            start = start[ok[start + 1] & (words.left[start] > k)]  # a (k+1)-gram begins where a k-gram passes and the next word begins one that passes too
+            h = np.concatenate((_next(h[: len(word) - k], word[k:]), np.zeros(k, np.uint64)))
+    return words.grams(start, n)
 
 
 def _grams(n: int, filters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def reduced(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(zip(*_grams_of(_Words(pa.Table.from_batches(batches)), n, filters.value))) or [[], [], []]
-        whole = pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())], ["lang", "phrase", "n"])
+        whole = _grams_of(_Words(pa.Table.from_batches(batches)), n, filters.value)
         for at in range(0, len(whole), 50_000):
             yield whole.slice(at, 50_000)
 

@@ -3,6 +3,8 @@ import re
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,12 +58,18 @@ def test_collocations_equal_plain_python(spark, monkeypatch, least, top, words):
     assert sorted(map(tuple, got)) == plain(texts(), least, top) and len(got) > 10
 
 
-def test_filter_holds_all_that_is_frequent(spark):
-    """The JVM's hash of language and phrase is the one that tasks look up."""
-    rows = [("en", f"w{i} é") for i in range(3000)] + [("und", "x y")]
-    found = c.frequent(spark.createDataFrame(rows, "lang string, phrase string"))
-    assert all(f"{lang}\t{p}" in found for lang, p in rows)
-    assert sum(f"de\tw{i}" in found for i in range(3000)) < 400
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_filter_holds_all_that_is_frequent(spark, n):
+    """What is looked up in a text is found under the hash of the counted phrase."""
+    rows = [("en" if i % 2 else "de", " ".join(f"w{i}é{k}" for k in range(n))) for i in range(3000)]
+    bitmap = c.frequent(spark.createDataFrame(rows, "lang string, phrase string"))
+    words = c._Words(pa.table({"lang": [g for g, _ in rows], "piece": [f"x {p} y" for _, p in rows], "times": [1] * len(rows)}))
+    h = word = words.hashes()
+    for k in range(1, n):
+        h = c._next(h[:-1], word[k:])
+    found = c.held(bitmap, h)
+    at = np.arange(len(rows)) * (n + 2)
+    assert found[at + 1].all() and found[at[:-1]].mean() < 0.1
 
 
 def test_bitmap_of_few_bits_changes_nothing(spark, monkeypatch):
