@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import corrections, evaluations, ingests, progresses, retrievals, segmentations  # noqa: E402, F401
+from . import corrections, evaluations, indexes, ingests, joins, progresses, retrievals, segmentations  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import search_grams
+from ..operators import keyword_index as k
 from ..operators import retrieval as r
 from ..operators.tenancy import Catalog, Context
 from ..sources.tables import load, segments
@@ -64,7 +65,8 @@ def keyword_topn(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT query_id, segment_index, CAST(matched AS BIGINT) AS matched, CAST(n_grams AS BIGINT) AS n_grams FROM pairs WHERE matched > 0")
 def keyword_gram_count(spark, sf_dir):
-    return pairs(spark, sf_dir).filter("matched > 0").select("query_id", "segment_index", F.col("matched").cast("long").alias("matched"), F.col("n_grams").cast("long").alias("n_grams"))
+    posted = k.postings(segments(spark, sf_dir))
+    return k.matches(asked(spark, sf_dir), posted, k.pieces(posted)).withColumn("n_grams", F.col("n_grams").cast("long"))
 
 
 @query(f"WITH {PAIRS}, {MERGED} SELECT query_id, segment_index, CAST(rank AS BIGINT) AS rank, round(relevance, 6) AS relevance FROM ranked WHERE rank <= 5")
