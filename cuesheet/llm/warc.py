@@ -10,8 +10,8 @@ that any gzip or WARC reader takes.
 
 The reader goes through a file's bytes without copying them. It inflates member by member in small steps and frames and
 digests each record as its bytes appear; a payload is only put together where it is asked for. It raises on a bad digest or
-a cut record. Null payloads are empty; a very long one has a file of its own, up to the 2 GB of a row; null urls give records
-without a target; repeated rows are records of their own; other columns are not read.
+a cut record. Null payloads are empty; a very long one has a file of its own, up to the 2 GB of a row; urls are
+of any length, as headers end where their member does, at last; null urls give records without a target; repeated rows are records of their own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .staging import new_path, release, staged
 #: An empty gzip member.
 SEPARATOR = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 STEP = 1 << 16
-#: What ends a header and, twice, a record; the longest header that is read.
-BLANK, END, LONGEST_HEAD = b"\r\n\r\n", b"\r\n\r\n", 1 << 20
+#: What ends a header, and what ends a record.
+BLANK, END = b"\r\n\r\n", b"\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records carry a fixed date, so that equal input gives equal archives.
 DATE = "2000-01-01T00:00:00Z"
@@ -118,7 +118,7 @@ class _Parts:
             part = next(self.parts, None)
             if part is None and not self.ready:
                 return None
-            if part is None or len(self.ready) > LONGEST_HEAD:
+            if part is None:
                 raise CutRecord("a header does not end")
             self.ready += part
         out = bytes(self.ready[:end])

@@ -496,6 +496,16 @@ def test_warc_round_trip(spark):
     assert {r["record_type"] for r in warc.round_trip(pages, least_bytes=1 << 30).collect()} == {"response"}
 
 
+def test_urls_of_any_length_come_back(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/" + "u" * 3_000_000, "page"), (2, "http://b.example/", "page")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, least_bytes=0).collect()}
+    assert got == {1: (4, "revisit", 2), 2: (4, "response", None)}
+    digest = warc.base32_sha1(b"x")
+    raw = warc.record("response", "7", "http://c.example/" + "v" * 3_000_000, b"x", None, digest, 1)
+    [(head, size, payload)] = warc.read_records(raw)
+    assert (len(head["WARC-Target-URI"]), size, payload) == (3_000_017, 1, b"x")
+
+
 def test_warc_reader_refuses_damage():
     one = warc.record("response", "1", "http://x/", b"payload", None, warc.base32_sha1(b"payload"), 7)
     assert [(n, p) for _, n, p in warc.read_records(one + warc.SEPARATOR + one)] == [(7, b"payload")] * 2
