@@ -134,15 +134,27 @@ def trace_counts(corrected: DataFrame) -> DataFrame:
     return corrected.select(F.explode("traces.rule").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _blocks(terms: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
+    """terms in blocks of at most TERMS_BYTES each, one block at least."""
+    out, size = [[]], 0
+    for place, term in terms:
+        if size + len(term) + 32 > TERMS_BYTES and out[-1]:
+            out.append([])
+            size = 0
+        out[-1].append((place, term))
+        size += len(term) + 32
+    return out
+
+
 def fuzzy_terms(tokens: DataFrame, dictionary: Dictionary, threshold: float = FUZZY) -> DataFrame:
-    """(token, term, sim) of tokens (token) near to a Latin term: the edit-distance rule alone, the term first in the dictionary on ties."""
+    """(token, term, sim) of tokens (token) near to a Latin term: the edit-distance rule alone, the term first in the dictionary on ties. Terms are broadcast in blocks."""
     spark = tokens.sparkSession
     latin = [(i, t.term) for i, t in enumerate(dictionary.terms) if re.fullmatch("[A-Za-z0-9]+", t.term)]
-    if sum(len(t) + 32 for _, t in latin) > TERMS_BYTES:
-        raise ValueError("the dictionary has more Latin terms than can be compared with every word")
-    terms = F.broadcast(spark.createDataFrame(latin, "place int, term string"))
-    pairs = tokens.select("token").distinct().filter(F.length("token") >= FUZZY_LENGTH).crossJoin(terms)
-    near = pairs.withColumn("sim", similarity(F.lower("token"), F.lower("term"))).filter(F.col("sim") >= threshold)
+    words, near = tokens.select("token").distinct().filter(F.length("token") >= FUZZY_LENGTH), None
+    for block in _blocks(latin):
+        terms = F.broadcast(spark.createDataFrame(block, "place int, term string"))
+        part = words.crossJoin(terms).withColumn("sim", similarity(F.lower("token"), F.lower("term"))).filter(F.col("sim") >= threshold)
+        near = part if near is None else near.unionByName(part)
     best = near.groupBy("token").agg(F.max(F.struct("sim", (-F.col("place")).alias("first"), "term")).alias("b"))
     return best.select("token", "b.term", "b.sim")
 

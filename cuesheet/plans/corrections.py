@@ -23,8 +23,18 @@ LINES = (
 )
 
 
-def lines(spark):
-    return spark.createDataFrame(list(enumerate(LINES)), "id int, text string")
+CORRECTED = (
+    "三元运算符", "三元运算符", "三元运算符", "三元运算符", "三元表达式", "用三元运算符可以简化这段代码", "三元运算符", "复制一行代码", "重复值为3", "县城的线程池",
+    "如果前面是false", "Ctrl C", "Ctrl Ctrl V", "S Q L", "hello world，student 的 name 和 value 都 set 好了", "把 Redis 和Redis 都赋值给变量", "Kafka Kafka Kubernetes",
+)
+RULES = {0: ["pinyin"], 1: ["pinyin"], 2: ["pinyin"], 3: ["pinyin"], 4: ["pinyin"], 5: ["pinyin"], 10: ["latin-phonetic"], 11: ["latin-phonetic"], 12: ["latin-phonetic"] * 2, 15: ["latin-phonetic", "alias", "phrase"], 16: ["alias", "canonical", "fuzzy"]}
+SAID = f"said AS (SELECT conv_id, turn, (conv_id + turn) % {len(LINES)} AS k FROM conversations)"
+
+
+def lines(spark, sf_dir):
+    """A misheard line in the place of every turn: (conv_id, turn, text)."""
+    text = F.element_at(F.array(*(F.lit(x) for x in LINES)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(LINES))) + 1).cast("int"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
 
 
 def full_dictionary(spark):
@@ -65,14 +75,14 @@ def latin_phonetic(spark, sf_dir):
     return c.correct_lines(words.unionByName(heard).distinct(), builtin(), "token").select("token", "corrected", "changed")
 
 
-@query("SELECT * FROM (VALUES (0, '三元运算符'), (1, '三元运算符'), (2, '三元运算符'), (3, '三元运算符'), (4, '三元表达式'), (5, '用三元运算符可以简化这段代码'), (6, '三元运算符'), (7, '复制一行代码'), (8, '重复值为3'), (9, '县城的线程池'), (10, '如果前面是false'), (11, 'Ctrl C'), (12, 'Ctrl Ctrl V'), (13, 'S Q L'), (14, 'hello world，student 的 name 和 value 都 set 好了'), (15, '把 Redis 和Redis 都赋值给变量'), (16, 'Kafka Kafka Kubernetes')) AS t(id, corrected)")
+@query(f"WITH {SAID}, c AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(CORRECTED)) + ") AS t(k, corrected)) SELECT conv_id, turn, corrected FROM said JOIN c USING (k)")
 def pinyin_correct(spark, sf_dir):
-    return c.correct_lines(lines(spark), full_dictionary(spark)).select("id", "corrected")
+    return c.correct_lines(lines(spark, sf_dir), full_dictionary(spark)).select("conv_id", "turn", "corrected")
 
 
-@query("SELECT * FROM (VALUES ('pinyin', 6), ('latin-phonetic', 5), ('alias', 2), ('phrase', 1), ('canonical', 1), ('fuzzy', 1)) AS t(rule, n)")
+@query(f"WITH {SAID}, r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, xs in RULES.items() for x in xs) + ") AS t(k, rule)) SELECT rule, count(*) AS n FROM said JOIN r USING (k) GROUP BY rule")
 def correction_traces(spark, sf_dir):
-    return c.trace_counts(c.correct_lines(lines(spark), full_dictionary(spark)))
+    return c.trace_counts(c.correct_lines(lines(spark, sf_dir), full_dictionary(spark)))
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Evaluation queries: boundary cases of six videos, and rankings judged by language and number."""
+"""Evaluation queries: boundaries of conversations, and rankings judged by language and number."""
 
 from __future__ import annotations
 
@@ -7,31 +7,29 @@ from pyspark.sql import functions as F
 from ..functions.stats import wilson
 from ..operators import evaluation as e
 from ..operators import retrieval as r
-from ..sources.tables import load
+from ..operators.segmentation import replayed
+from ..sources.tables import lines, load
 from . import query
 from .retrievals import PAIRS, asked, pairs
+from .segmentations import FIXED
 
-#: Fixed values: (video, duration, window, reference boundaries, boundaries found).
-CASES = (
-    ("v_218ecb10", 971.17, 194.0, (169.11, 373.35, 603.24, 879.26), (169.11, 374.62, 604.45, 867.02)),
-    ("v_e6eef6fb", 942.01, 235.5, (233.8, 401.3, 662.1), (233.81, 402.53, 663.09)),
-    ("v_f22b4919", 984.6, 246.15, (77.4, 518.1, 746.3), (77.36, 373.02, 519.31, 747.36)),
-    ("v_234e259d", 1357.31, 226.22, (150.5, 250.5, 418.7, 653.6, 974.7), (252.69, 425.34, 653.58, 918.71, 977.92, 1219.05)),
-    ("v_3efb18f1", 1044.86, 348.29, (188.1, 419.0), (188.06, 423.38, 596.85, 744.43)),
-    ("v_1840d2ec", 1167.7, 389.23, (412.3, 824.4), (60.13, 363.85, 424.18, 726.79, 831.28, 930.01)),
-)
-_LIST = lambda xs: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
-CASES_SQL = "cases AS (SELECT * FROM (VALUES " + ", ".join(f"('{v}', CAST({d} AS DOUBLE), CAST({w} AS DOUBLE), {_LIST(ref)}, {_LIST(hyp)})" for v, d, w, ref, hyp in CASES) + ") AS t(video_id, duration, w, ref, hyp))"
-WD_SQL = f"{CASES_SQL}, steps AS (SELECT *, unnest(range(CAST(floor(duration - w) AS BIGINT) + 1)) AS t FROM cases), wd AS (SELECT video_id, CAST(sum(CASE WHEN (len(list_filter(ref, lambda b: b > t AND b <= t + w)) > 0) <> (len(list_filter(hyp, lambda b: b > t AND b <= t + w)) > 0) THEN 1 ELSE 0 END) AS BIGINT) AS mismatch, count(*) AS windows, CAST(sum(CASE WHEN len(list_filter(ref, lambda b: b > t AND b <= t + w)) <> len(list_filter(hyp, lambda b: b > t AND b <= t + w)) THEN 1 ELSE 0 END) AS BIGINT) AS counted FROM steps GROUP BY video_id)"
+#: Fixed windows again from stored lines as what was found, boundaries every 100 s as references, windows of 60 s.
+CASES_SQL = f"{FIXED}, ends AS (SELECT video_id, max(stop) AS duration FROM lines GROUP BY video_id), h AS (SELECT video_id, list(x ORDER BY x) AS hyp FROM (SELECT video_id, round(min(start), 2) AS x FROM seg WHERE segment > 0 GROUP BY video_id, segment) GROUP BY video_id), cases AS (SELECT video_id, duration, CAST(60 AS DOUBLE) AS w, CASE WHEN floor(duration) > 100 THEN list_transform(range(100, CAST(floor(duration) AS BIGINT), 100), lambda x: CAST(x AS DOUBLE)) ELSE [] END AS ref, coalesce(hyp, []) AS hyp FROM ends LEFT JOIN h USING (video_id))"
+WD_SQL = f"{CASES_SQL}, steps AS (SELECT *, unnest(range(CAST(floor(duration - w) AS BIGINT) + 1)) AS t FROM cases), differ AS (SELECT video_id, sum(CASE WHEN (len(list_filter(ref, lambda b: b > t AND b <= t + w)) > 0) <> (len(list_filter(hyp, lambda b: b > t AND b <= t + w)) > 0) THEN 1 ELSE 0 END) AS mismatch, count(*) AS windows, sum(CASE WHEN len(list_filter(ref, lambda b: b > t AND b <= t + w)) <> len(list_filter(hyp, lambda b: b > t AND b <= t + w)) THEN 1 ELSE 0 END) AS counted FROM steps GROUP BY video_id), wd AS (SELECT video_id, CAST(coalesce(mismatch, 0) AS BIGINT) AS mismatch, coalesce(windows, 0) AS windows, CAST(coalesce(counted, 0) AS BIGINT) AS counted, CASE WHEN windows > 0 THEN mismatch / windows ELSE 0 END AS share FROM cases LEFT JOIN differ USING (video_id))"
 #: Each asked vector's own segment is its truth's place, but not a result.
 RANKED = f"{PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_index) AS rank FROM pairs WHERE segment_index <> query_id), top AS (SELECT * FROM ranked WHERE rank <= 5), truth AS (SELECT query_id, d.lang AS video_id FROM asked JOIN documents d ON d.doc_id = query_id), firsts AS (SELECT t.query_id, min(CASE WHEN top.video_id = t.video_id AND abs(segment_index - t.query_id) <= 60 THEN rank END) AS first_rank, min(CASE WHEN top.video_id = t.video_id THEN abs(segment_index - t.query_id) END) AS best_dev, max(score) AS best FROM truth t LEFT JOIN top USING (query_id) GROUP BY t.query_id)"
 
 SCOPED = RANKED.replace("FROM pairs WHERE segment_index <> query_id", "FROM pairs JOIN documents own ON own.doc_id = query_id WHERE segment_index <> query_id AND pairs.video_id = own.lang")
 
 
-def cases(spark):
-    rows = [(v, d, w, list(ref), list(hyp)) for v, d, w, ref, hyp in CASES]
-    return spark.createDataFrame(rows, "video_id string, duration double, window_seconds double, ref array<double>, hyp array<double>")
+def cases(spark, sf_dir):
+    """(video_id, duration, window_seconds, ref, hyp) of every conversation."""
+    rows = lines(spark, sf_dir)
+    ends = rows.groupBy("video_id").agg(F.max("end").alias("_end")).withColumn("_n", F.floor("_end").cast("int"))
+    every = F.when(F.col("_n") > 100, F.sequence(F.lit(100), F.col("_n") - 1, F.lit(100)))
+    refs = ends.select("video_id", F.coalesce(every, F.array().cast("array<int>")).cast("array<double>").alias("ref"))
+    videos = ends.select("video_id", F.lit(None).cast("double").alias("duration"))
+    return replayed("fixed", rows, videos, refs).withColumn("window_seconds", F.lit(60.0))
 
 
 def firsts(spark, sf_dir, scoped=False):
@@ -43,24 +41,24 @@ def firsts(spark, sf_dir, scoped=False):
     return e.first_hits(top, truth)
 
 
-@query(f"WITH {WD_SQL} SELECT video_id, mismatch, windows, round(mismatch / windows, 6) AS windowdiff FROM wd")
+@query(f"WITH {WD_SQL} SELECT video_id, mismatch, windows, round(share, 6) AS windowdiff FROM wd")
 def windowdiff_presence(spark, sf_dir):
-    return e.windowdiff_presence(cases(spark)).withColumn("windowdiff", F.round("windowdiff", 6))
+    return e.windowdiff_presence(cases(spark, sf_dir)).withColumn("windowdiff", F.round("windowdiff", 6))
 
 
 @query(f"WITH {WD_SQL} SELECT video_id, counted AS mismatch, windows FROM wd")
 def windowdiff_counts(spark, sf_dir):
-    return e.windowdiff_counts(cases(spark))
+    return e.windowdiff_counts(cases(spark, sf_dir))
 
 
-@query(f"WITH {WD_SQL} SELECT round(sum(mismatch) / sum(windows), 6) AS micro, round(avg(mismatch / windows), 6) AS macro FROM wd")
+@query(f"WITH {WD_SQL} SELECT round(sum(mismatch) / sum(windows), 6) AS micro, round(avg(share), 6) AS macro FROM wd")
 def windowdiff_micro_macro(spark, sf_dir):
-    return e.micro_macro(e.windowdiff_presence(cases(spark))).select(F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
+    return e.micro_macro(e.windowdiff_presence(cases(spark, sf_dir))).select(F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
 
 
-@query(f"WITH {CASES_SQL}, h AS (SELECT video_id, len(ref) AS n, len(list_filter(ref, lambda a: len(list_filter(hyp, lambda b: abs(a - b) <= 20)) > 0)) AS hits, len(list_filter(hyp, lambda a: len(list_filter(ref, lambda b: abs(a - b) <= 20)) = 0)) AS f FROM cases) SELECT video_id, CAST(hits AS BIGINT) AS hits, CAST(n - hits AS BIGINT) AS missed, CAST(f AS BIGINT) AS false_cuts FROM h")
+@query(f"WITH {CASES_SQL}, found AS (SELECT video_id, len(ref) AS n, len(list_filter(ref, lambda a: len(list_filter(hyp, lambda b: abs(a - b) <= 20)) > 0)) AS hits, len(list_filter(hyp, lambda a: len(list_filter(ref, lambda b: abs(a - b) <= 20)) = 0)) AS f FROM cases) SELECT video_id, CAST(hits AS BIGINT) AS hits, CAST(n - hits AS BIGINT) AS missed, CAST(f AS BIGINT) AS false_cuts FROM found")
 def boundary_hits(spark, sf_dir):
-    return e.boundary_hits(cases(spark))
+    return e.boundary_hits(cases(spark, sf_dir))
 
 
 @query(f"WITH {RANKED} SELECT query_id, CAST(first_rank AS BIGINT) AS first_rank, CAST(best_dev AS DOUBLE) AS best_dev FROM firsts")

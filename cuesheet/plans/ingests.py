@@ -142,14 +142,24 @@ def _tracks(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("place"), name.alias("name"), F.col("l_quantity").alias("duration"), odd.alias("has_video"), (~odd).alias("has_audio"), F.lit(None).cast("string").alias("error"))
 
 
-@query()
+UNREAD = "name LIKE 'R%'"
+#: Pictures choose in turn, the longest first, from lists of sounds in order of preference; {unread} tells tracks that can't be read.
+PAIRED = """t AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY place, name, dur) AS i FROM (SELECT l_orderkey AS b, l_linenumber AS place, l_returnflag || l_linestatus || l_linenumber || '.m4s' AS name, lower(l_returnflag || l_linestatus || l_linenumber) AS stem, l_quantity AS dur, l_linenumber % 2 = 1 AS pic FROM lineitem) WHERE dur > 0 AND NOT {unread}),
+near AS (SELECT v.b, v.i AS v, a.i AS a, abs(v.dur - a.dur) / greatest(v.dur, a.dur) AS d, len(list_filter(range(1, least(length(v.stem), length(a.stem)) + 1), lambda n: v.stem[:n] = a.stem[:n])) / greatest(length(v.stem), length(a.stem)) AS likeness FROM t v JOIN t a ON v.b = a.b AND v.pic AND NOT a.pic),
+wish AS (SELECT b, v, list(a ORDER BY d, likeness DESC, a) AS a FROM near WHERE d <= 0.1 GROUP BY b, v),
+turns AS (SELECT t.b, t.i AS v, wish.a, row_number() OVER (PARTITION BY t.b ORDER BY t.dur DESC, t.i) AS k FROM t JOIN wish ON wish.b = t.b AND wish.v = t.i),
+walk AS (SELECT b, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS v, CAST(NULL AS BIGINT) AS a FROM (SELECT DISTINCT b FROM turns) UNION ALL SELECT b, k, CASE WHEN a IS NULL THEN taken ELSE list_append(taken, a) END, v, a FROM (SELECT w.b, turns.k, w.taken, turns.v, list_filter(turns.a, lambda x: NOT list_contains(w.taken, x))[1] AS a FROM walk w JOIN turns ON turns.b = w.b AND turns.k = w.k + 1)),
+paired AS (SELECT walk.b, p.name AS picture, s.name AS sound, p.place AS picture_place, s.place AS sound_place, near.d FROM walk JOIN t p ON p.b = walk.b AND p.i = walk.v JOIN t s ON s.b = walk.b AND s.i = walk.a JOIN near ON near.b = walk.b AND near.v = walk.v AND near.a = walk.a)"""
+
+
+@query(f"WITH RECURSIVE {PAIRED.format(unread='false')} SELECT b AS batch_id, picture, sound, round(d, 6) AS drift FROM paired")
 def track_pairing(spark, sf_dir):
-    return i.pair_tracks(_tracks(spark, sf_dir))
+    return i.pair_tracks(_tracks(spark, sf_dir)).withColumn("drift", F.round("drift", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRED.format(unread=UNREAD)}, ends AS (SELECT b, picture_place AS place, sound_place AS other FROM paired UNION ALL SELECT b, sound_place, picture_place FROM paired) SELECT l_orderkey AS batch_id, CAST(l_linenumber AS INTEGER) AS place, CASE WHEN other IS NOT NULL THEN 'pair' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linenumber % 2 = 1 THEN 'no sound' ELSE 'alone' END AS outcome, CAST(other AS INTEGER) AS other FROM lineitem LEFT JOIN ends ON b = l_orderkey AND place = l_linenumber WHERE other IS NULL OR l_linenumber < other")
 def batch_groups(spark, sf_dir):
-    """Groups of those tracks, where returned lines cannot be read; plain Python in tests."""
+    """Groups of those tracks, where returned lines cannot be read."""
     tracks = _tracks(spark, sf_dir).withColumn("error", F.when(F.col("name").startswith("R"), "unreadable"))
     return i.batch_groups(tracks)
 

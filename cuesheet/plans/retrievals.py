@@ -102,10 +102,15 @@ def gram_extract(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(search_grams(F.col("text"))), " ").alias("grams"))
 
 
-@query("SELECT * FROM (VALUES (1, 'abc,c++,ctrl+alt+l,快捷,捷键'), (2, ''), (3, ''), (4, 'redis,分布,布式,式锁')) AS t(id, grams)")
+#: Letters as Han characters, so that the test tables hold some; u to z stay.
+LETTERS, HAN = "abcdefghijklmnopqrst", "三元运算符表达式变量线程池数据库锁分布"
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, translate(text, '{LETTERS}', '{HAN}') AS t FROM conversations), g AS (SELECT conv_id, turn, list_distinct(list_concat(list_transform(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9+#.]*'), lambda w: lower(w)), list_filter(list_transform(range(1, length(t)), lambda i: t[i:i + 1]), lambda p: regexp_full_match(p, '[一-鿿]{{2}}')))) AS g FROM t) SELECT conv_id, turn, CAST(len(g) AS BIGINT) AS n_grams, md5(array_to_string(list_sort(g), ',')) AS grams_md5 FROM g")
 def gram_extract_cjk(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Ctrl+Alt+L 快捷键 C++ 3abc 三"), (2, ""), (3, "锁"), (4, "Redis分布式锁")], "id int, q string")
-    return rows.select("id", F.array_join(F.array_sort(search_grams(F.col("q"))), ",").alias("grams"))
+    """Grams of every turn with most of its letters as Han characters: overlapping pairs of these, and words."""
+    grams = F.array_sort(search_grams(F.translate("text", LETTERS, HAN)))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(grams).cast("long").alias("n_grams"), F.md5(F.array_join(grams, ",")).alias("grams_md5"))
 
 
 @query(f"WITH {PAIRS}, {MERGED}, names AS (SELECT DISTINCT lang AS video_id, lang || '.mp4' AS video_name FROM documents WHERE lang <> 'fr') SELECT query_id, CAST(rank AS BIGINT) AS rank, ranked.video_id, video_name, ranked.segment_index, CAST(ranked.segment_index AS DOUBLE) AS start_time, CAST(ranked.segment_index + 1 AS DOUBLE) AS end_time, md5(text) AS text_md5, substr(text, 1, 10) AS chapter_title, round(relevance, 6) AS score, relevance < 0.6 AS low_confidence FROM ranked LEFT JOIN names ON names.video_id = ranked.video_id JOIN documents d ON d.doc_id = ranked.segment_index WHERE rank <= CASE WHEN best >= 0.6 THEN 5 ELSE 3 END")

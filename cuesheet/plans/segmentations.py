@@ -1,4 +1,4 @@
-"""Segmentation queries: conversations are timed lines, embeddings in the order of their ids a series for each label."""
+"""Segmentation queries: conversations are timed lines, each hundred of embeddings in the order of their ids a series."""
 
 from __future__ import annotations
 
@@ -12,14 +12,19 @@ from ..sources.tables import lines, load, segments
 from . import query
 
 LINES = "lines AS (SELECT conv_id AS video_id, turn AS line, text, (sum(length(text)) OVER w - length(text)) / 10.0 AS start, sum(length(text)) OVER w / 10.0 AS stop FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"
-SIMS = "sims AS (SELECT label AS video_id, vec_id AS line, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS DOUBLE[])) AS sim FROM embeddings), ok AS (SELECT * FROM sims WHERE sim IS NOT NULL), smooth AS (SELECT *, avg(sim) OVER (PARTITION BY video_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM ok)"
+SIMS = "sims AS (SELECT vec_id // 100 AS video_id, vec_id AS line, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(lead(embedding) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS DOUBLE[])) AS sim FROM embeddings), ok AS (SELECT * FROM sims WHERE sim IS NOT NULL), smooth AS (SELECT *, avg(sim) OVER (PARTITION BY video_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM ok)"
 #: Depths are compared on integers: similarities in millionths, so that both sides see the same ties.
 DEPTH = f"{SIMS}, x AS (SELECT video_id, line, CAST(round(smooth * 1000000) AS BIGINT) AS x FROM smooth), b AS (SELECT *, CASE WHEN lag(x) OVER w < x THEN 1 ELSE 0 END AS fall, CASE WHEN x > lead(x) OVER w THEN 1 ELSE 0 END AS rise FROM x WINDOW w AS (PARTITION BY video_id ORDER BY line)), runs AS (SELECT *, sum(fall) OVER (PARTITION BY video_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS l, coalesce(sum(rise) OVER (PARTITION BY video_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM b), depth AS (SELECT video_id, line, x, max(x) OVER (PARTITION BY video_id, l ORDER BY line ROWS UNBOUNDED PRECEDING) + max(x) OVER (PARTITION BY video_id, r ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * x AS depth FROM runs)"
 FIXED = f"{LINES}, b AS (SELECT *, CAST(floor(start / 60) AS BIGINT) AS b FROM lines), cuts AS (SELECT *, CASE WHEN b <> lag(b) OVER (PARTITION BY video_id ORDER BY line) THEN 1 ELSE 0 END AS cut FROM b), seg AS (SELECT *, sum(cut) OVER (PARTITION BY video_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS segment FROM cuts)"
 
 
+def _video(number):
+    """A hundred vectors are a video: no group grows with the table."""
+    return F.floor(F.col(number) / 100).alias("video_id")
+
+
 def series(spark, sf_dir):
-    return load(spark, sf_dir, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("line"), "embedding")
+    return load(spark, sf_dir, "embeddings").select(_video("vec_id"), F.col("vec_id").alias("line"), "embedding")
 
 
 @query(f"WITH {SIMS} SELECT video_id, line, round(sim, 6) AS sim FROM ok")
@@ -64,9 +69,12 @@ def sentence_offsets(spark, sf_dir):
     return lines(spark, sf_dir).select("video_id", "line", F.round("start", 1).alias("start_time"), F.round("end", 1).alias("end_time"))
 
 
-@query()
+_FOLD = "list_reduce(list_transform(pieces, lambda piece: struct_pack(done := CAST([] AS VARCHAR[]), rest := piece)), lambda acc, item: CASE WHEN length(acc.rest || item.rest) >= 6 THEN struct_pack(done := list_append(acc.done, acc.rest || item.rest), rest := '') ELSE struct_pack(done := acc.done, rest := acc.rest || item.rest) END, struct_pack(done := CAST([] AS VARCHAR[]), rest := ''))"
+
+
+@query(f"WITH {LINES}, p AS (SELECT *, regexp_extract_all(text, '[^。！？!?；;，,]*[。！？!?；;，,]|[^。！？!?；;，,]+') AS pieces FROM lines), f AS (SELECT *, CASE WHEN len(pieces) > 1 THEN {_FOLD} END AS x FROM p), g AS (SELECT video_id, line, start, stop, length(text) AS n, CASE WHEN x IS NULL THEN [text] WHEN len(x.done) = 0 THEN [x.rest] WHEN x.rest = '' THEN x.done ELSE list_append(x.done[:-2], x.done[-1] || x.rest) END AS parts FROM f), e AS (SELECT video_id, line, start, stop, n, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS part FROM g), c AS (SELECT *, sum(length(text)) OVER (PARTITION BY video_id, line ORDER BY part) AS upto FROM e) SELECT video_id, line, CAST(part AS INTEGER) AS part, round(start + (stop - start) * (upto - length(text)) / greatest(n, 1), 6) AS start, round(start + (stop - start) * upto / greatest(n, 1), 6) AS \"end\", text FROM c")
 def sentence_split(spark, sf_dir):
-    return s.split_sentences(lines(spark, sf_dir))
+    return s.split_sentences(lines(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("start", "end")})
 
 
 #: Stand-ins for the languages of the test tables.
@@ -116,7 +124,7 @@ SCAN = "e AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, kin
 
 @query(f"WITH RECURSIVE {DEPTH}, d AS (SELECT video_id, depth, row_number() OVER (PARTITION BY video_id ORDER BY line) * 20.0 AS t, avg(depth) OVER (PARTITION BY video_id) + 0.8 * stddev_pop(depth) OVER (PARTITION BY video_id) AS threshold FROM depth), events_ AS (SELECT video_id, CAST(t AS DOUBLE) AS t, 1 AS kind, CAST(depth AS BIGINT) AS depth, threshold FROM d UNION ALL SELECT video_id, CAST(t AS DOUBLE), 0, 0, threshold FROM d WHERE t % 340 = 0), {SCAN}, n AS (SELECT video_id, max(t) + 20 AS duration FROM d GROUP BY video_id) SELECT video_id, time FROM cuts JOIN n USING (video_id) WHERE NOT (last AND duration - time < 30)")
 def semantic_segments(spark, sf_dir):
-    """The scan alone. Vectors of a label as blocks of 20 s; a block whose number is divisible by 17 opens with a cue."""
+    """The scan alone. Vectors of a video as blocks of 20 s; a block whose number is divisible by 17 opens with a cue."""
     w = W.partitionBy("video_id")
     rows = depths(spark, sf_dir).withColumns({"t": F.row_number().over(w.orderBy("line")) * 20.0, "threshold": F.avg("depth").over(w) + 0.8 * F.stddev_pop("depth").over(w)})
     cue = F.when(F.col("t") % 340 == 0, F.col("t"))
@@ -126,8 +134,8 @@ def semantic_segments(spark, sf_dir):
 
 
 def blocks(spark, sf_dir):
-    """Documents with vectors as timed lines of their label, ten characters a second: (video_id, line, start, end, text, embedding)."""
-    rows = segments(spark, sf_dir).filter("embedding is not null").select(F.col("label").alias("video_id"), F.col("segment_index").alias("line"), F.coalesce("text_content", F.lit("")).alias("text"), "embedding")
+    """Documents with vectors as timed lines of their video, ten characters a second: (video_id, line, start, end, text, embedding)."""
+    rows = segments(spark, sf_dir).filter("embedding is not null").select(_video("segment_index"), F.col("segment_index").alias("line"), F.coalesce("text_content", F.lit("")).alias("text"), "embedding")
     upto = F.sum(F.length("text")).over(W.partitionBy("video_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     return rows.select("video_id", "line", ((upto - F.length("text")) / 10.0).alias("start"), (upto / 10.0).alias("end"), "text", "embedding")
 
