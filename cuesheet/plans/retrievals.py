@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import search_grams
 from ..operators import keyword_index as k
 from ..operators import retrieval as r
-from ..operators.tenancy import Catalog, Context
+from ..operators.tenancy import Catalog, Context, scoped_session
 from ..sources.tables import load, segments
 from . import query
 
@@ -147,3 +147,14 @@ def tenant_fail_closed(spark, sf_dir):
     c = _catalog(spark, sf_dir)
     nobody = c.table("video_segment", Context()).agg(F.count(F.lit(1)).alias("nobody"))
     return nobody.crossJoin(c.table("video_segment", Context(system=True)).agg(F.count(F.lit(1)).alias("everybody")))
+
+
+@query("WITH d AS (SELECT * FROM documents WHERE source = 'src3') SELECT lang AS video_id, count(*) AS n, count(v.vec_id) AS with_vector, CAST(max(n_chars) AS BIGINT) AS longest FROM d LEFT JOIN embeddings v ON v.vec_id = doc_id WHERE n_chars >= (SELECT avg(n_chars) FROM d) GROUP BY lang")
+def tenant_sql(spark, sf_dir):
+    """SQL text without a word about tenants, in a tenant's session: its join and its subquery see that tenant's rows alone."""
+    tables = {
+        "video_segment": lambda own: load(own, sf_dir, "documents").select(F.col("source").alias("tenant_id"), F.col("lang").alias("video_id"), "doc_id", "n_chars"),
+        "app_user": lambda own: load(own, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")),
+    }
+    own = scoped_session(spark, tables, Context("src3"))
+    return own.sql("SELECT video_id, count(*) AS n, count(u.doc_id) AS with_vector, max(n_chars) AS longest FROM video_segment s LEFT JOIN app_user u ON u.doc_id = s.doc_id WHERE n_chars >= (SELECT avg(n_chars) FROM video_segment) GROUP BY video_id")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import cues as c
 from ..operators import evaluation as e
 from ..operators import segmentation as s
-from ..sources.tables import lines, load, segments
+from ..sources.folders import new_folder
+from ..sources.tables import lines, load, replace_partitions, segments
 from . import query
 
 LINES = "lines AS (SELECT conv_id AS video_id, turn AS line, text, (sum(length(text)) OVER w - length(text)) / 10.0 AS start, sum(length(text)) OVER w / 10.0 AS stop FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"
@@ -58,12 +59,35 @@ def fixed_window_segments(spark, sf_dir):
     return out.select("video_id", "segment", "n_lines", F.round("start_time", 1).alias("start_time"), F.round("end_time", 1).alias("end_time"))
 
 
-@query(f"WITH {FIXED} SELECT video_id, CAST(segment AS BIGINT) AS segment, md5(string_agg(text, '' ORDER BY line)) AS text_md5, CAST(CAST(min(start) AS DECIMAL(10,2)) AS DOUBLE) AS start_time FROM seg GROUP BY video_id, segment")
+SEGMENT_BUILD = f"WITH {FIXED} SELECT video_id, CAST(segment AS BIGINT) AS segment, md5(string_agg(text, '' ORDER BY line)) AS text_md5, CAST(CAST(min(start) AS DECIMAL(10,2)) AS DOUBLE) AS start_time FROM seg GROUP BY video_id, segment"
+
+
+@query(SEGMENT_BUILD)
 def segment_build(spark, sf_dir):
     out = s.stored_times(s.build_segments(s.fixed_cuts(lines(spark, sf_dir))))
     return out.select("video_id", "segment", F.md5("text").alias("text_md5"), F.col("start_time").cast("double").alias("start_time"))
 
 
+@query(SEGMENT_BUILD)
+def replaced_segments(spark, sf_dir):
+    """Segments as a table by video: written wrong, then replaced by all videos, then by every third again, which changes nothing."""
+    path = new_folder(spark, "segments")
+    rows = s.stored_times(s.build_segments(s.fixed_cuts(lines(spark, sf_dir))))
+    replace_partitions(rows.withColumn("text", F.lit("?")), path, by=["video_id"])
+    replace_partitions(rows, path, by=["video_id"])
+    replace_partitions(rows.filter("video_id % 3 = 0"), path, by=["video_id"])
+    return spark.read.schema(rows.schema).parquet(path).select("video_id", "segment", F.md5("text").alias("text_md5"), F.col("start_time").cast("double").alias("start_time"))
+
+
+@query("WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN value WHEN 'error' THEN -value END AS a, CASE WHEN event_type = 'click' THEN value END AS b FROM events WHERE event_type IN ('view', 'error', 'click')), l AS (SELECT *, lag(a) OVER (PARTITION BY user_id ORDER BY event_id) AS opened FROM r) SELECT user_id AS video_id, round(greatest(coalesce(opened, b - 1.5), 0.0), 6) AS start, b AS \"end\", CAST(1.5 AS DOUBLE) AS duration FROM l WHERE b IS NOT NULL")
+def silence_log(spark, sf_dir):
+    """Events as the log of a silence detector: views and errors open a silence, clicks end one, the rest is noise."""
+    kind, value = F.col("event_type"), F.col("value").cast("string")
+    text = F.when(kind == "view", F.concat(F.lit("[x] silence_start: "), value)).when(kind == "error", F.concat(F.lit("silence_start: -"), value)).when(kind == "click", F.concat(F.lit("silence_end: "), value, F.lit(" | silence_duration: 1.5"))).otherwise("frame=1")
+    log = load(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("line"), text.alias("text"))
+    return s.parse_silences(log).withColumn("start", F.round("start", 6))
+
+
 @query(f"WITH {LINES} SELECT video_id, line, round(start, 1) AS start_time, round(stop, 1) AS end_time FROM lines")
 def sentence_offsets(spark, sf_dir):
     return lines(spark, sf_dir).select("video_id", "line", F.round("start", 1).alias("start_time"), F.round("end", 1).alias("end_time"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text, vectors
 from cuesheet.operators import retrieval as r
-from cuesheet.operators.tenancy import Catalog, Context
+from cuesheet.operators.tenancy import Catalog, Context, scoped_session
 
 SCHEMA = "segment_index int, tenant_id string, video_id string, text_content string, embedding array<float>"
 
@@ -114,3 +114,13 @@ def test_queries_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(r, "QUERIES_BYTES", 300)
     assert len(r._blocks(asked)) > 3
     assert sorted(map(str, r.scored(segments, asked).collect())) == want and len(want) == 180
+
+
+def test_a_tenants_session_sees_no_other_rows(spark):
+    rows = lambda own: own.createDataFrame([("a", 1), ("b", 2), (None, 3)], "tenant_id string, x int")
+    tables = {"seg": rows, "tenant": lambda own: own.createDataFrame([("a",), ("b",)], "id string")}
+    seen = lambda context: scoped_session(spark, tables, context)
+    text = "SELECT (SELECT count(*) FROM seg) AS n, (SELECT sum(s.x) FROM seg s CROSS JOIN seg t) AS x, (SELECT count(*) FROM tenant) AS t"
+    assert [tuple(seen(c).sql(text).first()) for c in (Context("a"), Context(), Context(system=True))] == [(1, 1, 2), (0, None, 2), (3, 18, 2)]
+    assert seen(Context("b")).table("seg").count() == 1
+    assert not spark.catalog.tableExists("seg")
