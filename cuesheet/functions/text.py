@@ -11,8 +11,7 @@ CJK = "[一-鿿]"
 def search_grams(query: Column) -> Column:
     """Distinct Latin words (lower case, may hold digits and + # .) and overlapping pairs of CJK characters."""
     words = F.transform(F.regexp_extract_all(query, F.lit("[A-Za-z][A-Za-z0-9+#.]*"), F.lit(0)), F.lower)
-    places = F.when(F.length(query) >= 2, F.sequence(F.lit(1), F.length(query) - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.filter(F.transform(places, lambda i: F.substring(query, i, F.lit(2))), lambda p: p.rlike(f"^{CJK}{{2}}$"))
+    pairs = F.regexp_extract_all(query, F.lit(f"(?=({CJK}{{2}}))"), F.lit(1))  # one at each place, so they overlap; linear in the text
     return F.array_union(F.coalesce(words, F.array().cast("array<string>")), F.coalesce(pairs, F.array().cast("array<string>")))
 
 
