@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import light, staged
 
 
 def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -29,7 +29,8 @@ def representatives(sketch: DataFrame, classes: DataFrame) -> DataFrame:
 
 def texts_of(slim: DataFrame, sketch: DataFrame, rows: DataFrame) -> DataFrame:
     """(_row, _text) of the _row in rows: texts are found again by id and hash, each once."""
-    near = rows.distinct().join(sketch.select("_row", "_id", "_hash"), "_row").select("_row", F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
+    near = staged(rows.distinct().join(sketch.select("_row", "_id", "_hash"), "_row").select("_row", F.col("_id").alias("_i"), F.col("_hash").alias("_h")), "wanted")
+    near = light(near, 48)  # the texts of all documents are not shuffled for a few
     texts = slim.drop("_row").join(near, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_row", "_text")
     if sketch.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").limit(1).count():
         texts = texts.dropDuplicates(["_row"])  # rows that repeat give a class's text once each

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import signature_tree
 from .classes import first_rows, named, representatives, slim, texts_of
 from .graph import components
-from .minhash import _sets, _WordHashes, shingle_set
+from .minhash import _WordHashes, shingle_set, shingles
 from .staging import release, staged
 
 #: Cells of the counts that order shingles (8 MiB), sent in slices.
@@ -42,7 +42,7 @@ def _cell_counts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         hashes, count, held, n = _WordHashes(), np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
             for text in batch["_text"]:
-                held.append(_cells(shingle_set(text.as_py(), size, hashes)))
+                held.append(_cells(shingles(text.as_py(), size, hashes)))
                 n += len(held[-1])
                 if n >= CELLS:
                     count += np.bincount(np.concatenate(held), minlength=CELLS)
@@ -65,7 +65,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cell_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of all sets fall into each cell."""
+    """How many shingles of all documents fall into each cell, those that repeat too."""
     kind = "slice int, counts binary"
     parts = rows.select("_text").mapInArrow(_cell_counts(size), kind).repartition("slice").mapInArrow(_summed, kind)
     out = np.zeros(CELLS, np.int64)
@@ -74,6 +74,13 @@ def cell_counts(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Cells in order of their counts, as numbers of 16 bits."""
+    out = np.empty(len(counts), np.int64)
+    out[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    return (out * (1 << 16) // len(counts)).astype(np.uint16)
+
+
 def _prefixed(size: int, percent: int, counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells = _WordHashes(), counts.value
@@ -85,7 +92,8 @@ def _prefixed(size: int, percent: int, counts) -> Callable[[Iterator[pa.RecordBa
                     n.append(len(s))
                     names.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else b"row" + row.to_bytes(8, "big"))  # an empty set is a class of its own
                     few, many = signature_tree.prefix_lengths(len(s), percent) if len(s) else (0, 0)
-                    prefixes.append(s[np.lexsort((s, cells[_cells(s)]))[:many]].view(np.int64))
+                    order = np.argsort(cells[_cells(s)], kind="stable")  # then by hash: s is sorted
+                    prefixes.append(s[order[:many]].view(np.int64))
                     short.append(few)
                 ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
                 keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
@@ -95,6 +103,11 @@ def _prefixed(size: int, percent: int, counts) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _set_of(size: int) -> Callable[[pa.Scalar], np.ndarray]:
+    hashes = _WordHashes()
+    return lambda text: shingle_set(text.as_py().decode(), size, hashes)
+
+
 def similar_documents(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, _hash (of the text), n_shingles, component_id (smallest id reachable by links), first (whether it is that document).
 
@@ -102,47 +115,46 @@ def similar_documents(docs: DataFrame, *, size: int = 5, percent: int = 80, id_c
     """
     rows = slim(docs, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    counts = docs.sparkSession.sparkContext.broadcast(cell_counts(rows, size))
+    counts = docs.sparkSession.sparkContext.broadcast(ranks(cell_counts(rows, size)))
     sketch = staged(rows.mapInArrow(_prefixed(size, percent, counts), f"_row long, _id {id_type}, _hash long, _n long, _class binary, _prefix array<long>, _short int"), "prefixes")
     counts.destroy()
     classes = first_rows(sketch)
 
-    keyed = staged(representatives(sketch, classes).select("_row", "_n", "_short", F.posexplode("_prefix").alias("_at", "_key")).select("_row", "_n", "_key", (F.col("_at") < F.col("_short")).alias("_short")), "keys")
-    shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"), F.max("_short").alias("_any")).filter("_many > 1 and _any").select("_key", "_many")
-    met = staged(keyed.join(shared, "_key"), "met")
+    reps = representatives(sketch, classes)
+    keyed = staged(reps.select("_row", "_short", F.posexplode("_prefix").alias("_at", "_shingle")).select("_row", "_shingle", (F.col("_at") < F.col("_short")).alias("_short")), "keys")
+    shared = keyed.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_many"), F.max("_short").alias("_any")).filter("_many > 1 and _any").select("_shingle", "_many")
+    keys = staged(keyed.join(shared, "_shingle"), "shared-keys")
     release(keyed)
-    members = met.groupBy("_row").agg(F.first("_n").alias("_n"), F.max(F.struct("_many", "_key")).alias("_most"), F.sum("_many").alias("_mates"))
-    members = staged(members.select("_row", "_n", F.col("_most._key").alias("_cluster"), "_mates"), "members")
-    buckets, met = met, staged(met.select("_key", "_row"), "met")
-    release(buckets)
-    sets = staged(texts_of(rows, sketch, members.select("_row")).mapInArrow(_sets(size), "_row long, _set binary"), "sets")
+    members = keys.groupBy("_row").agg(F.max(F.struct("_many", "_shingle")).alias("_most"), F.sum("_many").alias("_mates"))
+    members = staged(members.join(sketch.select("_row", "_n"), "_row").select("_row", "_n", F.col("_most._shingle").alias("_cluster"), "_mates"), "members")
+    # texts stand for their sets: they are shorter, and a set is made of one in the time that it takes to read it
+    sets = staged(texts_of(rows, sketch, members.select("_row")).select("_row", F.encode("_text", "UTF-8").alias("_set")), "texts")
+    decode = _set_of(size)
 
     level, found, label = members.withColumn("_c", F.col("_row")), None, None
     for _ in range(LEVELS):
-        table = signature_tree.nodes(level.select("_row", "_c", "_cluster", "_n"), sets)
-        more = signature_tree.inside(table, percent)
-        release(table)
+        more = signature_tree.inside(level.select("_row", "_c", "_cluster", "_n"), sets, percent, decode)
         found = more if found is None else found.unionByName(more)
         if label is not None:
             release(label)
         label = components(found)
-        if more.count() * WORTH < level.count():
+        if more.count() * WORTH <= level.count():
             break
         # of each component the set with most mates
         placed = members.join(label.withColumnRenamed("node", "_row"), "_row", "left").withColumn("_c", F.coalesce("label", "_row"))
         best = placed.groupBy("_c").agg(F.max_by(F.struct("_row", "_cluster", "_n"), F.struct("_mates", "_row")).alias("_best"))
         level = staged(best.select("_c", "_best.*"), "level")
 
-    left = staged(met.join(label.withColumnRenamed("node", "_row"), "_row", "left").select("_key", "_row", F.coalesce("label", "_row").alias("_c")), "left")
-    mixed = left.groupBy("_key").agg(F.min("_c").alias("_min"), F.max("_c").alias("_max")).filter("_min < _max").select("_key")
-    apart = staged(left.join(mixed, "_key").select("_row", "_c").distinct(), "apart")
-    for x in (met, left):
-        release(x)
-    if apart.limit(1).count():
-        more = signature_tree.between(apart, sets, percent)
+    left = keys.select("_shingle", "_row", "_short").join(label.withColumnRenamed("node", "_row"), "_row", "left").withColumn("_c", F.coalesce("label", "_row"))
+    mixed = left.groupBy("_shingle").agg(F.min("_c").alias("_min"), F.max("_c").alias("_max")).filter("_min < _max").select("_shingle")
+    left = staged(left.join(mixed, "_shingle"), "left")
+    release(keys)
+    if left.limit(1).count():
+        apart = left.select("_row", "_c").distinct().join(members.drop("_mates"), "_row")
+        more = signature_tree.between(left.select("_row", "_shingle", "_short"), apart, sets, percent, decode)
         if more.limit(1).count():
             release(label)
             label = components(found.unionByName(more))
-    for x in (apart, sets):
+    for x in (left, sets):
         release(x)
     return named(sketch, classes, label, id_col)

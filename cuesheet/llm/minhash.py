@@ -4,7 +4,7 @@ Documents with the same set of word shingles form a class, and only one document
 ``bands`` x ``rows`` minima gives band keys; classes that share a key are candidates. First each member is compared with one
 hub, the one with most mates over all bands that it meets in a bucket, which joins dense groups in linear time. In buckets that still
 hold several components, members outside the largest are compared with one of its members, in a few rounds, as long as
-one in ``WORTH`` of these pairs is a link. At last members of such buckets go through ``signature_tree.between``, which finds
+one in ``WORTH`` of these pairs is a link. At last members of such buckets go through ``signature_tree.between_sets``, which finds
 the links between their components exactly and moves nodes of sets, never pairs of them.
 
 A pair is compared in batches of its one-byte signatures: it is dropped as soon as the posterior probability (uniform prior)
@@ -54,6 +54,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int, hashes: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles; of fewer words, of the whole sequence."""
+    x = np.sort(shingles(text, size, hashes))  # much faster than np.unique
+    return x[np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))]
+
+
+def shingles(text: str | None, size: int, hashes: dict) -> np.ndarray:
+    """``shingle_set`` in order of the text, with those that repeat."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, and only ASCII white space splits
     if not words:
         return np.empty(0, np.uint64)
@@ -62,7 +68,7 @@ def shingle_set(text: str | None, size: int, hashes: dict) -> np.ndarray:
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
         out = _mixed(out * _M1 + h[k : len(h) - size + 1 + k] * _M2 + np.uint64(k))
-    return np.unique(out)
+    return out
 
 
 @functools.cache
@@ -249,7 +255,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
         label, left, mixed = split(found, k)
 
     if mixed.limit(1).count():
-        more = signature_tree.between(left.join(mixed, "_key").select("_row", "_c").distinct(), sets, percent)
+        more = signature_tree.between_sets(left.join(mixed, "_key").select("_row", "_c").distinct(), sets, percent)
         if more.limit(1).count():
             release(label)
             label = components(found.unionByName(more))

@@ -106,7 +106,9 @@ WITH p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(translat
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
 f AS MATERIALIZED (SELECT lang, g, k AS size, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) t(k) WHERE len(w) >= k)) GROUP BY lang, g, k HAVING count(*) >= 30),
 c AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE size > 1),
-cuts AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, 2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS score FROM c JOIN range(1, 4) t(k) ON k < c.size JOIN f x ON x.lang = c.lang AND x.g = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(w[k + 1:], ' ')),
+parts AS MATERIALIZED (SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:], ' ') AS p2 FROM c JOIN range(1, 4) t(k) ON k < c.size),
+lefts AS MATERIALIZED (SELECT parts.*, f.a AS l FROM parts JOIN f ON f.lang = parts.lang AND f.g = p1),
+cuts AS (SELECT lefts.*, f.a AS r, 2000000 * CAST(lefts.a AS HUGEINT) // (l + f.a) AS score FROM lefts JOIN f ON f.lang = lefts.lang AND f.g = p2),
 best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cuts),
 around AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS g, a FROM (SELECT lang, w, a, k, unnest(range(1, size - k + 2)) AS i FROM c JOIN range(2, 4) t(k) ON k < size)) GROUP BY lang, g),
 free AS (SELECT b.*, b.g AS phrase FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.g = b.g WHERE place = 1 AND (o.a IS NULL OR 100 * o.a < 80 * b.a)),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GC_SECONDS = 3.0
+BROADCAST_BYTES = 64 << 20
 _FOLDERS: set[str] = set()
 _freed = 0.0
 _RUN = uuid.uuid4().hex[:12]
@@ -52,6 +53,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def light(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A staged table, to be broadcast if its rows, counted, take at most BROADCAST_BYTES; else as it is, for a join by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of jobs that have ended; at most once in GC_SECONDS."""
     global _freed

@@ -9,7 +9,7 @@ from test_operators import BASE, SCHEMA, appended, documents, near, replaced, sa
 
 
 def tree_of(rows, size=2):
-    return signature_tree.Tree([(i, i, minhash.shingle_set(t, size, minhash._WordHashes())) for i, t in rows])
+    return signature_tree.tree_of([(i, i, minhash.shingle_set(t, size, minhash._WordHashes())) for i, t in rows])
 
 
 def merged(ids, links):
@@ -75,17 +75,12 @@ def test_join_of_odd_rows_equals_brute_force(spark):
     assert len(whole) == len(documents()) and [r["component_id"] for r in whole if r["doc_id"] is None] == [None]
 
 
-@pytest.mark.parametrize("group", [appended, replaced, lambda n: [(i, near(BASE, 3)) for i in range(n)]])
-def test_dense_groups_equal_brute_force(spark, group):
-    rows = group(400) + [(1000 + i, say(80)) for i in range(50)]
-    assert components(spark, rows, size=2) == brute.near_duplicates(rows, size=2)
-
-
-def test_passage_shared_by_unlike_texts_links_none(spark):
+def test_dense_groups_equal_brute_force(spark):
+    """Near copies, two groups just under the threshold, unlike texts with a common passage, and others, all at once."""
     passage = say(60)
-    rows = [(i, f"{passage} {say(90)}") for i in range(300)] + [(900, passage), (901, passage.upper())]
-    got = components(spark, rows)
-    assert got == brute.near_duplicates(rows, size=5) and got[901][1] == 900
+    groups = [appended(150), replaced(150), [(0, near(BASE, 3)) for _ in range(150)], [(0, f"{passage} {say(90)}") for _ in range(150)], [(0, passage), (0, passage.upper())], [(0, say(80)) for _ in range(40)]]
+    rows = [(i, t) for i, t in enumerate(t for g in groups for _, t in g)]
+    assert components(spark, rows, size=2) == brute.near_duplicates(rows, size=2)
 
 
 def test_empty_table(spark):
