@@ -26,7 +26,7 @@ from . import signature_tree
 from .classes import first_rows, named, representatives, slim, texts_of
 from .graph import components
 from .minhash import _WordHashes, shingle_set, shingles
-from .staging import release, staged
+from .staging import light, release, staged
 
 #: Cells of the counts that order shingles (8 MiB), sent in slices.
 CELLS, SLICE = 1 << 20, 1 << 14
@@ -120,7 +120,7 @@ def similar_documents(docs: DataFrame, *, size: int = 5, percent: int = 80, id_c
     counts.destroy()
     classes = first_rows(sketch)
 
-    reps = representatives(sketch, classes)
+    reps = representatives(sketch, light(classes, 64))  # else prefixes are shuffled
     keyed = staged(reps.select("_row", "_short", F.posexplode("_prefix").alias("_at", "_shingle")).select("_row", "_shingle", (F.col("_at") < F.col("_short")).alias("_short")), "keys")
     shared = keyed.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_many"), F.max("_short").alias("_any")).filter("_many > 1 and _any").select("_shingle", "_many")
     keys = staged(keyed.join(shared, "_shingle"), "shared-keys")
@@ -143,7 +143,8 @@ def similar_documents(docs: DataFrame, *, size: int = 5, percent: int = 80, id_c
         # of each component the set with most mates
         placed = members.join(label.withColumnRenamed("node", "_row"), "_row", "left").withColumn("_c", F.coalesce("label", "_row"))
         best = placed.groupBy("_c").agg(F.max_by(F.struct("_row", "_cluster", "_n"), F.struct("_mates", "_row")).alias("_best"))
-        level = staged(best.select("_c", "_best.*"), "level")
+        grown = more.select(F.col("a").alias("_row")).join(members, "_row").select("_cluster").distinct()  # where no set was linked, none will be
+        level = staged(best.select("_c", "_best.*").join(grown, "_cluster", "left_semi"), "level")
 
     left = keys.select("_shingle", "_row", "_short").join(label.withColumnRenamed("node", "_row"), "_row", "left").withColumn("_c", F.coalesce("label", "_row"))
     mixed = left.groupBy("_shingle").agg(F.min("_c").alias("_min"), F.max("_c").alias("_max")).filter("_min < _max").select("_shingle")
