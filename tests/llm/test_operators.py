@@ -236,12 +236,12 @@ def replaced(n):
     return rows
 
 
-@pytest.mark.parametrize("group", [appended, replaced])
-def test_group_just_under_the_threshold_gives_few_pairs(spark, monkeypatch, group):
+def test_group_just_under_the_threshold_gives_few_pairs(spark, monkeypatch):
     """Pairs and nodes that are rows, from 300 texts and from 600: linear, where all pairs are 44,850 and 179,700."""
     moved = []
-    for n in (300, 600):
-        rows, pairs, nodes, tree = group(n), counted(monkeypatch), [], signature_tree.staged
+    for n in (300, 600):  # two groups in one table
+        rows = [(2 * i, t) for i, t in appended(n // 2)] + [(2 * i + 1, t) for i, t in replaced(n // 2)]
+        pairs, nodes, tree = counted(monkeypatch), [], signature_tree.staged
         monkeypatch.setattr(signature_tree, "staged", lambda df, name: (out := tree(df, name), nodes.append(out.count()) if name in ("node-pairs", "tree-links") else None)[0])
         got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
         assert got == {i: c for i, (_, c) in brute.near_duplicates(rows).items()}
