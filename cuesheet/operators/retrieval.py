@@ -1,22 +1,29 @@
 """Hybrid retrieval: exact vector ranking, keyword ranking, relevance, two-tier gate.
 
-Queries are a DataFrame (query_id, query_vec, grams), so that many are answered in one plan. They are broadcast in blocks of
-at most QUERIES_BYTES, and each segment is read once for a block. Which of a block's grams a segment holds is found once a
-segment, and met with each query's grams by number. Per query, ``row_number() <= pool`` becomes a group limit before the
-shuffle, so only pool rows a task, query and list are moved.
+Queries are a DataFrame (query_id, query_vec, grams), so that many are answered in one plan. ``scored`` gives every pair: queries are
+broadcast in blocks of at most QUERIES_BYTES, and each segment is read once for a block. ``pooled`` gives only the pairs that can be
+in a query's lists, found by ``nearest`` in blocks of segments and queries; what ranks pairs gives the same from them. Which grams a
+segment holds is found once a segment, and met with each query's grams by number.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, matched_grams, search_grams
 from ..functions.vectors import cosine, norm
+from . import nearest
 
 POOL, FLOOR, HIGH, LOW_LIMIT, BOOST = 50, 0.4, 0.6, 3, 0.1
 QUERIES_BYTES = 64 << 20
+#: Words of which a task remembers the grams.
+WORDS = 1 << 17
 
 
 def filtered(segments: DataFrame, tenant_id: str | None = None, video_id: str | None = None) -> DataFrame:
@@ -47,15 +54,11 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
 
 def scored(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """Each segment with a vector, for each query: score (cosine) and matched (grams found)."""
-    rows = segments.filter(F.col("embedding").isNotNull()).withColumns({"_norm": norm(F.col("embedding")), "_low": _vocabulary(F.col("text_content"))})
+    rows = segments.filter(F.col("embedding").isNotNull()).withColumns({"_norm": norm(F.col("embedding")), "_low": _vocabulary(F.col("text_content"))}).drop("text_content")
     out = None
     for block in _blocks(queries.select("query_id", "query_vec", "grams")):
-        grams = F.broadcast(block.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("_all")))  # one row, below the block's bound
-        places = F.transform("grams", lambda g: F.array_position("_all", g).cast("int"))  # grams are in lower case
-        asked = block.crossJoin(grams).select("query_id", "query_vec", places.alias("_grams"), norm(F.col("query_vec")).alias("_query_norm"))
-        held = F.transform(F.filter(F.transform("_all", lambda g, i: F.when(F.contains(F.col("_low"), g), i + 1)), lambda i: i.isNotNull()), lambda i: i.cast("int"))
-        each = rows.crossJoin(grams).withColumn("_held", held).drop("_all", "_low", "text_content")
-        pairs = each.crossJoin(F.broadcast(asked))  # the stated query set against all rows
+        each, asked = _numbered(rows, block)
+        pairs = each.crossJoin(F.broadcast(asked.withColumn("_query_norm", norm(F.col("query_vec")))))  # the stated query set against all rows
         score = cosine(F.col("embedding"), F.col("query_vec"), F.col("_norm"), F.col("_query_norm"))
         part = pairs.withColumns({"score": score, "matched": F.size(F.array_intersect("_held", "_grams")), "n_grams": F.size("_grams")})
         part = part.drop("embedding", "query_vec", "_grams", "_held", "_norm", "_query_norm")
@@ -63,6 +66,48 @@ def scored(segments: DataFrame, queries: DataFrame) -> DataFrame:
     return out
 
 
+def _numbered(rows: DataFrame, block: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (_low) with ``_held`` and queries with ``_grams``: numbers of the block's grams that a row holds and a query has.
+
+    A gram lies within a word, so a word's substrings are looked up among the grams, once a task for words that come again.
+    """
+    grams = block.select(F.explode("grams").alias("g")).distinct().toArrow()["g"].to_pylist()  # below the block's bound
+    sent = rows.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(sorted(grams))})
+
+    @F.pandas_udf("array<int>")
+    def held(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers = sent.value
+        lengths = sorted({len(g) for g in numbers})
+
+        @functools.lru_cache(maxsize=WORDS)
+        def of(word: str) -> tuple[int, ...]:
+            pieces = {word[i : i + n] for n in lengths for i in range(len(word) - n + 1)}
+            return tuple(numbers[x] for x in pieces if x in numbers)
+
+        for part in parts:
+            yield pd.Series([sorted(set().union(*map(of, text.split(" ")))) for text in part])
+
+    @F.pandas_udf("array<int>")
+    def places(lists: pd.Series) -> pd.Series:
+        return pd.Series([[sent.value[g] for g in x] for x in lists])
+
+    return rows.withColumn("_held", held("_low")).drop("_low"), block.withColumn("_grams", places("grams")).drop("grams")
+
+
+def pooled(segments: DataFrame, queries: DataFrame, n: int = POOL) -> DataFrame:
+    """Of the pairs of ``scored``, those that can be among a query's first n with a gram or first n without: ``candidates`` gives the same.
+
+    Queries without grams meet the vectors alone, so what segments hold is sent only to the others.
+    """
+    rows, asks = segments.filter(F.col("embedding").isNotNull()), F.size("grams") > 0
+    queries = queries.select("query_id", "query_vec", "grams")
+    out = nearest.best(rows.drop("text_content"), queries.filter(~asks), n).withColumns({"matched": F.lit(0), "n_grams": F.lit(0)})
+    words = rows.withColumn("_low", _vocabulary(F.col("text_content"))).drop("text_content")
+    for block in _blocks(queries.filter(asks)):
+        out = out.unionByName(nearest.best(*_numbered(words, block), n))
+    return out
+
+
 def vector_topn(segments: DataFrame, query_vec: list[float], n: int = POOL) -> DataFrame:
     """The n segments closest to one vector: a single top-n, without a shuffle of the rest."""
     q = F.array(*(F.lit(float(x)) for x in query_vec))

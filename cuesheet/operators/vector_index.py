@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
-from . import retrieval
+from . import nearest, retrieval
 
 #: With vectors that hardly cluster about half of the cells must be looked into for a recall of 0.9; clustered ones need few.
 CELLS, PROBES, SAMPLE, ROUNDS, SCALE = 128, 64, 20_000, 5, 1024
@@ -131,6 +131,16 @@ def scored(index: Index, queries: DataFrame, *, vector_col: str, probes: int = P
     return pairs.withColumn("score", score).drop(vector_col, "query_vec", "_norm", "_query_norm")
 
 
+def nearest_rows(index: Index, queries: DataFrame, n: int, *, id_col: str, vector_col: str, probes: int = PROBES) -> DataFrame:
+    """Of the pairs of ``scored``, those that can be among a query's n best: each cell's rows meet the queries that probe it in blocks.
+
+    Cells that no query probes are not read.
+    """
+    asked = probed(queries, index.centres, probes)
+    rows = index.rows.join(F.broadcast(asked.select("cell").distinct()), "cell", "left_semi")  # at most a row a cell
+    return nearest.best(rows, asked, n, id_col=id_col, vector_col=vector_col, keys=["cell"])
+
+
 def recall(exact: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """One row: queries, wanted and found rows of the exact lists (query_id, id_col), and their share."""
     hit = exact.join(found.select("query_id", id_col, F.lit(1).alias("_hit")), ["query_id", id_col], "left")

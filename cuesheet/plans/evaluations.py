@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
 from ..operators import evaluation as e
+from ..operators import nearest
 from ..operators import retrieval as r
 from ..operators.segmentation import replayed
-from ..sources.tables import lines, load
+from ..sources.tables import lines, load, segments
 from . import query
-from .retrievals import PAIRS, asked, pairs
+from .retrievals import PAIRS, asked
 from .segmentations import FIXED
 
 #: Fixed windows again from stored lines as what was found, boundaries every 100 s as references, windows of 60 s.
@@ -34,10 +35,11 @@ def cases(spark, sf_dir):
 
 def firsts(spark, sf_dir, scoped=False):
     """First hits over all videos or, scoped, of searches within the truth's own video."""
-    rows = pairs(spark, sf_dir).filter("segment_index <> query_id")
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("video_id"))
     truth = asked(spark, sf_dir).select("query_id").join(docs, "query_id").select("query_id", "video_id", F.col("query_id").cast("double").alias("expected_start"), F.lit(60.0).alias("tolerance"))
-    top = r.vector_candidates(e.in_own_video(rows, truth) if scoped else rows, 5).select("query_id", F.col("rank_vector").alias("rank"), "video_id", F.col("segment_index").cast("double").alias("start_time"), F.col("score").alias("relevance"))
+    rows, queries = segments(spark, sf_dir).select("segment_index", "video_id", "embedding"), asked(spark, sf_dir)
+    found = nearest.best(rows, queries.join(truth.select("query_id", "video_id"), "query_id"), 5, keys=["video_id"], others=True) if scoped else nearest.best(rows, queries, 5, others=True)
+    top = r.vector_candidates(found, 5).select("query_id", F.col("rank_vector").alias("rank"), "video_id", F.col("segment_index").cast("double").alias("start_time"), F.col("score").alias("relevance"))
     return e.first_hits(top, truth)
 
 

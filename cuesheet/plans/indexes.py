@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import keyword_index as k
+from ..operators import nearest
 from ..operators import retrieval as r
 from ..operators import vector_index as v
 from ..sources.folders import new_folder
@@ -44,7 +45,7 @@ def _queries(spark, sf_dir):
 def _found(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     index = v.build(rows, new_folder(spark, "indexes"), id_col="segment_index", vector_col="embedding")
-    return r.vector_candidates(v.scored(index, _queries(spark, sf_dir), vector_col="embedding"), TOP)
+    return r.vector_candidates(v.nearest_rows(index, _queries(spark, sf_dir), TOP, id_col="segment_index", vector_col="embedding"), TOP)
 
 
 @query(f"WITH {_cells()} SELECT query_id, segment_index, rank, round(score, 6) AS score FROM found")
@@ -56,8 +57,7 @@ def vector_index_search(spark, sf_dir):
 @query(f"WITH {_cells()}, exact AS (SELECT * FROM (SELECT a.vec_id AS query_id, d.vec_id AS segment_index, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(d.q, a.q) DESC, d.vec_id) AS rank FROM d, d a WHERE a.vec_id % 20 = 0) WHERE rank <= {TOP}) SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, count(f.rank) AS found, round(count(f.rank) / count(*), 6) AS recall FROM exact LEFT JOIN found f USING (query_id, segment_index)")
 def vector_index_recall(spark, sf_dir):
     """How much of the exact lists the index finds."""
-    queries = _queries(spark, sf_dir).withColumn("grams", F.array().cast("array<string>"))
-    exact = r.vector_candidates(r.scored(_rows(spark, sf_dir).withColumn("text_content", F.lit(None).cast("string")), queries), TOP)
+    exact = r.vector_candidates(nearest.best(_rows(spark, sf_dir), _queries(spark, sf_dir), TOP), TOP)
     return v.recall(exact.select("query_id", "segment_index"), _found(spark, sf_dir), "segment_index").withColumn("recall", F.round("recall", 6))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_grams
 from ..operators import keyword_index as k
+from ..operators import nearest
 from ..operators import retrieval as r
 from ..operators.tenancy import Catalog, Context, scoped_session
 from ..sources.tables import load, segments
@@ -34,7 +35,8 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.scored(segments(spark, sf_dir), asked(spark, sf_dir))
+    """The pairs that can be in a query's lists."""
+    return r.pooled(segments(spark, sf_dir), asked(spark, sf_dir))
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -54,7 +56,8 @@ def vector_topn_filtered(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT query_id, segment_index, rk AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_index) AS rk FROM pairs) WHERE rk <= 50")
 def vector_batch_topk(spark, sf_dir):
-    return _rounded(r.vector_candidates(pairs(spark, sf_dir)).select("query_id", "segment_index", F.col("rank_vector").cast("long").alias("rank"), "score"), "score")
+    found = nearest.best(segments(spark, sf_dir).select("segment_index", "embedding"), asked(spark, sf_dir), r.POOL)
+    return _rounded(r.vector_candidates(found).select("query_id", "segment_index", F.col("rank_vector").cast("long").alias("rank"), "score"), "score")
 
 
 @query(f"WITH {SEG}, {FIRST}, m AS (SELECT segment_index, len(list_filter(['the', 'tion', 'heer'], lambda g: contains(lower(coalesce(text_content, '')), g))) AS matched, list_cosine_similarity(v, q) AS s FROM seg, first) SELECT segment_index, CAST(matched AS BIGINT) AS matched, round(s, 6) AS score FROM m WHERE matched > 0 ORDER BY s DESC, segment_index LIMIT 50")
