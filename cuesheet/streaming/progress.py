@@ -13,7 +13,7 @@ LATE, KEPT = "10 minutes", "24 hours"
 ENDED = ("done", "failed")
 #: Parts of the table of latest events.
 PARTS = 64
-#: Rank error of medians, as a share of the rows: one in ACCURACY. Size of quantile sketches.
+#: Rank error of the summaries that bound medians, as a share of the rows: one in ACCURACY. Size of quantile sketches.
 ACCURACY, SKETCH = 10_000, 800
 
 
@@ -60,14 +60,33 @@ def stage_counts(events: DataFrame, window: str = "1 hour", slide: str | None =
     return out.select(F.col("w.start").alias("window_start"), "stage", "n", "total")
 
 
-def stage_metrics(events: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
-    """Count, sum, largest value and median per stage.
+def _middles(values: DataFrame, accuracy: int) -> DataFrame:
+    """(stage, median) of rows (stage, value): the mean of the two middle values, exactly.
 
-    The median is a value of the stage whose rank is off by at most n / accuracy, from summaries of bounded size that tasks make and
-    merge; no stage's values meet in one task. Up to ``accuracy`` rows it is the lower median itself.
+    Bounded summaries give two values a stage between which the middle lies, with a margin of several times their error. Rows below
+    are counted; of the few between, each different value is counted once, and those counts alone are put in order.
     """
-    median = F.percentile_approx("value", 0.5, accuracy)
-    return events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"), median.alias("median"))
+    rows, slack = values.filter("value is not null"), 4.0 / accuracy
+    bounds = rows.groupBy("stage").agg(F.percentile_approx("value", [0.5 - slack, 0.5 + slack], accuracy).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    bounds = bounds.select("stage", "_n", F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"))
+    counts = rows.join(F.broadcast(bounds), F.col("value").isNotNull() & rows["stage"].eqNullSafe(bounds["stage"])).drop(bounds["stage"])  # a row a stage
+    inside = F.when(F.col("value").between(F.col("_low"), F.col("_high")), F.col("value"))
+    side = F.when(inside.isNotNull(), 0).when(F.col("value") < F.col("_low"), -1).otherwise(1)
+    counts = counts.groupBy("stage", "_n", side.alias("_side"), inside.alias("value")).agg(F.count(F.lit(1)).alias("_k")).filter("_side <= 0")
+    upto = F.sum("_k").over(W.partitionBy("stage").orderBy("_side", "value").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto).filter("_side = 0")
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.struct(F.col("_upto").alias("u"), F.col("value").alias("v"), (F.col("_upto") - F.col("_k") < rank).alias("in"))))
+    both = ranked.groupBy("stage").agg(at(F.floor((F.col("_n") + 1) / 2)).alias("_a"), at(F.floor(F.col("_n") / 2) + 1).alias("_c"))
+    missed = F.raise_error(F.lit("the middle lies outside of its bounds")).cast("double")
+    found = F.coalesce(F.col("_a.in") & F.col("_c.in"), F.lit(False))
+    return both.select("stage", F.when(found, F.col("_a.v") + (F.col("_c.v") - F.col("_a.v")) * 0.5).otherwise(missed).alias("median"))
+
+
+def stage_metrics(events: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
+    """Count, sum, largest value and median per stage: the middle value, or the mean of the two middle ones. No stage's values meet in one task."""
+    out = events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"))
+    middles = _middles(events.select("stage", "value"), accuracy).withColumnRenamed("stage", "_stage")
+    return out.join(middles, F.col("stage").eqNullSafe(F.col("_stage")), "left").drop("_stage")
 
 
 def summaries(events: DataFrame, by: Sequence[str], k: int = SKETCH) -> DataFrame:
