@@ -104,6 +104,13 @@ def test_bitmaps_of_batches_merge(spark):
     assert {r["upload_id"]: r["resumes"] for r in u.same_file(sessions, offered).collect()} == {1: True, 2: False, 9: False, 3: False}
 
 
+def test_a_bitmap_is_a_number(spark):
+    parts = spark.createDataFrame([(1, p, at(0)) for p in (1, 63, 64, 65, 128, 129, 128)], "upload_id long, part long, ts timestamp")
+    kept = u.part_bitmaps(parts)
+    assert kept.schema["bitmap"].dataType.simpleString() == "bigint"  # aggregated in place; 4 kB a session filled tasks' memory
+    assert sorted((r["page"], bin(r["bitmap"] & (1 << 64) - 1).count("1")) for r in kept.collect()) == [(0, 3), (1, 2), (2, 1)]
+
+
 def test_quantiles_of_merged_sketches(spark):
     rows = spark.range(60_000).select((F.col("id") % 2).alias("stage"), (F.col("id") % 30).alias("day"), (F.xxhash64("id") % 10_000).cast("double").alias("value"))
     kept = p.summaries(rows, ["stage", "day"])
