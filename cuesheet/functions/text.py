@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,16 +125,36 @@ def valid(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern.replace("$", r"\z")), F.lit(False))
 
 
+def _hash(texts: Iterable[str | None]) -> np.ndarray:
+    """The hash of session_key of each text; all texts go on by one unit at a time, the longest first, so memory goes with their size."""
+    units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    lengths = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    flat, starts = np.concatenate([*units, np.empty(0, "<u2")]).astype(np.int64), (np.cumsum(lengths) - lengths)[order]
+    h = np.full(len(units), 5381, np.int64)
+    going = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")  # how many are longer than each place
+    for j, n in enumerate(going):
+        h[:n] = (h[:n] * 33 & 0xFFFFFFFF) ^ flat[starts[:n] + j]
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def _hashed(text: Column) -> Column:
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(_hash(texts)).where(texts.notna().to_numpy()).astype("Int64")
+
+    return run(text)
+
+
 def session_key(files: Column) -> Column:
     """The key of an upload session of files (array<struct<name, size, modified>>): a hash in base 36, their number, the first size modulo 100000.
 
     The hash starts at 5381; for each UTF-16 unit of "name|size|modified#..." it is multiplied by 33 and xor-ed, modulo 2**32.
     """
     raw = F.array_join(F.transform(files, lambda f: F.concat_ws("|", f["name"], f["size"].cast("string"), F.coalesce(f["modified"], F.lit(0)).cast("string"))), "#")
-    units = F.hex(F.encode(raw, "UTF-16BE"))
-    codes = F.transform(F.sequence(F.lit(1), F.length(units) - 3, F.lit(4)), lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long"))
-    mask = F.lit((1 << 32) - 1)
-    value = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseAND(mask).bitwiseXOR(c))
+    value = _hashed(raw)
     return F.concat_ws("_", F.lit("sk"), F.lower(F.conv(value.cast("string"), 10, 36)), F.size(files).cast("string"), (F.element_at(files, 1)["size"] % 100000).cast("string"))
 
 
