@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from ..functions.vectors import cosine, norm
 from .cues import CHINESE, CuePatterns, detect_cues
 
 MIN_SEGMENT, MAX_SEGMENT, PAUSE, WINDOW, DEPTH_K = 30.0, 300.0, 1.2, 60.0, 0.8
+#: Videos whose lists are Python objects at a time.
+PART = 64
 #: Sentence ends and the fewest characters of a sentence.
 SENTENCE_ENDS, MIN_SENTENCE = "。！？!?；;，,", 6
 
@@ -189,15 +191,18 @@ def chunk_ranges(duration: float, silences: list[tuple[float, float]], least: fl
 
 
 def _scan(rows: DataFrame, run: Callable[..., list[tuple[float, ...]]], names: list[str]) -> DataFrame:
-    """``run`` over each row (a video with its lists); nothing is shuffled."""
+    """``run`` over each row (a video with its lists), PART rows as Python objects at a time; nothing is shuffled."""
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [(r.video_id, *x) for r in part.itertuples(index=False) for x in run(r)]
-            yield pd.DataFrame(out, columns=["video_id", *names])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), PART):
+                part = batch.slice(at, PART)
+                out = [(i, *x) for i, r in enumerate(part.to_pandas().itertuples(index=False)) for x in run(r)]
+                ids = part["video_id"].take(pa.array([x[0] for x in out], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in out], pa.float64()) for k in range(1, len(names) + 1))], ["video_id", *names])
 
     kind = rows.schema["video_id"].dataType.simpleString()
-    return rows.mapInPandas(each, f"video_id {kind}, " + ", ".join(f"{n} double" for n in names))
+    return rows.mapInArrow(each, f"video_id {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def acoustic_times(videos: DataFrame, pause: float = PAUSE) -> DataFrame:
