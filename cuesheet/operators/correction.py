@@ -6,7 +6,6 @@ Rules that stand alone are columns (``fuzzy_terms``, ``replaced``).
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -21,6 +20,8 @@ from .latin import SoundMatcher
 #: Fixed value: what counts as a Latin token.
 TOKEN = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z0-9](?![A-Za-z0-9]))*")
 TERMS_BYTES = 8 << 20
+#: Tokens that a corrector remembers at most.
+KNOWN = 50_000
 FUZZY, FUZZY_LENGTH, PINYIN_FACTOR, MOST_FORMS = 0.85, 4, 0.95, 8
 #: Readings of the digits 0 to 9.
 DIGITS = "ling yi er san si wu liu qi ba jiu".split()
@@ -40,6 +41,7 @@ def edit_distance(a: str, b: str) -> int:
 class Corrector:
     def __init__(self, d: Dictionary):
         self.d, self.sounds = d, SoundMatcher(d)
+        self.known: dict[str, tuple[str, Trace | None]] = {}
         self.spelling = {}
         for t in d.terms:
             self.spelling.setdefault(t.term.lower(), t)
@@ -49,8 +51,15 @@ class Corrector:
         self.by_sound = {form: t for t in d.terms for form in self._forms(t.term)}
         self.lengths = sorted({len(t.term) for t in self.by_sound.values()}, reverse=True)
 
-    @functools.lru_cache(maxsize=200_000)  # noqa: B019
     def _term(self, token: str) -> tuple[str, Trace | None]:
+        """What a token becomes; up to KNOWN tokens are remembered by the corrector, and go with it."""
+        if (known := self.known.get(token)) is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            known = self.known[token] = self._find(token)
+        return known
+
+    def _find(self, token: str) -> tuple[str, Trace | None]:
         bare = re.sub(r"\s+", "", token)
         if known := self.spelling.get(bare.lower()):
             return known.term, None if bare == known.term else ("canonical", token, known.term, known.confidence)
