@@ -9,7 +9,7 @@ from ..operators import cues as c
 from ..operators import evaluation as e
 from ..operators import segmentation as s
 from ..sources.folders import new_folder
-from ..sources.tables import lines, load, replace_partitions, segments
+from ..sources.tables import lines, load, replace_rows, replaced_table, segments
 from . import query
 
 LINES = "lines AS (SELECT conv_id AS video_id, turn AS line, text, (sum(length(text)) OVER w - length(text)) / 10.0 AS start, sum(length(text)) OVER w / 10.0 AS stop FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"
@@ -73,10 +73,10 @@ def replaced_segments(spark, sf_dir):
     """Segments as a table by video: written wrong, then replaced by all videos, then by every third again, which changes nothing."""
     path = new_folder(spark, "segments")
     rows = s.stored_times(s.build_segments(s.fixed_cuts(lines(spark, sf_dir))))
-    replace_partitions(rows.withColumn("text", F.lit("?")), path, by=["video_id"])
-    replace_partitions(rows, path, by=["video_id"])
-    replace_partitions(rows.filter("video_id % 3 = 0"), path, by=["video_id"])
-    return spark.read.schema(rows.schema).parquet(path).select("video_id", "segment", F.md5("text").alias("text_md5"), F.col("start_time").cast("double").alias("start_time"))
+    replace_rows(rows.withColumn("text", F.lit("?")), path, by=["video_id"])
+    replace_rows(rows, path, by=["video_id"])
+    replace_rows(rows.filter("video_id % 3 = 0"), path, by=["video_id"])
+    return replaced_table(spark, path, rows.schema).select("video_id", "segment", F.md5("text").alias("text_md5"), F.col("start_time").cast("double").alias("start_time"))
 
 
 @query("WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN value WHEN 'error' THEN -value END AS a, CASE WHEN event_type = 'click' THEN value END AS b FROM events WHERE event_type IN ('view', 'error', 'click')), l AS (SELECT *, lag(a) OVER (PARTITION BY user_id ORDER BY event_id) AS opened FROM r) SELECT user_id AS video_id, round(greatest(coalesce(opened, b - 1.5), 0.0), 6) AS start, b AS \"end\", CAST(1.5 AS DOUBLE) AS duration FROM l WHERE b IS NOT NULL")

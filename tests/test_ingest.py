@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuesheet.operators import ingest as i
+from cuesheet.plans import segmentations
 from cuesheet.sources import tables
 from cuesheet.streaming import progress as p
 
@@ -97,6 +98,38 @@ def test_partitions_are_replaced(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("video_id", "segment_index").collect()) == [("a", 9), ("b", 1)]
 
 
+def test_rows_are_replaced_by_key(spark, tmp_path):
+    path = str(tmp_path / "seg")
+    rows = lambda items: spark.createDataFrame(items, "tenant_id string, video_id string, segment_index int")
+    held = lambda: sorted(map(tuple, tables.replaced_table(spark, path, rows([]).schema).collect()), key=str)
+    files = lambda: {str(p.relative_to(path)) for p in (tmp_path / "seg").rglob("*.parquet")}
+    assert tables.replaced_table(spark, path, rows([]).schema) is None
+    first = [("t", f"v{i}", k) for i in range(200) for k in range(2)] + [("u", "v1", 0), (None, "v1", 5)]
+    tables.replace_rows(rows(first), path, parts=4)
+    before = files()
+    assert held() == sorted(first, key=str) and len(before) == 4  # not a file for each video
+    again = [("t", "v1", 9), (None, "v1", 6), ("t", "new", 0)]
+    want = sorted([r for r in first if r[:2] not in {x[:2] for x in again}] + again, key=str)
+    for _ in range(2):
+        tables.replace_rows(rows(again), path, parts=4)
+        assert held() == want
+    before = files()
+    tables.replace_rows(rows(again[:1]), path, parts=4)
+    assert held() == want and len(before & files()) == 3  # other parts were not touched
+    tables.replace_rows(rows([]), path, parts=4)
+    assert held() == want
+
+
+def test_replaced_segments_have_no_folder_for_each_video(spark, sf_dir, tmp_path, monkeypatch):
+    path = tmp_path / "segments"
+    monkeypatch.setattr(segmentations, "new_folder", lambda *_: str(path))
+    few = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    few.crossJoin(spark.range(10).withColumnRenamed("id", "k")).withColumn("conv_id", F.col("conv_id") * 10 + F.col("k")).drop("k").write.parquet(str(tmp_path / "conversations.parquet"))
+    videos = segmentations.replaced_segments(spark, str(tmp_path)).select("video_id").distinct().count()
+    assert videos == 10 * few.select("conv_id").distinct().count() > tables.PARTS
+    assert len(list(path.rglob("*.parquet"))) <= tables.PARTS
+
+
 def test_readers(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, s string")
     for kind in ("parquet", "orc", "csv", "json"):
