@@ -5,6 +5,9 @@ pair once, and pieces (piece, word), the substrings of one to three characters o
 characters is a piece itself; of a longer one all trigrams are looked up, words that hold them all are candidates, and these are
 verified on the word. Texts are read once, to make the postings; a search moves grams, words and postings only.
 
+What holds a gram is kept as bits of 64 neighbouring ids, so that texts that hold it by several words are told apart by "or", and common
+grams have a row for 64 texts. Postings are counted first and dealt into as many tasks as that asks for, so a task's share does not grow.
+
 Null and empty texts have no postings. Grams that no text holds have no rows. A gram counts once a query, whatever its case.
 """
 
@@ -12,7 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Postings that a task joins with grams, in the mean.
+POSTINGS = 1 << 18
 WORD_END = "[^a-z0-9+#.一-鿿]+"
 
 
@@ -43,15 +49,32 @@ def words_with(grams: DataFrame, pieced: DataFrame) -> DataFrame:
     return both.filter((F.col("_n") == F.col("_all")) & F.contains(F.col("word"), F.col("gram"))).select("gram", "word")
 
 
+def _holders(grams: DataFrame, posted: DataFrame, pieced: DataFrame, id_col: str) -> DataFrame:
+    """(gram, at, bits): ids that hold the gram, as bits of the 64 from 64 * at on; ids that are no integers have a row each, at themselves."""
+    whole = isinstance(posted.schema[id_col].dataType, T.IntegralType)
+    number = F.col(id_col).cast("long") if whole else None
+    at = F.shiftright(number, 6) if whole else F.col(id_col)
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(number.bitwiseAND(F.lit(63)), F.lit(0)).cast("int")) if whole else F.lit(1).cast("long")
+    n = max(1, -(-posted.count() // POSTINGS))
+    found = posted.repartition(n, "word").join(words_with(grams, pieced).repartition(n, "word"), "word")  # in this order a word's grams are held beside its postings
+    return found.groupBy("gram", at.alias("at")).agg(F.bit_or(bits).alias("bits"))
+
+
 def matches(queries: DataFrame, posted: DataFrame, pieced: DataFrame, *, id_col: str = "segment_index") -> DataFrame:
     """(query_id, id_col, matched, n_grams) of queries (query_id, grams): segments that hold at least one gram, and how many."""
     asked = queries.select("query_id", F.size("grams").alias("n_grams"), F.explode(F.array_distinct("grams")).alias("_gram")).withColumn("gram", F.lower("_gram"))
-    held = words_with(asked.select("gram"), pieced).join(posted, "word").select("gram", id_col).distinct()
-    return asked.join(held, "gram").groupBy("query_id", id_col).agg(F.count(F.lit(1)).alias("matched"), F.first("n_grams").alias("n_grams"))
+    held = _holders(asked.select("gram"), posted, pieced, id_col)
+    both = asked.join(held, "gram").groupBy("query_id", "at").agg(F.collect_list("bits").alias("_bits"), F.bit_or("bits").alias("_any"), F.first("n_grams").alias("n_grams"))
+    bit = lambda x, i: F.getbit(x, i).cast("long")
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("_any", i) == 1)
+    counts = F.transform(places, lambda i: F.struct(i.alias("_i"), F.aggregate("_bits", F.lit(0).cast("long"), lambda n, x: n + bit(x, i)).alias("matched")))
+    kind = posted.schema[id_col].dataType
+    number = (F.shiftleft("at", 6) + F.col("_i")).cast(kind) if isinstance(kind, T.IntegralType) else F.col("at")
+    return both.select("query_id", "at", "n_grams", F.inline(counts)).select("query_id", number.alias(id_col), "matched", "n_grams")
 
 
 def gram_counts(queries: DataFrame, posted: DataFrame, pieced: DataFrame, *, id_col: str = "segment_index") -> DataFrame:
     """(gram, n): in how many segments each gram of queries is found, none too."""
     grams = queries.select(F.explode("grams").alias("gram")).select(F.lower("gram").alias("gram")).distinct()
-    held = words_with(grams, pieced).join(posted, "word").select("gram", id_col).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    held = _holders(grams, posted, pieced, id_col).groupBy("gram").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
     return grams.join(held, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -94,6 +94,24 @@ def test_postings_answer_as_the_texts_do(spark):
     assert counts == {g.lower(): sum(g.lower() in (t or "").lower() for _, t in texts) for g in grams}
 
 
+def test_holders_of_a_gram_are_bits(spark, monkeypatch):
+    texts = [(i, "common commons" if i % 3 else "common") for i in range(-640, 640)] + [(2**40 + 63, "commoner"), (7000, "other"), (-(2**63), "common")]
+    queries = spark.createDataFrame([(1, ["common", "s", "Common"]), (2, ["oner"])], "query_id long, grams array<string>")
+    held = lambda t, gs: sum(g.lower() in t for g in gs)
+    want = {(q, i): held(t, gs) for q, gs in ((1, ["common", "s", "Common"]), (2, ["oner"])) for i, t in texts if held(t, gs)}
+    monkeypatch.setattr(k, "POSTINGS", 300)
+    for kind, name in (("long", int), ("string", str)):
+        rows = [(name(i), t) for i, t in texts]
+        posted = k.postings(spark.createDataFrame(rows, f"segment_index {kind}, text_content string"))
+        found = k.matches(queries, posted, k.pieces(posted))
+        assert found.schema["segment_index"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+        assert {(x["query_id"], x["segment_index"]): (x["matched"], x["n_grams"]) for x in found.collect()} == {(q, name(i)): (n, 3 if q == 1 else 1) for (q, i), n in want.items()}
+        counts = {x["gram"]: x["n"] for x in k.gram_counts(queries, posted, k.pieces(posted)).collect()}
+        assert counts == {g: sum(g in t for _, t in texts) for g in ("common", "s", "oner")}
+        if kind == "long":
+            assert k._holders(spark.createDataFrame([("common",)], "gram string"), posted, k.pieces(posted), "segment_index").count() == 22  # not 1,282 rows
+
+
 def test_words_are_pruned_by_trigrams(spark):
     posted = k.postings(spark.createDataFrame([(i, f"word{i} other{i}") for i in range(200)], "segment_index long, text_content string"))
     found = k.words_with(spark.createDataFrame([("word17",)], "gram string"), k.pieces(posted))
