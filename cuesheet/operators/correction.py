@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
@@ -25,6 +26,7 @@ KNOWN = 50_000
 FUZZY, FUZZY_LENGTH, PINYIN_FACTOR, MOST_FORMS = 0.85, 4, 0.95, 8
 #: Readings of the digits 0 to 9.
 DIGITS = "ling yi er san si wu liu qi ba jiu".split()
+RULES = ("canonical", "fuzzy", "latin-phonetic", "alias", "phrase", "pinyin")
 RESULT = "corrected string, traces array<struct<rule:string,before:string,term:string,confidence:double>>"
 Trace = tuple[str, str, str, float]
 
@@ -139,6 +141,22 @@ def correct_lines(lines: DataFrame, dictionary: Dictionary, text_col: str = "tex
     return done.select(*lines.columns, "_r.corrected", "_r.traces", (F.col("_r.corrected") != F.col(text_col)).alias("changed"))
 
 
+def told_traces(traces: Column) -> Column:
+    """traces as texts: rule, what was written, the term that it became, and the confidence."""
+    return F.transform(traces, lambda t: F.format_string("%s:「%s」→「%s」(%.2f)", t["rule"], t["before"], t["term"], t["confidence"]))
+
+
+def with_totals(corrected: DataFrame, by: str) -> DataFrame:
+    """Rows of ``correct_lines`` with totals of all rows of the same ``by``: rows_in, rows_changed and, of changed rows, the traces of each of RULES."""
+    w, changed = W.partitionBy(by), F.coalesce("changed", F.lit(False))
+
+    def total(rule: str) -> Column:
+        return F.sum(F.when(changed, F.size(F.filter("traces.rule", lambda r: r == rule))).otherwise(0)).over(w)
+
+    totals = {f"{rule.replace('-', '_')}_traces": total(rule) for rule in RULES}
+    return corrected.withColumns({"rows_in": F.count(F.lit(1)).over(w), "rows_changed": F.sum(changed.cast("long")).over(w)} | totals)
+
+
 def trace_counts(corrected: DataFrame) -> DataFrame:
     return corrected.select(F.explode("traces.rule").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 

@@ -87,6 +87,6 @@ def correction_traces(spark, sf_dir):
 
 @query()
 def correction_replay(spark, sf_dir):
-    """All rules over every turn: before, after and the number of traces."""
-    out = c.correct_lines(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), full_dictionary(spark))
-    return out.select("conv_id", "turn", "changed", F.size("traces").alias("n_traces"), F.md5("corrected").alias("corrected_md5"))
+    """All rules over every turn: before, after and the traces; and of all turns of its conversation how many there are, how many changed, and by which rules."""
+    out = c.with_totals(c.correct_lines(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), full_dictionary(spark)), "conv_id")
+    return out.withColumns({"n_traces": F.size("traces"), "corrected_md5": F.md5("corrected"), "traces": c.told_traces(F.col("traces"))}).withColumnRenamed("text", "before")

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from cuesheet import plans
 from cuesheet.operators.correction import Corrector, correct_lines, edit_distance
 from cuesheet.operators.latin import SoundMatcher, sound_score
 from cuesheet.sources.dictionaries import builtin, han_readings, read_dictionary
@@ -93,3 +94,16 @@ def test_lines_and_files(spark, tmp_path):
     d = read_dictionary(spark, str(tmp_path / "t.json"), str(tmp_path / "s.json"))
     df = correct_lines(spark.createDataFrame([("瑞迪斯 control 甲乙",), (None,), ("",)], "text string"), d)
     assert [(r["corrected"], r["changed"], len(r["traces"])) for r in df.collect()] == [("Redis Ctrl 丙", True, 3), (None, None, 0), ("", False, 0)]
+
+
+def test_a_replay_tells_before_traces_and_rules(spark, tmp_path):
+    turns = [(1, 0, "瑞迪斯 conttrol C 瑞迪斯"), (1, 1, "三源运算符 redis"), (1, 2, "hello"), (1, 3, None), (2, 0, "复制给变量"), (3, 0, "")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["conv_id"], r["turn"]): r for r in plans.QUERIES["correction_replay"](spark, str(tmp_path)).collect()}
+    assert {k: r["before"] for k, r in got.items()} == {(c, t): x for c, t, x in turns}
+    assert [got[k]["corrected"] for k in sorted(got)] == ["Redis Ctrl C Redis", "三元运算符 Redis", "hello", None, "赋值给变量", ""]
+    assert [t.rsplit("(", 1)[0] for t in got[1, 0]["traces"]] == ["latin-phonetic:「conttrol」→「Ctrl」", *["alias:「瑞迪斯」→「Redis」"] * 2]
+    assert got[1, 1]["traces"] == ["canonical:「redis」→「Redis」(0.98)", "pinyin:「三源运算符」→「三元运算符」(0.92)"] and got[1, 2]["traces"] == []
+    names = ("rows_in", "rows_changed", "canonical_traces", "fuzzy_traces", "latin_phonetic_traces", "alias_traces", "phrase_traces", "pinyin_traces")
+    assert {tuple(r[n] for n in names) for k, r in got.items() if k[0] == 1} == {(4, 2, 1, 0, 1, 2, 0, 1)}
+    assert [[got[k, 0][n] for n in names] for k in (2, 3)] == [[1, 1, 0, 0, 0, 0, 1, 0], [1, 0, 0, 0, 0, 0, 0, 0]]
