@@ -111,6 +111,17 @@ def test_a_bitmap_is_a_number(spark):
     assert sorted((r["page"], bin(r["bitmap"] & (1 << 64) - 1).count("1")) for r in kept.collect()) == [(0, 3), (1, 2), (2, 1)]
 
 
+def test_the_first_missing_part_of_a_session(spark):
+    came = {1: [*range(1, 65), 66], 2: [2, 65], 3: range(1, 64), 4: range(1, 129), 5: [*range(1, 65), *range(129, 193)], 6: range(1, 65), 7: [], 8: [], 9: [5], 10: [1, 2, 9], 11: [*range(1, 193)], 12: [64]}
+    totals = {1: 70, 2: 70, 3: 64, 4: 128, 5: 192, 6: 65, 7: 3, 8: 0, 9: 3, 10: 2, 11: 100, 12: 64}
+    parts = spark.createDataFrame([(k, p, at(p)) for k, xs in came.items() for p in xs], "upload_id long, part long, ts timestamp")
+    kept = u.merge_bitmaps(*(u.part_bitmaps(parts.filter(F.col("part") % 3 == k)) for k in range(3)))
+    sessions = spark.createDataFrame([(k, 10 * n, 10, at(0)) for k, n in totals.items()], "upload_id long, size long, part_size long, started timestamp")
+    got = {r["upload_id"]: r["first_missing"] for r in u.session_state(sessions, kept, F.lit(at(0)), missing=True).collect()}
+    assert got == {k: min(set(range(1, n + 1)) - set(came[k]), default=None) for k, n in totals.items()}
+    assert got == {1: 65, 2: 1, 3: 64, 4: None, 5: 65, 6: 65, 7: 1, 8: None, 9: 1, 10: None, 11: None, 12: 1}
+
+
 def test_quantiles_of_merged_sketches(spark):
     rows = spark.range(60_000).select((F.col("id") % 2).alias("stage"), (F.col("id") % 30).alias("day"), (F.xxhash64("id") % 10_000).cast("double").alias("value"))
     kept = p.summaries(rows, ["stage", "day"])
