@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
-from ..sources.dictionaries import Dictionary
+from ..sources.dictionaries import Dictionary, Term
 from .latin import SoundMatcher
 
 #: Fixed value: what counts as a Latin token.
@@ -40,6 +40,21 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def edits_within(a: str, b: str, most: int) -> int | None:
+    """The edit distance if it is at most ``most``, else None."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    a, b, k = a[k:], b[k:], 0
+    while k < len(a) and k < len(b) and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    d = longer if (longer := max(len(a), len(b))) <= 1 else edit_distance(a, b) if most > 1 else 2
+    return d if d <= most else None
+
+
 class Corrector:
     def __init__(self, d: Dictionary):
         self.d, self.sounds = d, SoundMatcher(d)
@@ -48,6 +63,7 @@ class Corrector:
         for t in d.terms:
             self.spelling.setdefault(t.term.lower(), t)
         self.latin = [t for t in d.terms if re.fullmatch("[A-Za-z0-9]+", t.term)]
+        self.by_length: dict[int, list[tuple[Term, int]]] = {}
         aliases = [(a, t.term, t.confidence) for t in d.terms for a in t.aliases if len(a) >= d.min_alias]
         self.aliases = sorted(aliases, key=lambda x: -len(x[0]))
         self.by_sound = {form: t for t in d.terms for form in self._forms(t.term)}
@@ -65,16 +81,25 @@ class Corrector:
         bare = re.sub(r"\s+", "", token)
         if known := self.spelling.get(bare.lower()):
             return known.term, None if bare == known.term else ("canonical", token, known.term, known.confidence)
-        if len(bare) >= FUZZY_LENGTH and self.latin:
-            # words whose lengths differ by more than the edits allowed need no distance
-            near = [1 - edit_distance(bare.lower(), t.term.lower()) / longer if abs(len(bare) - len(t.term)) <= (1 - FUZZY) * (longer := max(len(bare), len(t.term))) + 1e-9 else 0.0 for t in self.latin]
-            if (top := max(near)) >= FUZZY:
-                t = self.latin[near.index(top)]
-                return t.term, ("fuzzy", token, t.term, t.confidence * top)
+        if len(bare) >= FUZZY_LENGTH and (near := self._similar(bare.lower())):
+            top, t = near
+            return t.term, ("fuzzy", token, t.term, t.confidence * top)
         if hit := self.sounds.match(bare):
             return hit[0], ("latin-phonetic", token, hit[0], hit[2] * hit[1])
         return token, None
 
+    def _similar(self, low: str) -> tuple[float, Term] | None:
+        """The similarity to the most similar Latin term, the first of equals, from FUZZY on; words that are a term were found by their spelling."""
+        n, best = len(low), None
+        if n not in self.by_length:
+            self.by_length[n] = [(t, most) for t in self.latin if abs(n - len(t.term)) <= (most := int((1 - FUZZY) * max(n, len(t.term)) + 1e-9)) and most]
+        for t, most in self.by_length[n]:
+            if (edits := edits_within(low, t.term.lower(), most)) is not None:
+                sim = 1 - edits / max(n, len(t.term))
+                if sim >= FUZZY and (best is None or sim > best[0]):
+                    best = sim, t
+        return best
+
     def _token(self, token: str, traces: list[Trace]) -> str:
         head, space, tail = token.partition(" ")
         if space:

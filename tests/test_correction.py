@@ -6,7 +6,7 @@ import random
 import pytest
 
 from cuesheet import plans
-from cuesheet.operators.correction import Corrector, correct_lines, edit_distance
+from cuesheet.operators.correction import Corrector, correct_lines, edit_distance, edits_within
 from cuesheet.operators.latin import SoundMatcher, sound_score
 from cuesheet.sources.dictionaries import builtin, han_readings, read_dictionary
 
@@ -107,3 +107,17 @@ def test_a_replay_tells_before_traces_and_rules(spark, tmp_path):
     names = ("rows_in", "rows_changed", "canonical_traces", "fuzzy_traces", "latin_phonetic_traces", "alias_traces", "phrase_traces", "pinyin_traces")
     assert {tuple(r[n] for n in names) for k, r in got.items() if k[0] == 1} == {(4, 2, 1, 0, 1, 2, 0, 1)}
     assert [[got[k, 0][n] for n in names] for k in (2, 3)] == [[1, 1, 0, 0, 0, 0, 1, 0], [1, 0, 0, 0, 0, 0, 0, 0]]
+
+
+def test_short_cuts_leave_no_word_out():
+    m, rng = SoundMatcher(builtin()), random.Random(3)
+    for _ in range(60):
+        heard = list(rng.choice(m.targets)[0])
+        for _ in range(rng.randint(0, 3)):
+            heard[rng.randrange(len(heard))] = rng.choice(["", "a", "r", "l", "s", "c", "tt", "ne"])
+            heard = list("".join(heard)) or ["a"]
+        heard = "".join(heard)
+        assert {k for k, (target, _, _) in enumerate(m.targets) if sound_score(heard, target)} <= set(m._near(heard)), heard
+    for a, b in itertools.product(["", "a", "kafka", "kafak", "akfka", "redis", "rediss", "edis", "aaa", "aa"], repeat=2):
+        d = edit_distance(a, b)
+        assert [edits_within(a, b, most) for most in range(4)] == [d if d <= most else None for most in range(4)], (a, b)
